@@ -1,83 +1,69 @@
-"""Engagement scoring as column expressions: they stay inside whole-stage codegen."""
+"""Engagement scoring as Spark SQL expression text.
+
+Builders take and return SQL text: use them in ``selectExpr`` or ``F.expr``. Everything
+is built-in and stays inside whole-stage codegen.
+"""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from recspark.config import RecConfig
 
 # How the way a view ended maps to a completion signal.
 COMPLETION = {"next_button": 1.0, "link": 0.6, "close_button": 0.0, "abandon": -0.5}
 
 
-def reading_time(words: Column, has_image: Column, cfg: RecConfig) -> Column:
-    base = words / F.lit(cfg.reading_speed_wps) if cfg.reading_speed_wps > 0 else F.lit(0.0)
-    return base + F.when(has_image, F.lit(cfg.img_extra_time)).otherwise(0.0)
-
-
-def dwell_ratio(dwell: Column, estimate: Column, cfg: RecConfig) -> Column:
-    cap = F.lit(cfg.dwell_cap_ratio)
-    return (
-        F.when(dwell.isNull() | (dwell <= 0), F.lit(0.0))
-        .when(estimate <= 0, F.lit(1.0))
-        .otherwise(F.least(dwell / estimate, cap) / cap)
-    )
+def timestamp_sql(value: datetime | str) -> str:
+    return value if isinstance(value, str) else f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}+00:00'"
 
 
-def completion(reason: Column) -> Column:
-    out = None
-    for name, value in COMPLETION.items():
-        test = reason == name
-        out = F.when(test, F.lit(value)) if out is None else out.when(test, F.lit(value))
-    return out.otherwise(0.0)
+def reading_time(words: str, has_image: str, cfg: RecConfig) -> str:
+    base = f"({words}) / {cfg.reading_speed_wps}D" if cfg.reading_speed_wps > 0 else "0D"
+    return f"({base} + IF({has_image}, {cfg.img_extra_time}D, 0D))"
 
 
-def revisit_bonus(visits: Column) -> Column:
-    return F.lit(1.0) - F.exp(-F.greatest(visits, F.lit(0)) / F.lit(2.0))
+def dwell_ratio(dwell: str, estimate: str, cfg: RecConfig) -> str:
+    cap = f"{cfg.dwell_cap_ratio}D"
+    return (
+        f"(CASE WHEN {dwell} IS NULL OR {dwell} <= 0 THEN 0D WHEN {estimate} <= 0 THEN 1D "
+        f"ELSE least({dwell} / {estimate}, {cap}) / {cap} END)"
+    )
 
 
-def rating_score(rating: Column) -> Column:
-    return F.coalesce((rating - F.lit(3.0)) / F.lit(2.0), F.lit(0.0))
+def completion(reason: str) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {value}D" for name, value in COMPLETION.items())
+    return f"(CASE {reason} {cases} ELSE 0D END)"
 
 
-def strength(dwell: Column, estimate: Column, reason: Column, visits: Column,
-             rating: Column, cfg: RecConfig) -> Column:
+def strength(dwell: str, estimate: str, reason: str, visits: str, rating: str, cfg: RecConfig) -> str:
     w = cfg.engagement
+    revisit = f"(1D - exp(-greatest({visits}, 0) / 2D))"
+    survey = f"coalesce(({rating} - 3D) / 2D, 0D)"
     return (
-        F.lit(w.dwell) * dwell_ratio(dwell, estimate, cfg)
-        + F.lit(w.completion) * completion(reason)
-        + F.lit(w.revisit) * revisit_bonus(visits)
-        + F.lit(w.survey) * rating_score(rating)
+        f"({w.dwell}D * {dwell_ratio(dwell, estimate, cfg)} + {w.completion}D * {completion(reason)}"
+        f" + {w.revisit}D * {revisit} + {w.survey}D * {survey})"
     )
 
 
-def outcome(value: Column, cfg: RecConfig) -> Column:
+def outcome(value: str, cfg: RecConfig) -> str:
     return (
-        F.when(value >= cfg.positive_threshold, F.lit("positive"))
-        .when(value <= cfg.negative_threshold, F.lit("negative"))
-        .otherwise(F.lit("neutral"))
+        f"(CASE WHEN {value} >= {cfg.positive_threshold}D THEN 'positive' "
+        f"WHEN {value} <= {cfg.negative_threshold}D THEN 'negative' ELSE 'neutral' END)"
     )
 
 
-def decay(ts: Column, now: datetime | Column, cfg: RecConfig) -> Column:
+def decay(ts: str, now: datetime | str, cfg: RecConfig) -> str:
     """Half-life decay; ages below zero count as zero, a missing time as fresh."""
     if cfg.half_life_days <= 0:
-        return F.lit(1.0)
-    now_col = now if isinstance(now, Column) else F.lit(now)
-    age_days = F.greatest(F.unix_micros(now_col) - F.unix_micros(ts), F.lit(0)) / F.lit(86400e6)
-    return F.coalesce(F.pow(F.lit(0.5), age_days / F.lit(cfg.half_life_days)), F.lit(1.0))
+        return "1D"
+    age_days = f"greatest(unix_micros({timestamp_sql(now)}) - unix_micros({ts}), 0) / 86400e6D"
+    return f"coalesce(pow(0.5D, {age_days} / {cfg.half_life_days}D), 1D)"
 
 
-def age_bucket(age: Column) -> Column:
+def age_bucket(age: str) -> str:
     return (
-        F.when(age < 18, "child")
-        .when(age <= 24, "age 18-24")
-        .when(age <= 34, "age 25-34")
-        .when(age <= 44, "age 35-44")
-        .when(age <= 54, "age 45-54")
-        .when(age <= 64, "age 55-64")
-        .when(age.isNotNull(), "elderly")
+        f"(CASE WHEN {age} < 18 THEN 'child' WHEN {age} <= 24 THEN 'age 18-24' WHEN {age} <= 34 THEN 'age 25-34' "
+        f"WHEN {age} <= 44 THEN 'age 35-44' WHEN {age} <= 54 THEN 'age 45-54' WHEN {age} <= 64 THEN 'age 55-64' "
+        f"WHEN {age} IS NOT NULL THEN 'elderly' END)"
     )

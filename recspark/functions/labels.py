@@ -36,8 +36,13 @@ TYPOGRAPHIC = "“”‘’"
 PLAIN = "\"\"''"
 
 
-def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(mapping: dict[str, str]) -> Column:
+    """A small fixed mapping as one foldable SQL literal."""
+    return F.expr("map(" + ", ".join(sql_text(x) for pair in mapping.items() for x in pair) + ")")
 
 
 def replace_by(col: Column, mapping: dict) -> Column:

@@ -1,12 +1,15 @@
-"""Survey answers (``map<string,array<string>>``) to demographics, weighted tags and labels."""
+"""Survey answers (``map<string,array<string>>``) to demographics, weighted tags and labels.
+
+Expression builders take and return Spark SQL text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recspark.functions.engagement import age_bucket
-from recspark.functions.labels import literal_map
+from recspark.functions.labels import sql_text
 
 # ---------------------------------------------------------------------------------------
 # Event names, question ids, answer codes and their taxonomy labels.
@@ -139,57 +142,62 @@ ZERO_WIDTH_SPACE = "\u200b"
 # ---------------------------------------------------------------------------------------
 
 
-def _strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+def sql_map(mapping: dict[str, str]) -> str:
+    return "map(" + ", ".join(sql_text(x) for pair in mapping.items() for x in pair) + ")"
+
+
+def sql_list(values) -> str:
+    return ", ".join(sql_text(v) for v in values)
+
+
+def _strip(text: str) -> str:
+    return rf"regexp_replace({text}, '(?U)^\\s+|\\s+$', '')"
 
 
-def clean_answer(value: Column) -> Column:
+def clean_answer(value: str) -> str:
     """Answer entity ids (``a:<question>:value``) reduce to the value."""
-    return F.regexp_replace(value, r"^a:[^:]*:", "")
+    return f"regexp_replace({value}, '^a:[^:]*:', '')"
 
 
-def answer_values(answers: Column, question: tuple[str, ...]) -> Column:
+def answer_values(answers: str, question: tuple[str, ...]) -> str:
     """Cleaned values of the first question id that is present, else an empty array."""
-    first = F.coalesce(*[F.element_at(answers, q) for q in question], F.array().cast("array<string>"))
-    return F.transform(first, clean_answer)
+    first = ", ".join(f"{answers}[{sql_text(q)}]" for q in question)
+    return f"transform(coalesce({first}, CAST(array() AS ARRAY<STRING>)), v -> {clean_answer('v')})"
 
 
-def _weighted(prefix: str, labels: Column, weight: float) -> Column:
-    return F.transform(
-        F.filter(labels, lambda x: x.isNotNull()),
-        lambda x: F.struct(F.concat(F.lit(prefix), x).alias("key"), F.lit(weight).alias("weight")),
+def _weighted(prefix: str, labels: str, weight: float) -> str:
+    return (
+        f"transform(filter({labels}, y -> y IS NOT NULL), "
+        f"y -> named_struct('key', concat({sql_text(prefix)}, y), 'weight', {weight}D))"
     )
 
 
-def canonical_label(value: Column) -> Column:
+def canonical_label(value: str) -> str:
     """Separators to spaces, then the fixed spelling aliases."""
-    spaced = F.trim(F.regexp_replace(value, r"[\s_\-]+", " "))
-    return F.coalesce(F.element_at(literal_map(PREFERENCE_ALIASES), F.lower(spaced)), spaced)
+    spaced = rf"trim(regexp_replace({value}, '[\\s_\\-]+', ' '))"
+    return f"coalesce({sql_map(PREFERENCE_ALIASES)}[lower({spaced})], {spaced})"
 
 
-def _country(value: Column) -> Column:
-    raw = F.regexp_replace(F.lower(_strip(value)), " ", "_")
-    return F.coalesce(
-        F.element_at(literal_map(DEMONYM_COUNTRY), raw), F.initcap(F.regexp_replace(value, "_", " "))
-    )
+def _country(value: str) -> str:
+    raw = f"replace(lower({_strip(value)}), ' ', '_')"
+    return f"coalesce({sql_map(DEMONYM_COUNTRY)}[{raw}], initcap(replace({value}, '_', ' ')))"
 
 
-def survey_affinity(answers: Column) -> Column:
+def survey_affinity(answers: str) -> str:
     """array<struct<key,weight>>: one entry per tag the answers of one event give."""
-    age = F.transform(answer_values(answers, QUESTIONS["age"]), lambda v: F.element_at(literal_map(AGE_LABELS), v))
-    gender = F.transform(
-        answer_values(answers, QUESTIONS["gender"]), lambda v: F.element_at(literal_map(GENDER_LABELS), v)
-    )
-    countries = F.transform(answer_values(answers, QUESTIONS["nationality"]), _country)
-    foreign = F.transform(
-        F.filter(countries, lambda c: ~F.lower(_strip(c)).isin(*CORE_COUNTRIES)), lambda c: F.lit("International")
-    )
-    province = F.transform(
-        F.filter(answer_values(answers, QUESTIONS["province"]), lambda v: v != ""), _strip
+
+    def mapped(field: str, expression: str) -> str:
+        return f"transform({answer_values(answers, QUESTIONS[field])}, w -> {expression})"
+
+    countries = mapped("nationality", _country("w"))
+    foreign = (
+        f"transform(filter({countries}, c -> lower({_strip('c')}) NOT IN ({sql_list(CORE_COUNTRIES)})), "
+        "c -> 'International')"
     )
+    province = f"transform(filter({answer_values(answers, QUESTIONS['province'])}, p -> p <> ''), p -> {_strip('p')})"
     parts = [
-        _weighted("person_who.age_group:", age, 0.5),
-        _weighted("person_who.gender_and_age:", gender, 0.3),
+        _weighted("person_who.age_group:", mapped("age", f"{sql_map(AGE_LABELS)}[w]"), 0.5),
+        _weighted("person_who.gender_and_age:", mapped("gender", f"{sql_map(GENDER_LABELS)}[w]"), 0.3),
         _weighted("person_who.city_village_country:From: ", countries, 0.4),
         _weighted("person_who.city_village_country:", foreign, 0.3),
         _weighted("person_who.province_netherlands:", province, 0.5),
@@ -197,104 +205,92 @@ def survey_affinity(answers: Column) -> Column:
     for question, facet in PERSONALIZATION.items():
         if facet == AREA_FACET:
             continue
-        picks = F.filter(
-            answer_values(answers, (question,)), lambda v: (v != "") & ~_strip(v).rlike(r"^\d+$")
+        picks = (
+            f"filter({answer_values(answers, (question,))}, p -> p <> '' AND NOT {_strip('p')} RLIKE '^[0-9]+$')"
         )
-        parts.append(_weighted(f"{facet}:", F.transform(picks, canonical_label), 1.0))
-    return F.array_distinct(F.concat(*parts))
+        parts.append(_weighted(f"{facet}:", f"transform({picks}, p -> {canonical_label('p')})", 1.0))
+    return f"array_distinct(concat({', '.join(parts)}))"
 
 
-def email_flag(answers: Column) -> Column:
+def email_flag(answers: str) -> str:
     """yes/no only: the address itself never leaves the raw event."""
-    key = F.get(F.filter(F.map_keys(answers), lambda k: F.contains(F.lower(k), F.lit("email"))), 0)
-    text = F.lower(_strip(F.coalesce(clean_answer(F.get(F.element_at(answers, key), 0)), F.lit(""))))
-    given = F.contains(text, F.lit("@")) | text.isin("yes", "ja", "true")
-    denied = text.isin("", "no", "nee", "false", "none", "null")
-    return F.when(key.isNull(), F.lit(None).cast("string")).when(given & ~denied, "yes").otherwise("no")
+    key = f"get(filter(map_keys({answers}), e -> contains(lower(e), 'email')), 0)"
+    text = f"lower({_strip(f'coalesce({clean_answer(f"get({answers}[{key}], 0)")}, {sql_text("")})')})"
+    return f"CASE WHEN {key} IS NULL THEN NULL WHEN contains({text}, '@') OR {text} IN ('yes', 'ja', 'true') THEN 'yes' ELSE 'no' END"
 
 
-def demographics_of(answers: Column) -> Column:
+def demographics_of(answers: str) -> str:
     """struct of the demographic fields one event answers (null where it does not)."""
-    fields = [F.get(answer_values(answers, q), 0).alias(f) for f, q in QUESTIONS.items()]
-    return F.struct(*fields, email_flag(answers).alias("email_shared"))
+    fields = [f"'{f}', get({answer_values(answers, q)}, 0)" for f, q in QUESTIONS.items()]
+    return f"named_struct({', '.join(fields)}, 'email_shared', {email_flag(answers)})"
 
 
-def demographic_affinity(age: Column, gender: Column, nationality: Column, province: Column) -> Column:
+def demographic_affinity(age: str, gender: str, nationality: str, province: str) -> str:
     """array<struct<key,weight>> from explicit demographics; only numeric ages have a bucket."""
 
-    def entry(prefix: str, label: Column, weight: float) -> Column:
-        return F.when(
-            label.isNotNull() & (label != ""),
-            F.struct(F.concat(F.lit(prefix), label).alias("key"), F.lit(weight).alias("weight")),
-        )
+    def entry(prefix: str, label: str, weight: float) -> str:
+        return f"IF({label} <> '', named_struct('key', concat('{prefix}', {label}), 'weight', {weight}D), NULL)"
 
-    def capitalized(c: Column) -> Column:
-        return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    def capitalized(c: str) -> str:
+        return f"concat(upper(substring({c}, 1, 1)), lower(substring({c}, 2)))"
 
-    return F.array_compact(
-        F.array(
-            entry("person_who.age_group:", age_bucket(age.try_cast("double")), 0.5),
-            entry("person_who.gender_and_age:", capitalized(gender), 0.3),
-            entry("person_who.city_village_country:From: ", capitalized(nationality), 0.4),
-            entry("person_who.province_netherlands:", _strip(province), 0.5),
-        )
-    )
+    entries = [
+        entry("person_who.age_group:", age_bucket(f"try_cast({age} AS DOUBLE)"), 0.5),
+        entry("person_who.gender_and_age:", capitalized(gender), 0.3),
+        entry("person_who.city_village_country:From: ", capitalized(nationality), 0.4),
+        entry("person_who.province_netherlands:", _strip(province), 0.5),
+    ]
+    return f"array_compact(array({', '.join(entries)}))"
 
 
-def canon_demo_value(field: Column, value: Column) -> Column:
+def canon_demo_value(field: str, value: str) -> str:
     """One token per answer meaning; null for placeholder junk (``no_answer`` for gender)."""
-    v = F.regexp_replace(F.lower(_strip(F.coalesce(value, F.lit("")))), r"\.+$", "")
-    v = F.regexp_replace(v, "['’]", "")
-    v = F.regexp_replace(F.regexp_replace(v, r"(?U)[\s\-.]+", "_"), r"^_+|_+$", "")
-    junk = (v == "") | v.isin(*DEMO_JUNK) | ~v.rlike("[a-z0-9]")
+    v = f"rtrim('.', lower({_strip(f'coalesce({value}, {sql_text("")})')}))"
+    v = f"translate({v}, '\\'’', '')"
+    v = rf"trim(BOTH '_' FROM regexp_replace({v}, '(?U)[\\s\\-.]+', '_'))"
     flat = {f"{f}:{k}": c for f, m in DEMO_CANON.items() for k, c in m.items()}
-    out = F.coalesce(F.element_at(literal_map(flat), F.concat(field, F.lit(":"), v)), v)
-    gender = field == "gender"
+    out = f"coalesce({sql_map(flat)}[concat({field}, ':', {v})], {v})"
     return (
-        F.when(junk, F.when(gender, F.lit("no_answer")))
-        .when(gender & ~out.isin(*GENDER_CANONICAL), F.lit("other"))
-        .otherwise(out)
+        f"CASE WHEN {v} IN ('', {sql_list(DEMO_JUNK)}) OR NOT {v} RLIKE '[a-z0-9]' "
+        f"THEN IF({field} = 'gender', 'no_answer', NULL) "
+        f"WHEN {field} = 'gender' AND {out} NOT IN ({sql_list(GENDER_CANONICAL)}) THEN 'other' ELSE {out} END"
     )
 
 
-def demo_label(field: Column, value: Column) -> Column:
-    age = F.when(value.startswith("under_"), F.concat(F.lit("<"), F.regexp_replace(value, r"\D", ""))).otherwise(
-        F.regexp_replace(F.regexp_replace(value, "_plus", "+"), "_", "–")
+def demo_label(field: str, value: str) -> str:
+    return (
+        f"CASE WHEN {field} = 'age' AND startswith({value}, 'under_') THEN concat('<', regexp_replace({value}, '[^0-9]', '')) "
+        f"WHEN {field} = 'age' THEN replace(replace({value}, '_plus', '+'), '_', '–') "
+        f"ELSE initcap(trim(replace({value}, '_', ' '))) END"
     )
-    return F.when(field == "age", age).otherwise(F.initcap(F.trim(F.regexp_replace(value, "_", " "))))
 
 
-def section_of(base: Column) -> Column:
-    demo = {q.removeprefix("q:") for ids in QUESTIONS.values() for q in ids}
-    pers = {q.removeprefix("q:") for q in PERSONALIZATION}
+def section_of(base: str) -> str:
+    demo = sorted({q.removeprefix("q:") for ids in QUESTIONS.values() for q in ids})
+    pers = sorted({q.removeprefix("q:") for q in PERSONALIZATION})
     return (
-        F.when(base.isin(*sorted(demo)), "demographic")
-        .when(base.isin(*sorted(pers)) | base.startswith("personalization_"), "personalization")
-        .when(base.isin(*FEEDBACK_QUESTIONS), "feedback")
-        .otherwise("background")
+        f"CASE WHEN {base} IN ({sql_list(demo)}) THEN 'demographic' "
+        f"WHEN {base} IN ({sql_list(pers)}) OR startswith({base}, 'personalization_') THEN 'personalization' "
+        f"WHEN {base} IN ({sql_list(FEEDBACK_QUESTIONS)}) THEN 'feedback' ELSE 'background' END"
     )
 
 
-def answer_label(base: Column, value: Column) -> Column:
+def answer_label(base: str, value: str) -> str:
     """Display label of a canonical answer code; unknown codes pass through."""
     flat = {f"{q}:{k}": lbl for q, m in ANSWER_LABELS.items() for k, lbl in m.items()}
     flat |= {f"{q}:{k}": lbl for q in LIKERT_QUESTIONS for k, lbl in LIKERT.items()}
-    codes = literal_map(flat)
-    s = _strip(value)
-    return F.coalesce(
-        F.element_at(codes, F.concat(base, F.lit(":"), s)),
-        F.element_at(codes, F.concat(base, F.lit(":"), F.lower(s))),
-        F.when(base.isin(*LIKERT_QUESTIONS) & s.rlike(r"^\d+$"), s),
-        value,
-    )
+    codes = sql_map(flat)
+    return f"coalesce({codes}[concat({base}, ':', {value})], {codes}[concat({base}, ':', lower({value}))], {value})"
 
 
 def latest_answers(events: DataFrame) -> DataFrame:
     """(user_id, question, answer array): the latest non-empty answer per raw question id."""
-    answers = events.select(
-        "user_id", "ts", "event_id", F.explode("survey_answers").alias("question", "answer")
-    ).filter(F.col("answer").isNotNull() & (F.concat_ws("", "answer") != ""))
-    return answers.groupBy("user_id", "question").agg(F.max_by("answer", F.struct("ts", "event_id")).alias("answer"))
+    answers = events.selectExpr("user_id", "ts", "event_id", "explode(survey_answers) AS (question, answer)")
+    return (
+        answers.filter("answer IS NOT NULL AND concat_ws('', answer) <> ''")
+        .groupBy("user_id", "question")
+        .agg(F.expr("max_by(answer, struct(ts, event_id)) AS answer"))
+    )
 
 
 def split_answers(events: DataFrame) -> DataFrame:
@@ -303,32 +299,23 @@ def split_answers(events: DataFrame) -> DataFrame:
     A question arrives under ``q:<base>`` and ``<base>``; the plain key wins. E-mail
     answers are dropped. ``score`` is set for single Likert answers.
     """
-    cleaned = (
-        latest_answers(events)
-        .withColumn("is_q", F.col("question").startswith("q:"))
-        .withColumn("base", F.regexp_replace("question", "^q:", ""))
-        .filter(~F.contains(F.lower("base"), F.lit("email")))
-        .withColumn(
-            "answer",
-            F.filter(
-                F.transform("answer", lambda v: _strip(F.translate(v, ZERO_WIDTH_SPACE, ""))), lambda v: v != ""
-            ),
-        )
-        .filter(F.size("answer") > 0)
+    stripped = _strip(f"translate(v, '{ZERO_WIDTH_SPACE}', '')")
+    cleaned = latest_answers(events).selectExpr(
+        "user_id", "startswith(question, 'q:') AS is_q", "regexp_replace(question, '^q:', '') AS base",
+        f"filter(transform(answer, v -> {stripped}), v -> v <> '') AS answer",
+    ).filter("size(answer) > 0 AND NOT contains(lower(base), 'email')")
+    one = (
+        cleaned.groupBy("user_id", "base")
+        .agg(F.expr("min_by(answer, is_q) AS answer"))
+        .selectExpr("*", f"{section_of('base')} AS section")
     )
-    one = cleaned.groupBy("user_id", "base").agg(F.min_by("answer", "is_q").alias("answer"))
-    single = F.get("answer", 0)
-    likert = F.col("base").isin(*LIKERT_QUESTIONS) & (F.size("answer") == 1) & single.rlike(r"^\d+$")
-    labelled = F.col("section").isin("feedback", "background")
-    return one.withColumn("section", section_of(F.col("base"))).select(
-        "user_id",
-        "section",
-        "base",
-        "answer",
-        F.when(labelled, F.transform("answer", lambda v: answer_label(F.col("base"), v)))
-        .otherwise(F.col("answer")).alias("labels"),
-        F.when(labelled & likert, single.cast("int")).alias("score"),
-        F.when(labelled & likert, F.lit(5)).alias("scale"),
+    labelled = "section IN ('feedback', 'background')"
+    likert = f"{labelled} AND base IN ({sql_list(LIKERT_QUESTIONS)}) AND size(answer) = 1 AND answer[0] RLIKE '^[0-9]+$'"
+    return one.selectExpr(
+        "user_id", "section", "base", "answer",
+        f"IF({labelled}, transform(answer, v -> {answer_label('base', 'v')}), answer) AS labels",
+        f"IF({likert}, CAST(answer[0] AS INT), NULL) AS score",
+        f"IF({likert}, 5, NULL) AS scale",
     )
 
 
@@ -336,6 +323,6 @@ def feedback_scores(events: DataFrame) -> DataFrame:
     """(user_id, question, score) of the post-visit Likert questions."""
     return (
         split_answers(events)
-        .filter((F.col("section") == "feedback") & F.col("score").isNotNull())
-        .select("user_id", F.col("base").alias("question"), "score")
+        .filter("section = 'feedback' AND score IS NOT NULL")
+        .selectExpr("user_id", "base AS question", "score")
     )

@@ -1,44 +1,39 @@
-"""Vector expressions (JVM side) and two small numpy helpers over packed rows."""
+"""Vector expressions as Spark SQL text, and small numpy helpers over packed rows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EARTH_RADIUS_M = 6371000.0
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+def dot(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (acc, x) -> acc + x)"
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
+def norm(a: str) -> str:
+    return f"sqrt(aggregate({a}, 0D, (acc, x) -> acc + x * x))"
 
 
-def cosine(a: Column, b: Column) -> Column:
+def cosine(a: str, b: str) -> str:
     """Cosine in [-1, 1]; 0 when a side is missing, zero or of another length."""
-    size = norm(a) * norm(b)
-    usable = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (size > 0)
-    return F.when(usable, dot(a, b) / size).otherwise(F.lit(0.0))
+    return f"(CASE WHEN size({a}) = size({b}) THEN coalesce(try_divide({dot(a, b)}, {norm(a)} * {norm(b)}), 0D) ELSE 0D END)"
 
 
-def unit(a: Column) -> Column:
+def unit(a: str) -> str:
     """L2-normalised copy; a zero vector is returned unchanged."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    return f"IF({norm(a)} > 0, transform({a}, v -> v / {norm(a)}), {a})"
 
 
-def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    dlat = F.radians(lat2 - lat1)
-    dlon = F.radians(lon2 - lon1)
-    h = F.pow(F.sin(dlat / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
-        F.sin(dlon / 2), F.lit(2.0)
+def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    h = (
+        f"pow(sin(radians({lat2} - {lat1}) / 2D), 2D) + cos(radians({lat1})) * cos(radians({lat2}))"
+        f" * pow(sin(radians({lon2} - {lon1}) / 2D), 2D)"
     )
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return f"(2D * {EARTH_RADIUS_M}D * asin(least(1D, sqrt({h}))))"
 
 
 def _unit_rows(flat, n: int) -> np.ndarray | None:

@@ -7,15 +7,16 @@ that holds a large share of the events does not overload one task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recspark.config import RecConfig
 from recspark.functions import engagement as eng
 from recspark.functions import survey as sv
+from recspark.functions.ordered import top_k
 from recspark.functions.vectors import unit
 
 VIEW_START = "CONTENT_VIEW_STARTED"
@@ -26,23 +27,16 @@ AREA_FACET = "place_where.camp_areas"
 
 def aggregate_views(events: DataFrame) -> DataFrame:
     """One row per (user, content) with visits, dwell, end reason, last time and rating."""
-    start = F.col("event") == VIEW_START
-    end = F.col("event") == VIEW_END
-    order = F.struct("ts", "event_id")
-    rating = F.element_at("survey_answers", "rating")
-    span = (
-        F.unix_micros(F.max(F.when(end, F.col("ts")))) - F.unix_micros(F.min(F.when(start, F.col("ts"))))
-    ) / F.lit(1e6)
-    return (
-        events.filter(F.col("content_id").isNotNull())
-        .groupBy("user_id", "content_id")
-        .agg(
-            F.greatest(F.count_if(start), F.lit(1)).alias("visits"),
-            F.coalesce(F.max("dwell_seconds"), F.greatest(span, F.lit(0.0))).alias("dwell_seconds"),
-            F.max_by(F.when(end, F.col("end_reason")), F.when(end, order)).alias("end_reason"),
-            F.max("ts").alias("last_ts"),
-            F.max_by(F.get(rating, 0).try_cast("double"), F.when(rating.isNotNull(), order)).alias("survey_rating"),
-        )
+    start, end = f"event = '{VIEW_START}'", f"event = '{VIEW_END}'"
+    order = "struct(ts, event_id)"
+    span = f"(unix_micros(max(IF({end}, ts, NULL))) - unix_micros(min(IF({start}, ts, NULL)))) / 1e6D"
+    rating = "survey_answers['rating']"
+    return events.filter("content_id IS NOT NULL").groupBy("user_id", "content_id").agg(
+        F.expr(f"greatest(count_if({start}), 1) AS visits"),
+        F.expr(f"coalesce(max(dwell_seconds), greatest({span}, 0D)) AS dwell_seconds"),
+        F.expr(f"max_by(end_reason, IF({end}, {order}, NULL)) AS end_reason"),
+        F.expr("max(ts) AS last_ts"),
+        F.expr(f"max_by(try_cast({rating}[0] AS DOUBLE), IF({rating} IS NOT NULL, {order}, NULL)) AS survey_rating"),
     )
 
 
@@ -51,229 +45,227 @@ def score_views(views: DataFrame, contents: DataFrame, now: datetime, cfg: RecCo
 
     An unknown content has estimate 0, so any dwell on it counts as fully read.
     """
-    info = contents.select("content_id", "word_count", "has_image")
-    estimate = eng.reading_time(
-        F.coalesce("word_count", F.lit(0)), F.coalesce("has_image", F.lit(False)), cfg
-    )
-    return (
-        views.join(info, "content_id", "left")
-        .withColumn("estimate", estimate)
-        .withColumn(
-            "strength",
-            eng.strength(F.col("dwell_seconds"), F.col("estimate"), F.col("end_reason"), F.col("visits"),
-                         F.col("survey_rating"), cfg),
-        )
-        .withColumn("dwell_ratio", eng.dwell_ratio(F.col("dwell_seconds"), F.col("estimate"), cfg))
-        .withColumn("outcome", eng.outcome(F.col("strength"), cfg))
-        .withColumn("decay", eng.decay(F.col("last_ts"), now, cfg))
-        .drop("word_count", "has_image")
+    known = views.join(contents.select("content_id", "word_count", "has_image"), "content_id", "left")
+    estimate = eng.reading_time("coalesce(word_count, 0)", "coalesce(has_image, false)", cfg)
+    kept = ("user_id", "content_id", "visits", "dwell_seconds", "end_reason", "last_ts", "survey_rating")
+    scored = known.selectExpr(*kept, f"{estimate} AS estimate").selectExpr(
+        "*",
+        f"{eng.strength('dwell_seconds', 'estimate', 'end_reason', 'visits', 'survey_rating', cfg)} AS strength",
+        f"{eng.dwell_ratio('dwell_seconds', 'estimate', cfg)} AS dwell_ratio",
+        f"{eng.decay('last_ts', now, cfg)} AS decay",
     )
+    return scored.selectExpr("*", f"{eng.outcome('strength', cfg)} AS outcome")
 
 
 def item_signals(scored: DataFrame) -> DataFrame:
-    """Scored views with the decayed signal weight (positive, negative or null)."""
-    weight = (
-        F.when(F.col("outcome") == "positive", F.greatest("strength", F.lit(0.0)) * F.col("decay"))
-        .when(F.col("outcome") == "negative", F.abs("strength") * F.col("decay"))
+    """Scored views with the decayed signal weight (null for neutral items)."""
+    return scored.selectExpr(
+        "*",
+        "CASE outcome WHEN 'positive' THEN greatest(strength, 0D) * decay "
+        "WHEN 'negative' THEN abs(strength) * decay END AS weight",
     )
-    return scored.withColumn("weight", weight)
 
 
 def positives(signals: DataFrame) -> DataFrame:
-    return signals.filter(F.col("outcome") == "positive").select("user_id", "content_id", "weight", "last_ts")
+    return signals.filter("outcome = 'positive'").select("user_id", "content_id", "weight", "last_ts")
 
 
 def soft_negatives(events: DataFrame, views: DataFrame, now: datetime, cfg: RecConfig) -> DataFrame:
     """Items shown in an impression set and never engaged: the freshest showing counts."""
     shown = (
-        events.filter(F.size("impressions") > 0)
-        .select("user_id", "ts", F.explode("impressions").alias("content_id"))
+        events.filter("size(impressions) > 0")
+        .selectExpr("user_id", "ts", "explode(impressions) AS content_id")
         .groupBy("user_id", "content_id")
-        .agg(F.max("ts").alias("ts"))
-    )
-    penalty = F.lit(cfg.soft_negative_weight) * eng.decay(F.col("ts"), now, cfg)
-    return (
-        shown.join(views.select("user_id", "content_id"), ["user_id", "content_id"], "left_anti")
-        .select("user_id", "content_id", penalty.alias("weight"))
+        .agg(F.expr("max(ts) AS ts"))
     )
+    unseen = shown.join(views.select("user_id", "content_id"), ["user_id", "content_id"], "left_anti")
+    return unseen.selectExpr("user_id", "content_id", f"{cfg.soft_negative_weight}D * {eng.decay('ts', now, cfg)} AS weight")
 
 
-def negatives(signals: DataFrame, soft: DataFrame) -> DataFrame:
-    explicit = signals.filter(F.col("outcome") == "negative").select("user_id", "content_id", "weight")
-    return (
-        explicit.unionByName(soft).groupBy("user_id", "content_id").agg(F.max("weight").alias("weight"))
-    )
+def negatives(explicit: DataFrame, soft: DataFrame) -> DataFrame:
+    return explicit.unionByName(soft).groupBy("user_id", "content_id").agg(F.expr("max(weight) AS weight"))
 
 
 def item_tag_weights(items: DataFrame, content_tags: DataFrame) -> DataFrame:
     """(user, key, amount) rows: item weight x tag weight, without proximity tags."""
-    tags = content_tags.filter(F.col("facet") != AREA_FACET).select(
-        "content_id", "key", F.col("weight").alias("tag_weight")
-    )
-    return items.join(tags, "content_id").select("user_id", "key", (F.col("weight") * F.col("tag_weight")).alias("amount"))
+    tags = content_tags.filter(f"facet <> '{AREA_FACET}'").selectExpr("content_id", "key", "weight AS tag_weight")
+    return items.join(tags, "content_id").selectExpr("user_id", "key", "weight * tag_weight AS amount")
 
 
 def fold_keys(amounts: DataFrame) -> DataFrame:
     """Case variants of a key merge, then each user's largest value becomes 1."""
-    folded = amounts.groupBy("user_id", F.lower("key").alias("key")).agg(F.sum("amount").alias("total"))
-    top = F.max("total").over(Window.partitionBy("user_id"))
-    return folded.select(
-        "user_id", "key", F.when(top > 0, F.col("total") / top).otherwise(F.col("total")).alias("weight")
+    folded = amounts.groupBy("user_id", F.expr("lower(key) AS key")).agg(F.expr("sum(amount) AS total"))
+    return folded.selectExpr("user_id", "key", "total", "max(total) OVER (PARTITION BY user_id) AS top").selectExpr(
+        "user_id", "key", "IF(top > 0, total / top, total) AS weight"
     )
 
 
 def survey_events(events: DataFrame) -> DataFrame:
-    return events.filter(
-        F.col("event").isin(*sv.DEMOGRAPHIC_EVENTS) & (F.size(F.coalesce("survey_answers", F.create_map())) > 0)
-    )
+    return events.filter(f"event IN ({sv.sql_list(sv.DEMOGRAPHIC_EVENTS)}) AND size(survey_answers) > 0")
 
 
 def survey_tag_weights(events: DataFrame) -> DataFrame:
     """Tags given by survey and identify answers; repeated events add up."""
-    entry = F.explode(sv.survey_affinity(F.col("survey_answers")))
-    return survey_events(events).select("user_id", entry.alias("e")).select(
-        "user_id", F.col("e.key").alias("key"), F.col("e.weight").alias("amount")
+    return survey_events(events).selectExpr(
+        "user_id", f"inline({sv.survey_affinity('survey_answers')}) AS (key, amount)"
     )
 
 
 def demographics(events: DataFrame, provider: DataFrame | None = None) -> DataFrame:
     """Latest answer per field; values of the external provider override them."""
-    answered = survey_events(events).select(
-        "user_id", F.struct("ts", "event_id").alias("at"), sv.demographics_of(F.col("survey_answers")).alias("d")
+    answered = survey_events(events).selectExpr(
+        "user_id", "struct(ts, event_id) AS at", f"{sv.demographics_of('survey_answers')} AS d"
+    )
+    out = answered.groupBy("user_id").agg(
+        *[F.expr(f"max_by(d.{f}, IF(d.{f} IS NOT NULL, at, NULL)) AS {f}") for f in sv.DEMO_FIELDS]
     )
-    latest = [
-        F.max_by(f"d.{f}", F.when(F.col(f"d.{f}").isNotNull(), F.col("at"))).alias(f) for f in sv.DEMO_FIELDS
-    ]
-    out = answered.groupBy("user_id").agg(*latest)
     if provider is None:
         return out
     given = [f for f in sv.DEMO_FIELDS if f in provider.columns]
-    p = provider.select("user_id", *[F.col(f).alias(f"p_{f}") for f in given])
-    merged = [
-        (F.coalesce(f"p_{f}", f) if f in given else F.col(f)).alias(f) for f in sv.DEMO_FIELDS
-    ]
-    return out.join(p, "user_id", "full_outer").select("user_id", *merged)
+    p = provider.selectExpr("user_id", *[f"{f} AS p_{f}" for f in given])
+    merged = [f"coalesce(p_{f}, {f}) AS {f}" if f in given else f for f in sv.DEMO_FIELDS]
+    return out.join(p, "user_id", "full_outer").selectExpr("user_id", *merged)
 
 
 def demographic_tag_weights(demo: DataFrame) -> DataFrame:
-    entries = sv.demographic_affinity(F.col("age"), F.col("gender"), F.col("nationality"), F.col("province"))
-    return demo.select("user_id", F.explode(entries).alias("e")).select(
-        "user_id", F.col("e.key").alias("key"), F.col("e.weight").alias("amount")
-    )
+    entries = sv.demographic_affinity("age", "gender", "nationality", "province")
+    return demo.selectExpr("user_id", f"inline({entries}) AS (key, amount)")
 
 
 def vector_dim(vectors: DataFrame, column: str = "vec") -> int:
-    row = vectors.filter(F.col(column).isNotNull()).select(F.size(column)).first()
+    row = vectors.filter(f"{column} IS NOT NULL").selectExpr(f"size({column})").first()
     return int(row[0]) if row else 0
 
 
-def weighted_centroid(items: DataFrame, vectors: DataFrame, keys: list[str], weight: Column, out: str) -> DataFrame:
+def weighted_centroid(items: DataFrame, vectors: DataFrame, keys: list[str], weight: str, out: str) -> DataFrame:
     """Normalised weighted vector sum per key; keys whose sum is all zero are dropped.
 
     One sum per dimension, so the vectors are never exploded into rows and partial
     aggregation works per map task.
     """
     dim = vector_dim(vectors)
-    joined = items.join(vectors.select("content_id", "vec"), "content_id").withColumn("_w", weight)
+    joined = items.join(vectors.select("content_id", "vec"), "content_id").withColumn("_w", F.expr(weight))
     sums = joined.groupBy(*keys).agg(
-        *[F.sum(F.col("_w") * F.get("vec", i)).alias(f"_d{i}") for i in range(dim)]
+        *[F.expr(f"sum(_w * get(vec, {i})) AS _d{i}") for i in range(dim)]
     )
-    packed = sums.select(*keys, F.array(*[F.col(f"_d{i}") for i in range(dim)]).alias("_sum"))
-    return packed.filter(F.exists("_sum", lambda x: x != 0)).select(*keys, unit(F.col("_sum")).alias(out))
+    packed = sums.selectExpr(*keys, "array(" + ", ".join(f"_d{i}" for i in range(dim)) + ") AS _sum")
+    return packed.filter("exists(_sum, x -> x <> 0)").selectExpr(*keys, f"{unit('_sum')} AS {out}")
 
 
 def latest_view(views: DataFrame) -> DataFrame:
     """Most recent item of each visitor (ties: lowest content id)."""
-    order = F.struct((-F.unix_micros("last_ts")).alias("age"), F.col("content_id"))
-    return views.groupBy("user_id").agg(F.min_by("content_id", order).alias("content_id"))
+    return views.groupBy("user_id").agg(
+        F.expr("min_by(content_id, struct(-unix_micros(last_ts), content_id)) AS content_id")
+    )
 
 
 def behavior(scored: DataFrame, neg: DataFrame) -> DataFrame:
     """Engagement summary per visitor. Visitors without views but with soft negatives count."""
     seen = scored.groupBy("user_id").agg(
-        F.count("*").alias("n_views"),
-        F.count_if(F.col("outcome") == "positive").alias("n_positive"),
-        F.avg("dwell_ratio").alias("avg_dwell_ratio"),
-        F.avg((F.col("end_reason").eqNullSafe("next_button")).cast("double")).alias("completion_rate"),
-        F.avg((F.col("visits") > 1).cast("double")).alias("revisit_rate"),
-        F.avg((F.col("outcome") == "positive").cast("double")).alias("depth"),
-    )
-    disliked = neg.groupBy("user_id").agg(F.count("*").alias("n_negative"))
-    joined = seen.join(disliked, "user_id", "full_outer")
-    return joined.select(
-        "user_id",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_views", "n_positive", "n_negative")],
-        *[F.coalesce(c, F.lit(0.0)).alias(c)
-          for c in ("avg_dwell_ratio", "completion_rate", "revisit_rate", "depth")],
+        F.expr("count(*) AS n_views"),
+        F.expr("count_if(outcome = 'positive') AS n_positive"),
+        F.expr("avg(dwell_ratio) AS avg_dwell_ratio"),
+        F.expr("avg(IF(end_reason = 'next_button', 1D, 0D)) AS completion_rate"),
+        F.expr("avg(IF(visits > 1, 1D, 0D)) AS revisit_rate"),
+        F.expr("avg(IF(outcome = 'positive', 1D, 0D)) AS depth"),
     )
+    disliked = neg.groupBy("user_id").agg(F.expr("count(*) AS n_negative"))
+    counts = [f"coalesce({c}, 0) AS {c}" for c in ("n_views", "n_positive", "n_negative")]
+    rates = [f"coalesce({c}, 0D) AS {c}" for c in ("avg_dwell_ratio", "completion_rate", "revisit_rate", "depth")]
+    return seen.join(disliked, "user_id", "full_outer").selectExpr("user_id", *counts, *rates)
 
 
 def recent_views(views: DataFrame, limit: int) -> DataFrame:
     """Each visitor's latest ``limit`` items, most recent first."""
-    from recspark.functions.ordered import top_k
-
     order = [F.col("last_ts").desc(), F.col("content_id")]
     return top_k(views.select("user_id", "content_id", "last_ts"), ["user_id"], order, limit, rank="recency_rank")
 
 
-@dataclass(frozen=True)
 class VisitorModel:
-    """The materialisable tables of the visitor model."""
-
-    signals: DataFrame       # user_id, content_id, visits, dwell..., strength, outcome, decay, weight
-    positives: DataFrame     # user_id, content_id, weight, last_ts
-    negatives: DataFrame     # user_id, content_id, weight
-    tag_affinity: DataFrame  # user_id, key, weight in [0, 1]
-    tag_aversion: DataFrame  # user_id, key, weight in [0, 1]
-    taste: DataFrame         # user_id, taste
-    recency: DataFrame       # user_id, recency
-    behavior: DataFrame
-    demographics: DataFrame
-    users: DataFrame         # user_id of every visitor with any event or profile
-
-
-def build_model(events: DataFrame, contents: DataFrame, content_tags: DataFrame, vectors: DataFrame,
-                now: datetime, cfg: RecConfig, provider: DataFrame | None = None) -> VisitorModel:
-    views = aggregate_views(events)
-    signals = item_signals(score_views(views, contents, now, cfg))
-    pos = positives(signals)
-    explicit = signals.filter(F.col("outcome") == "negative").select("user_id", "content_id", "weight")
-    neg = negatives(signals, soft_negatives(events, views, now, cfg))
-    demo = demographics(events, provider)
-    affinity = fold_keys(
-        item_tag_weights(pos, content_tags)
-        .unionByName(survey_tag_weights(events))
-        .unionByName(demographic_tag_weights(demo))
-    )
-    users = events.select("user_id").distinct()
-    if provider is not None:
-        users = users.union(provider.select("user_id")).distinct()
-    return VisitorModel(
-        signals=signals,
-        positives=pos,
-        negatives=neg,
-        tag_affinity=affinity,
-        tag_aversion=fold_keys(item_tag_weights(explicit, content_tags)),
-        taste=weighted_centroid(pos, vectors, ["user_id"], F.col("weight"), "taste"),
-        recency=latest_view(views).join(vectors, "content_id").select("user_id", F.col("vec").alias("recency")),
-        behavior=behavior(signals, neg),
-        demographics=demo,
-        users=users,
-    )
+    """The materialisable tables of the visitor model, each planned when first asked for."""
+
+    def __init__(self, events: DataFrame, contents: DataFrame, content_tags: DataFrame, vectors: DataFrame,
+                 now: datetime, cfg: RecConfig, provider: DataFrame | None = None):
+        self.events, self.contents, self.content_tags, self.vectors = events, contents, content_tags, vectors
+        self.now, self.cfg, self.provider = now, cfg, provider
+
+    @cached_property
+    def views(self) -> DataFrame:
+        return aggregate_views(self.events)
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """user_id, content_id, visits, dwell..., strength, outcome, decay, weight"""
+        return item_signals(score_views(self.views, self.contents, self.now, self.cfg))
+
+    @cached_property
+    def positives(self) -> DataFrame:
+        return positives(self.signals)
+
+    @cached_property
+    def explicit_negatives(self) -> DataFrame:
+        return self.signals.filter("outcome = 'negative'").select("user_id", "content_id", "weight")
+
+    @cached_property
+    def negatives(self) -> DataFrame:
+        """user_id, content_id, weight; soft negatives included"""
+        return negatives(self.explicit_negatives, soft_negatives(self.events, self.views, self.now, self.cfg))
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        """(user_id, content_id) that recommendations leave out: viewed or in the negatives."""
+        viewed = self.views.select("user_id", "content_id")
+        if not self.cfg.soft_negatives_block:
+            return viewed
+        return viewed.unionByName(self.negatives.select("user_id", "content_id")).distinct()
+
+    @cached_property
+    def demographics(self) -> DataFrame:
+        return demographics(self.events, self.provider)
+
+    @cached_property
+    def tag_affinity(self) -> DataFrame:
+        """user_id, key, weight in [0, 1]"""
+        return fold_keys(
+            item_tag_weights(self.positives, self.content_tags)
+            .unionByName(survey_tag_weights(self.events))
+            .unionByName(demographic_tag_weights(self.demographics))
+        )
+
+    @cached_property
+    def tag_aversion(self) -> DataFrame:
+        return fold_keys(item_tag_weights(self.explicit_negatives, self.content_tags))
+
+    @cached_property
+    def taste(self) -> DataFrame:
+        return weighted_centroid(self.positives, self.vectors, ["user_id"], "weight", "taste")
+
+    @cached_property
+    def recency(self) -> DataFrame:
+        latest = latest_view(self.views)
+        return latest.join(self.vectors, "content_id").select("user_id", F.col("vec").alias("recency"))
+
+    @cached_property
+    def behavior(self) -> DataFrame:
+        return behavior(self.signals, self.negatives)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        """Every visitor with an event or an external profile."""
+        users = self.events.select("user_id")
+        if self.provider is not None:
+            users = users.unionByName(self.provider.select("user_id"))
+        return users.distinct()
 
 
 def history_rows(signals: DataFrame, contents: DataFrame) -> DataFrame:
     """Per-content history of each visitor with title and outcome."""
-    titles = contents.select("content_id", "title")
-    return signals.join(titles, "content_id", "left").select(
-        "user_id", "content_id", F.coalesce("title", F.lit("")).alias("title"), "visits", "dwell_seconds",
-        "end_reason", "last_ts", "outcome",
+    return signals.join(contents.select("content_id", "title"), "content_id", "left").selectExpr(
+        "user_id", "content_id", "coalesce(title, '') AS title", "visits", "dwell_seconds", "end_reason", "last_ts", "outcome"
     )
 
 
 def demographic_values(demo: DataFrame) -> DataFrame:
     """(user_id, field, value): canonical demographic values in long form, junk dropped."""
-    long = demo.unpivot("user_id", list(sv.DEMO_FIELDS), "field", "raw").filter(F.col("raw").isNotNull())
-    return long.select(
-        "user_id", "field", sv.canon_demo_value(F.col("field"), F.col("raw")).alias("value")
-    ).filter(F.col("value").isNotNull())
+    long = demo.unpivot("user_id", list(sv.DEMO_FIELDS), "field", "raw").filter("raw IS NOT NULL")
+    return long.selectExpr("user_id", "field", f"{sv.canon_demo_value('field', 'raw')} AS value").filter("value IS NOT NULL")

@@ -4,129 +4,92 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = datetime(2024, 1, 31)
 
-# Fixed values of the mapping: answers that identify events carry, by user id.
-AGES = ("18_24", "25_34", "35_44", "55_64", "65_plus")
-GENDERS = ("female", "male", "Nonbinary", "Vrouw.")
-NATIONS = ("dutch", "germany", "Spain", "french", "Poolse", "new zealand")
-CONNECTIONS = ("yes", "nee", "family", "Ik weet het niet")
-
-
-def pick(values: tuple[str, ...], n: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(n, F.lit(len(values))).cast("int"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def one(value: Column) -> Column:
-    return F.array(value.cast("string"))
+# SQL of the mapping: event names, and the answers that identify and survey events carry.
+EVENT_SQL = """
+CASE WHEN event_type = 'view' THEN 'CONTENT_VIEW_STARTED'
+     WHEN event_type IN ('click', 'purchase', 'error') THEN 'CONTENT_VIEW_ENDED'
+     ELSE element_at(array('IDENTIFY', 'SURVEY_SUBMITTED', 'SURVEY_PRESENTED', 'SURVEY_DISMISSED', 'SESSION_STARTED',
+                           'SESSION_ENDED', 'CONTENT_LOOKUP', 'IDENTIFY'), CAST(event_id % 8 + 1 AS INT)) END
+"""
+TRAITS_SQL = """
+map('age_group', array(element_at(array('18_24', '25_34', '35_44', '55_64', '65_plus'), CAST(user_id % 5 + 1 AS INT))),
+    'gender', array(element_at(array('female', 'male', 'Nonbinary', 'Vrouw.'), CAST(user_id % 4 + 1 AS INT))),
+    'nationality', array(element_at(array('dutch', 'germany', 'Spain', 'french', 'Poolse', 'new zealand'), CAST(user_id % 6 + 1 AS INT))),
+    'province', array(concat('Province-', user_id % 12)),
+    'personal_connection', array(element_at(array('yes', 'nee', 'family', 'Ik weet het niet'), CAST(user_id % 4 + 1 AS INT))),
+    'email', array(IF(user_id % 3 = 0, 'visitor@example.org', 'nee')))
+"""
+SURVEY_SQL = """
+map('q:interest', array('Eens'), 'interest', array(CAST(event_id % 5 + 1 AS STRING)),
+    'boring', array(CAST(event_id div 5 % 5 + 1 AS STRING)), 'relevance', array('past', 'future'),
+    'prior_visit', array('once'), 'q:personalization_theme', array(concat('label-', user_id % 10), '17'))
+"""
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as canonical interaction events."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
-    slot = F.col("event_id") % 8
-    ended = kind.isin("click", "purchase", "error")
-    u = F.col("user_id")
-    event = (
-        F.when(kind == "view", "CONTENT_VIEW_STARTED")
-        .when(ended, "CONTENT_VIEW_ENDED")
-        .when(slot == 1, "SURVEY_SUBMITTED")
-        .when(slot == 2, "SURVEY_PRESENTED")
-        .when(slot == 3, "SURVEY_DISMISSED")
-        .when(slot == 4, "SESSION_STARTED")
-        .when(slot == 5, "SESSION_ENDED")
-        .when(slot == 6, "CONTENT_LOOKUP")
-        .otherwise("IDENTIFY")
+    base = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type", "value",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k", f"{EVENT_SQL} AS event",
     )
-    traits = F.create_map(
-        F.lit("age_group"), one(pick(AGES, u)),
-        F.lit("gender"), one(pick(GENDERS, u)),
-        F.lit("nationality"), one(pick(NATIONS, u)),
-        F.lit("province"), one(F.concat(F.lit("Province-"), (u % 12).cast("string"))),
-        F.lit("personal_connection"), one(pick(CONNECTIONS, u)),
-        F.lit("email"), one(F.when(u % 3 == 0, "visitor@example.org").otherwise("nee")),
-    )
-    n = F.col("event_id")
-    survey = F.create_map(
-        F.lit("q:interest"), one(F.lit("Eens")),
-        F.lit("interest"), one(n % 5 + 1),
-        F.lit("boring"), one(F.floor(n / 5) % 5 + 1),
-        F.lit("relevance"), F.array(F.lit("past"), F.lit("future")),
-        F.lit("prior_visit"), one(F.lit("once")),
-        F.lit("q:personalization_theme"), F.array(F.concat(F.lit("label-"), (u % 10).cast("string")), F.lit("17")),
-    )
-    rated = ended & (n % 10 == 0)
-    answers = (
-        F.when(event == "IDENTIFY", traits)
-        .when(event == "SURVEY_SUBMITTED", survey)
-        .when(rated, F.create_map(F.lit("rating"), one(F.floor(n / 10) % 5 + 1)))
-        .otherwise(F.create_map().cast("map<string,array<string>>"))
-    )
-    impressions = F.when(
-        kind == "view", F.array(((k + 1) % 100).cast("string"), ((k + 2) % 100).cast("string"))
-    ).otherwise(F.array().cast("array<string>"))
-    reason = F.when(kind == "click", "next_button").when(kind == "purchase", "link").when(kind == "error", "abandon")
-    return e.select(
+    return base.selectExpr(
         "event_id",
-        u.cast("string").alias("user_id"),
-        event.alias("event"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(kind != "signup", k.cast("string")).alias("content_id"),
-        F.when(ended, F.col("value")).alias("dwell_seconds"),
-        reason.alias("end_reason"),
-        F.when(event == "CONTENT_LOOKUP", F.concat(F.lit("story "), k.cast("string"))).alias("query_text"),
-        impressions.alias("impressions"),
-        answers.alias("survey_answers"),
+        "CAST(user_id AS STRING) AS user_id",
+        "event",
+        "ts",
+        "IF(event_type <> 'signup', CAST(k AS STRING), NULL) AS content_id",
+        "IF(event = 'CONTENT_VIEW_ENDED', value, NULL) AS dwell_seconds",
+        "CASE event_type WHEN 'click' THEN 'next_button' WHEN 'purchase' THEN 'link' WHEN 'error' THEN 'abandon' END AS end_reason",
+        "IF(event = 'CONTENT_LOOKUP', concat('story ', k), NULL) AS query_text",
+        "IF(event_type = 'view', array(CAST((k + 1) % 100 AS STRING), CAST((k + 2) % 100 AS STRING)), "
+        "CAST(array() AS ARRAY<STRING>)) AS impressions",
+        f"""CASE WHEN event = 'IDENTIFY' THEN {TRAITS_SQL}
+                 WHEN event = 'SURVEY_SUBMITTED' THEN {SURVEY_SQL}
+                 WHEN event = 'CONTENT_VIEW_ENDED' AND event_id % 10 = 0
+                      THEN map('rating', array(CAST(event_id div 10 % 5 + 1 AS STRING)))
+                 ELSE CAST(map() AS MAP<STRING, ARRAY<STRING>>) END AS survey_answers""",
     )
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
-    return v.join(d, "vec_id", "left").select(
-        F.col("vec_id").cast("string").alias("content_id"),
-        F.concat(F.lit("Item "), F.col("vec_id").cast("string")).alias("title"),
-        F.col("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(words).alias("word_count"),
-        (F.col("vec_id") % 3 == 0).alias("has_image"),
-        (F.lit(52.75) + (F.col("vec_id") % 100) * F.lit(0.0005)).alias("lat"),
-        (F.lit(9.90) + F.floor(F.col("vec_id") / 100) * F.lit(0.0005)).alias("lon"),
-        F.array((F.lit(1940) + F.col("vec_id") % 6).cast("int")).alias("years"),
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id AS vec_id", "text")
+    return v.join(d, "vec_id", "left").selectExpr(
+        "CAST(vec_id AS STRING) AS content_id",
+        "concat('Item ', vec_id) AS title",
+        "text",
+        r"IF(text IS NULL, 0, size(split(trim(text), '\\s+'))) AS word_count",
+        "vec_id % 3 = 0 AS has_image",
+        "52.75D + (vec_id % 100) * 0.0005D AS lat",
+        "9.90D + (vec_id div 100) * 0.0005D AS lon",
+        "array(CAST(1940 + vec_id % 6 AS INT)) AS years",
     )
 
 
+TAGS_SQL = """
+array_compact(array(
+  named_struct('facet', 'theme_what', 'label', concat('label_', label), 'weight', 1.0D),
+  named_struct('facet', 'theme_how.type_of_stores', 'label', concat('Store_', vec_id % 4), 'weight', 0.5D),
+  IF(vec_id % 5 = 0, named_struct('facet', 'place_where.camp_areas', 'label', concat('AiARLocationBarrack', vec_id % 7), 'weight', 1.0D), NULL),
+  IF(vec_id % 6 = 0, named_struct('facet', 'person_who.province_netherlands', 'label', concat('Province-', vec_id % 12), 'weight', 0.7D), NULL)))
+"""
+
+
 def content_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long tag table with the raw key, the canonical key and the tag position."""
+    """Long tag table: content_id, pos, facet, label, weight, key."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    i = F.col("vec_id")
-
-    def tag(facet: str, label: Column, weight: float, when: Column | None = None) -> Column:
-        s = F.struct(F.lit(facet).alias("facet"), label.alias("label"), F.lit(weight).alias("weight"))
-        return s if when is None else F.when(when, s)
-
-    tags = F.array_compact(
-        F.array(
-            tag("theme_what", F.concat(F.lit("label_"), F.col("label").cast("string")), 1.0),
-            tag("theme_how.type_of_stores", F.concat(F.lit("Store_"), (i % 4).cast("string")), 0.5),
-            tag("place_where.camp_areas", F.concat(F.lit("AiARLocationBarrack"), (i % 7).cast("string")), 1.0, i % 5 == 0),
-            tag("person_who.province_netherlands", F.concat(F.lit("Province-"), (i % 12).cast("string")), 0.7, i % 6 == 0),
-        )
-    )
-    return v.select(i.cast("string").alias("content_id"), F.posexplode(tags).alias("pos", "t")).select(
-        "content_id", "pos", "t.facet", "t.label", "t.weight",
-        F.concat("t.facet", F.lit(":"), "t.label").alias("key"),
-    )
+    long = v.selectExpr("CAST(vec_id AS STRING) AS content_id", f"posexplode({TAGS_SQL}) AS (pos, t)")
+    return long.selectExpr("content_id", "pos", "t.facet", "t.label", "t.weight", "concat(t.facet, ':', t.label) AS key")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,56 +100,49 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External demographics: customers that are also event users."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct()
-    return c.join(users, "c_custkey", "left_semi").join(n, "c_nationkey").select(
-        F.col("c_custkey").cast("string").alias("user_id"),
-        (F.lit(18) + F.col("c_custkey") % 60).cast("string").alias("age"),
-        F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).alias("nationality"),
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
+    users = table(spark, sf_dir, "events").selectExpr("user_id AS c_custkey").distinct()
+    return c.join(users, "c_custkey", "left_semi").join(n, "c_nationkey").selectExpr(
+        "CAST(c_custkey AS STRING) AS user_id",
+        "CAST(18 + c_custkey % 60 AS STRING) AS age",
+        "IF(c_custkey % 2 = 0, n_name, NULL) AS nationality",
     )
 
 
 def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as served requests (one row per request)."""
-    o = table(spark, sf_dir, "orders")
-    return o.select(
-        F.col("o_orderkey").cast("string").alias("request_id"),
-        F.col("o_custkey").cast("string").alias("user_id"),
-        F.col("o_orderdate").cast("timestamp").alias("ts"),
-        F.when(F.col("o_orderstatus") == "P", "cold").otherwise("warm").alias("strategy"),
-        F.col("o_orderpriority").alias("priority"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS request_id",
+        "CAST(o_custkey AS STRING) AS user_id",
+        "CAST(o_orderdate AS TIMESTAMP) AS ts",
+        "IF(o_orderstatus = 'P', 'cold', 'warm') AS strategy",
+        "o_orderpriority AS priority",
     )
 
 
+FEATURES_SQL = (
+    "array(l_quantity / 50D, l_discount * 10D, l_tax * 12.5D, l_linenumber / 7D, l_extendedprice / 105000D, "
+    "(l_suppkey % 10) / 10D)"
+)
+
+
 def served_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as served items: one row per (request, item), lowest position wins."""
-    l = table(spark, sf_dir, "lineitem")
-    features = F.array(
-        F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5,
-        F.col("l_linenumber") / 7, F.col("l_extendedprice") / 105000, (F.col("l_suppkey") % 10) / 10,
-    )
-    rows = l.select(
-        F.col("l_orderkey").cast("string").alias("request_id"),
-        F.col("l_partkey").cast("string").alias("content_id"),
-        F.struct(
-            F.col("l_linenumber").alias("rank"), "l_quantity", "l_returnflag", "l_linestatus",
-            F.when(F.col("l_linenumber") == 3, "distractor").otherwise("target").alias("role"),
-            features.alias("features"),
-        ).alias("line"),
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_orderkey AS STRING) AS request_id",
+        "CAST(l_partkey AS STRING) AS content_id",
+        f"""named_struct('rank', l_linenumber, 'l_quantity', l_quantity, 'l_returnflag', l_returnflag,
+             'l_linestatus', l_linestatus, 'role', IF(l_linenumber = 3, 'distractor', 'target'),
+             'features', {FEATURES_SQL}) AS line""",
     )
-    first = rows.groupBy("request_id", "content_id").agg(F.min_by("line", F.struct("line.rank", "line.l_quantity")).alias("line"))
+    first = rows.groupBy("request_id", "content_id").agg(F.expr("min_by(line, struct(line.rank, line.l_quantity)) AS line"))
     return first.select("request_id", "content_id", "line.*")
 
 
 def reward_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View-ended events of the served items that were opened."""
-    items = served_items(spark, sf_dir).filter(F.col("l_linestatus") == "F")
-    reason = (
-        F.when(F.col("l_returnflag") == "A", "next_button").when(F.col("l_returnflag") == "N", "link").otherwise("abandon")
-    )
-    return items.select(
-        "request_id", "content_id", F.lit("CONTENT_VIEW_ENDED").alias("event"),
-        F.col("rank").cast("long").alias("event_id"),
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("rank")).alias("ts"),
-        (F.col("l_quantity") * 2).alias("dwell_seconds"), reason.alias("end_reason"),
+    return served_items(spark, sf_dir).filter(F.col("l_linestatus") == "F").selectExpr(
+        "request_id", "content_id", "'CONTENT_VIEW_ENDED' AS event", "CAST(rank AS BIGINT) AS event_id",
+        "timestamp_seconds(1700000000 + rank) AS ts", "l_quantity * 2 AS dwell_seconds",
+        "CASE l_returnflag WHEN 'A' THEN 'next_button' WHEN 'N' THEN 'link' ELSE 'abandon' END AS end_reason",
     )

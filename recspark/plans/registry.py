@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from recspark.plans.oracle import with_ctes
 
@@ -27,11 +26,6 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
     return add
 
 
-def r6(col: Column | str) -> Column:
-    """Six decimals: sums of doubles depend on the order of addition in the last digits."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, 6) + F.lit(0.0)
-
-
-def micros(col: Column | str) -> Column:
-    return F.unix_micros(col)
+def r6(*names: str) -> list[str]:
+    """Columns at six decimals: sums of doubles depend on the order of addition in the last digits."""
+    return [f"round({n}, 6) + 0D AS {n}" for n in names]

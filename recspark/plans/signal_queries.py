@@ -12,7 +12,7 @@ from recspark.config import RecConfig
 from recspark.functions import survey as sv
 from recspark.operators import signals as sg
 from recspark.plans import bindings as b
-from recspark.plans.registry import micros, query, r6
+from recspark.plans.registry import query, r6
 
 CFG = RecConfig()
 
@@ -44,13 +44,9 @@ class World:
     def provider(self) -> DataFrame:
         return b.provider(self.spark, self.sf_dir)
 
-    @cached_property
-    def views(self) -> DataFrame:
-        return sg.aggregate_views(self.events)
-
     @cached_property
     def model(self) -> sg.VisitorModel:
-        return sg.build_model(self.events, self.contents, self.content_tags, self.vectors, b.NOW, CFG, self.provider)
+        return sg.VisitorModel(self.events, self.contents, self.content_tags, self.vectors, b.NOW, CFG, self.provider)
 
 
 @query("item_signals", """
@@ -59,9 +55,8 @@ SELECT user_id, content_id, strength_r AS strength, outcome, round(decay, 6) AS
 FROM (SELECT *, round(strength, 6) AS strength_r FROM scored_views)
 """)
 def item_signals(spark, sf_dir):
-    s = World(spark, sf_dir).model.signals
-    return s.select("user_id", "content_id", r6("strength").alias("strength"), "outcome", r6("decay").alias("decay"),
-                    r6("dwell_ratio").alias("dwell_ratio"), r6("weight").alias("weight"))
+    return World(spark, sf_dir).model.signals.selectExpr(
+        "user_id", "content_id", "outcome", *r6("strength", "decay", "dwell_ratio", "weight"))
 
 
 @query("view_aggregates", """
@@ -69,25 +64,24 @@ SELECT user_id, content_id, CAST(visits AS BIGINT) AS visits, round(dwell, 6) AS
        epoch_us(last_ts) AS last_us, rating AS survey_rating FROM views_agg
 """)
 def view_aggregates(spark, sf_dir):
-    v = World(spark, sf_dir).views
-    return v.select("user_id", "content_id", F.col("visits").cast("long").alias("visits"),
-                    r6("dwell_seconds").alias("dwell_seconds"), "end_reason", micros("last_ts").alias("last_us"),
-                    "survey_rating")
+    return World(spark, sf_dir).model.views.selectExpr(
+        "user_id", "content_id", "CAST(visits AS BIGINT) AS visits", *r6("dwell_seconds"), "end_reason",
+        "unix_micros(last_ts) AS last_us", "survey_rating")
 
 
 @query("negative_items", "SELECT user_id, content_id, round(weight, 6) AS weight FROM neg_items")
 def negative_items(spark, sf_dir):
-    return World(spark, sf_dir).model.negatives.select("user_id", "content_id", r6("weight").alias("weight"))
+    return World(spark, sf_dir).model.negatives.selectExpr("user_id", "content_id", *r6("weight"))
 
 
 @query("tag_affinity", "SELECT user_id, key, round(weight, 6) AS weight FROM affinity")
 def tag_affinity(spark, sf_dir):
-    return World(spark, sf_dir).model.tag_affinity.select("user_id", "key", r6("weight").alias("weight"))
+    return World(spark, sf_dir).model.tag_affinity.selectExpr("user_id", "key", *r6("weight"))
 
 
 @query("tag_aversion", "SELECT user_id, key, round(weight, 6) AS weight FROM aversion")
 def tag_aversion(spark, sf_dir):
-    return World(spark, sf_dir).model.tag_aversion.select("user_id", "key", r6("weight").alias("weight"))
+    return World(spark, sf_dir).model.tag_aversion.selectExpr("user_id", "key", *r6("weight"))
 
 
 @query("survey_tag_weights", """
@@ -95,7 +89,7 @@ SELECT user_id, key, round(sum(CAST(amount AS DOUBLE)), 6) AS amount FROM survey
 """)
 def survey_tag_weights(spark, sf_dir):
     w = sg.survey_tag_weights(World(spark, sf_dir).events)
-    return w.groupBy("user_id", "key").agg(r6(F.sum("amount")).alias("amount"))
+    return w.groupBy("user_id", "key").agg(F.expr("round(sum(amount), 6) AS amount"))
 
 
 @query("demographics", "SELECT * FROM demo")
@@ -113,15 +107,15 @@ SELECT user_id, CAST(i - 1 AS INTEGER) AS dim, round(x, 6) + 0.0 AS value
 FROM (SELECT user_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM taste)
 """)
 def taste_vectors(spark, sf_dir):
-    t = World(spark, sf_dir).model.taste
-    return t.select("user_id", F.posexplode("taste").alias("dim", "v")).select("user_id", "dim", r6("v").alias("value"))
+    t = World(spark, sf_dir).model.taste.selectExpr("user_id", "posexplode(taste) AS (dim, value)")
+    return t.selectExpr("user_id", "dim", *r6("value"))
 
 
 @query("recency_items", """
 SELECT user_id, arg_min(content_id, (-epoch_us(last_ts), content_id)) AS content_id FROM views_agg GROUP BY user_id
 """)
 def recency_items(spark, sf_dir):
-    return sg.latest_view(World(spark, sf_dir).views)
+    return sg.latest_view(World(spark, sf_dir).model.views)
 
 
 @query("recent_views", """
@@ -129,7 +123,7 @@ SELECT user_id, content_id, CAST(rn AS INTEGER) AS recency_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, content_id) AS rn FROM views_agg) WHERE rn <= 20
 """)
 def recent_views(spark, sf_dir):
-    return sg.recent_views(World(spark, sf_dir).views, 20).select("user_id", "content_id", "recency_rank")
+    return sg.recent_views(World(spark, sf_dir).model.views, 20).select("user_id", "content_id", "recency_rank")
 
 
 @query("behavior_stats", """
@@ -144,9 +138,9 @@ FROM (SELECT user_id, count(*) AS n_views, count(*) FILTER (outcome = 'positive'
 FULL OUTER JOIN (SELECT user_id, count(*) AS n_negative FROM neg_items GROUP BY user_id) n ON a.user_id = n.user_id
 """)
 def behavior_stats(spark, sf_dir):
-    s = World(spark, sf_dir).model.behavior
-    rates = ("avg_dwell_ratio", "completion_rate", "revisit_rate", "depth")
-    return s.select("user_id", "n_views", "n_positive", "n_negative", *[r6(c).alias(c) for c in rates])
+    return World(spark, sf_dir).model.behavior.selectExpr(
+        "user_id", "n_views", "n_positive", "n_negative",
+        *r6("avg_dwell_ratio", "completion_rate", "revisit_rate", "depth"))
 
 
 @query("visitor_sets", """
@@ -175,8 +169,8 @@ FROM scored_views v LEFT JOIN neg_items n ON n.user_id = v.user_id AND n.content
 def visitor_history(spark, sf_dir):
     w = World(spark, sf_dir)
     rows = sg.history_rows(w.model.signals, w.contents)
-    return rows.select("user_id", "content_id", "title", F.col("visits").cast("long").alias("visits"),
-                       r6("dwell_seconds").alias("dwell_seconds"), "end_reason", micros("last_ts").alias("last_us"), "outcome")
+    return rows.selectExpr("user_id", "content_id", "title", "CAST(visits AS BIGINT) AS visits", *r6("dwell_seconds"),
+                           "end_reason", "unix_micros(last_ts) AS last_us", "outcome")
 
 
 @query("survey_profile", """
@@ -197,8 +191,8 @@ SELECT user_id, section, base, answer, label, score FROM (
 """)
 def survey_profile(spark, sf_dir):
     rows = sv.split_answers(World(spark, sf_dir).events)
-    return rows.select("user_id", "section", "base", F.concat_ws("|", "answer").alias("answer"),
-                       F.concat_ws("|", "labels").alias("label"), "score")
+    return rows.selectExpr("user_id", "section", "base", "concat_ws('|', answer) AS answer",
+                           "concat_ws('|', labels) AS label", "score")
 
 
 @query("canonical_demographics", """
