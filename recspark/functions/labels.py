@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,15 +40,6 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def literal_map(mapping: dict[str, str]) -> Column:
-    """A small fixed mapping as one foldable SQL literal."""
-    return F.expr("map(" + ", ".join(sql_text(x) for pair in mapping.items() for x in pair) + ")")
-
-
-def replace_by(col: Column, mapping: dict) -> Column:
-    """Value of a small fixed mapping, or the column itself when the key is not in it."""
-    return F.coalesce(F.element_at(literal_map(mapping), col), col)
-
 
 @F.pandas_udf(T.StringType())
 def fold_accents(labels: pd.Series) -> pd.Series:
@@ -62,52 +53,42 @@ def fold_accents(labels: pd.Series) -> pd.Series:
     return labels.map(one)
 
 
-def _finish(folded: Column) -> Column:
-    out = F.trim(folded)
+def _finish(folded: str) -> str:
+    out = f"trim({folded})"
     for a, b in SPELLING:
-        out = F.regexp_replace(out, a, b)
-    out = F.trim(F.regexp_replace(out, r"[\s_\-]+", " "))
-    return replace_by(out, ALIASES)
+        out = f"replace({out}, '{a}', '{b}')"
+    out = rf"trim(regexp_replace({out}, '[\\s_\\-]+', ' '))"
+    aliases = "map(" + ", ".join(sql_text(x) for pair in ALIASES.items() for x in pair) + ")"
+    return f"coalesce({aliases}[{out}], {out})"
 
 
 def label_dim(labels: DataFrame, label: str = "label") -> DataFrame:
     """(label, norm_label) for the distinct labels. Only labels with non-ASCII letters go
     through Python; Spark has no Unicode decomposition."""
-    distinct = labels.select(F.col(label).alias("label")).filter(F.col("label").isNotNull()).distinct()
-    plain = F.translate("label", TYPOGRAPHIC, PLAIN)
-    has_accents = F.col("label").rlike(r"[^\x00-\x7F]")
-    ascii_part = distinct.filter(~has_accents).select("label", _finish(F.lower(plain)).alias("norm_label"))
-    other_part = distinct.filter(has_accents).select("label", _finish(fold_accents(plain)).alias("norm_label"))
-    return ascii_part.unionByName(other_part)
+    distinct = labels.selectExpr(f"{label} AS label").filter("label IS NOT NULL").distinct()
+    plain = f"translate(label, {sql_text(TYPOGRAPHIC)}, {sql_text(PLAIN)})"
+    accents = r"label RLIKE '[^\\x00-\\x7F]'"
+    ascii_part = distinct.filter(f"NOT {accents}").selectExpr("label", f"{_finish(f'lower({plain})')} AS norm_label")
+    folded = distinct.filter(accents).withColumn("folded", fold_accents(F.expr(plain)))
+    return ascii_part.unionByName(folded.selectExpr("label", f"{_finish('folded')} AS norm_label"))
 
 
-def decode_machine_tag(tag: Column) -> Column:
+def decode_machine_tag(tag: str) -> str:
     """``AiARLocationBarrack56`` becomes ``Barrack 56``; other tags pass through."""
-    rest = F.substring(tag, 13, 1_000_000)
-    spaced = F.regexp_replace(rest, r"(?<=[a-z])(?=[A-Z])", " ")
-    spaced = F.trim(F.regexp_replace(spaced, r"(?<=[A-Za-z])(?=\d)", " "))
-    return F.when(F.lower(F.substring(tag, 1, 12)) == "aiarlocation", spaced).otherwise(tag)
-
-
-def split_key(key: Column) -> tuple[Column, Column]:
-    """(facet, label) at the first colon; facet is null for a key without colon."""
-    at = F.instr(key, ":")
-    facet = F.when(at > 0, F.substring_index(key, ":", 1))
-    label = F.regexp_replace(key, r"^[^:]*:", "")
-    return facet, label
-
-
-def normalized_key(facet: Column, norm_label: Column) -> Column:
-    return F.when(facet.isNull(), norm_label).otherwise(F.concat(F.lower(F.trim(facet)), F.lit(":"), norm_label))
+    spaced = f"regexp_replace(substring({tag}, 13), '(?<=[a-z])(?=[A-Z])', ' ')"
+    spaced = f"trim(regexp_replace({spaced}, '(?<=[A-Za-z])(?=[0-9])', ' '))"
+    return f"IF(lower(substring({tag}, 1, 12)) = 'aiarlocation', {spaced}, {tag})"
 
 
 def with_nkey(df: DataFrame, key: str = "key", out: str = "nkey") -> DataFrame:
-    """Add the canonical form of a ``facet:label`` key column."""
-    facet, label = split_key(F.col(key))
-    split = df.withColumn("_facet", facet).withColumn("_label", label)
+    """Add the canonical form of a ``facet:label`` key, split at the first colon."""
+    columns = [c for c in df.columns if c != out]
+    split = df.selectExpr(
+        *columns,
+        f"IF(contains({key}, ':'), lower(trim(substring_index({key}, ':', 1))), NULL) AS _facet",
+        f"regexp_replace({key}, '^[^:]*:', '') AS _label",
+    )
     dim = label_dim(split, "_label").withColumnRenamed("label", "_label")
-    return (
-        split.join(dim, "_label", "left")
-        .withColumn(out, normalized_key(F.col("_facet"), F.col("norm_label")))
-        .drop("_facet", "_label", "norm_label")
+    return split.join(dim, "_label", "left").selectExpr(
+        *columns, f"IF(_facet IS NULL, norm_label, concat(_facet, ':', norm_label)) AS {out}"
     )

@@ -12,22 +12,21 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql.strip()
 
 
-def with_ctes(sql: str, recursive: bool = False) -> str:
+def with_ctes(sql: str) -> str:
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, inside: str = "") -> None:
         for name in CTES:
-            if re.search(rf"\b{name}\b", text) and name not in needed:
-                visit(CTES[name])
-                if name not in needed:
-                    needed.append(name)
+            if name != inside and name not in needed and re.search(rf"\b{name}\b", text):
+                visit(CTES[name], name)
+                needed.append(name)
 
     visit(sql)
     if not needed:
         return sql
-    body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in needed)
-    head = "WITH RECURSIVE" if recursive else "WITH"
-    return f"{head} {body}\n{sql.strip()}"
+    walks = [n for n in needed if re.search(rf"\b{n}\b", CTES[n])]
+    body = ",\n".join(f"{n} AS {'' if n in walks else 'MATERIALIZED '}({CTES[n]})" for n in needed)
+    return f"WITH {'RECURSIVE ' if walks else ''}{body}\n{sql.strip()}"
 
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"

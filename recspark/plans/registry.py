@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, recursive: bool = False):
+def query(name: str, sql: str | None = None):
     """Register a (spark, sf_dir) -> DataFrame function under ``name``."""
 
     def add(fn):
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, recursive)
+            ORACLES[name] = with_ctes(sql)
         return fn
 
     return add
