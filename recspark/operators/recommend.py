@@ -11,6 +11,7 @@ from recspark.config import RecConfig
 from recspark.operators import candidates as cg
 from recspark.operators.knn import nearest
 from recspark.operators.scoring import Catalogue, apply_policy, fuse, mmr, score_candidates, tag_score
+from recspark.session import materialize
 
 # requests: request_id, user_id, filter (nullable), lat, lon, radius_m (nullable)
 REQUEST_SCHEMA = "request_id string, user_id string, filter string, lat double, lon double, radius_m double"
@@ -49,7 +50,7 @@ def constrained_pool(requests: DataFrame, catalogue: Catalogue, seen: DataFrame
     k = cfg.pool_per_generator
     filtered = requests.filter("coalesce(filter, '') <> ''")
     located = requests.filter(GEO)
-    by_tag = cg.filter_recall(filtered, cg.filter_values(catalogue.tags), seen, k).selectExpr("*", "'filter' AS g")
+    by_tag = cg.filter_recall(filtered, catalogue.values, seen, k).selectExpr("*", "'filter' AS g")
     by_geo = cg.geo_recall(located, catalogue.contents, seen, k).selectExpr("request_id", "content_id", "'geo' AS g")
     hits = by_tag.unionByName(by_geo).groupBy("request_id", "content_id").agg(F.expr("count(*) AS found"))
     asked = requests.selectExpr(
@@ -68,9 +69,9 @@ def candidate_pool(requests: DataFrame, catalogue: Catalogue, model, cfg: RecCon
     users = free.select("user_id").distinct()
     order = cg.sample_order(catalogue.contents, cfg.seed)
 
-    pool = open_pool(users, catalogue, model, cfg)
+    pool = materialize(open_pool(users, catalogue, model, cfg))
     sizes = pool.groupBy("user_id").agg(F.expr("count(*) AS pool_size"))
-    fresh = pool.join(seen, ["user_id", "content_id"], "left_anti")
+    fresh = materialize(pool.join(seen, ["user_id", "content_id"], "left_anti"))
     dry = users.join(fresh, "user_id", "left_anti")
     sampled = cg.sample_outside(dry, seen.join(dry, "user_id", "left_semi"), order, cfg.pool_per_generator, key="user_id")
     per_user = fresh.selectExpr("user_id", "content_id", "generated_by", "false AS cold_fallback").unionByName(
@@ -80,13 +81,13 @@ def candidate_pool(requests: DataFrame, catalogue: Catalogue, model, cfg: RecCon
         "request_id", "user_id", "content_id", "generated_by", "cold_fallback", "false AS seen_fallback"
     )
 
-    bound_fresh = constrained_pool(bound, catalogue, seen, cfg)
+    bound_fresh = materialize(constrained_pool(bound, catalogue, seen, cfg))
     bound_rows = bound_fresh.selectExpr("*", "false AS cold_fallback", "false AS seen_fallback")
     if cfg.filter_reshow_when_exhausted:
         exhausted = bound.join(bound_fresh, "request_id", "left_anti")
         again = constrained_pool(exhausted, catalogue, None, cfg)
         bound_rows = bound_rows.unionByName(again.selectExpr("*", "false AS cold_fallback", "true AS seen_fallback"))
-    rows = open_rows.unionByName(bound_rows)
+    rows = materialize(open_rows.unionByName(bound_rows))
 
     counts = rows.groupBy("request_id").agg(
         F.expr("count(*) AS scored"), F.expr("bool_or(cold_fallback) AS cold_start_fallback"),
@@ -165,8 +166,10 @@ def recommend(requests: DataFrame, catalogue: Catalogue, model, cfg: RecConfig,
     learned = cfg.ranking_mode == "bandit" and policy is not None
     if learned:
         scored = apply_policy(scored, policy, cfg)
+    scored = materialize(scored)
     gate = distractor_gate(cfg)
-    ordered = mmr(scored, catalogue, cfg).filter(f"rank <= IF({gate}, {max(cfg.final_limit - 1, 1)}, {max(cfg.final_limit, 1)})")
+    longest = f"IF({gate}, {max(cfg.final_limit - 1, 1)}, {max(cfg.final_limit, 1)})"
+    ordered = materialize(mmr(scored, catalogue, cfg).filter(f"rank <= {longest}"))
     lengths = ordered.groupBy("request_id").agg(F.expr("count(*) AS n"))
     asked = requests.filter(gate).join(lengths, "request_id")
 
@@ -182,6 +185,7 @@ def recommend(requests: DataFrame, catalogue: Catalogue, model, cfg: RecConfig,
         f"CAST(least({distractor_slot(cfg)}, n + 1) AS INT) AS rank",
     )
 
+    distractors = materialize(distractors)
     shift = distractors.selectExpr("request_id", "rank AS slot")
     targets = ordered.join(scored, ["request_id", "content_id"]).join(shift, "request_id", "left").selectExpr(
         "request_id", "user_id", "CAST(rank + IF(rank >= slot, 1, 0) AS INT) AS rank", "content_id",

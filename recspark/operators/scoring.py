@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recspark.config import FEATURES, RecConfig
 from recspark.functions.labels import with_nkey
+from recspark.operators.candidates import filter_values
 from recspark.functions.vectors import haversine_m, mmr_udf, packed_best_match, packed_cosine
 from recspark.operators.signals import vector_dim
 
@@ -27,6 +28,11 @@ class Catalogue:
         """(content_id, nkey, weight): of tags with the same canonical key the last one counts."""
         return with_nkey(self.tags).groupBy("content_id", "nkey").agg(F.expr("max_by(weight, pos) AS weight"))
 
+    @cached_property
+    def values(self) -> DataFrame:
+        """(content_id, value): canonical tag values that a location filter is compared with."""
+        return filter_values(self.tags)
+
     @cached_property
     def dim(self) -> int:
         return vector_dim(self.vectors)

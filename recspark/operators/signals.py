@@ -18,6 +18,7 @@ from recspark.functions import engagement as eng
 from recspark.functions import survey as sv
 from recspark.functions.ordered import top_k
 from recspark.functions.vectors import unit
+from recspark.session import materialize
 
 VIEW_START = "CONTENT_VIEW_STARTED"
 VIEW_END = "CONTENT_VIEW_ENDED"
@@ -182,10 +183,14 @@ def recent_views(views: DataFrame, limit: int) -> DataFrame:
 
 
 class VisitorModel:
-    """The materialisable tables of the visitor model, each planned when first asked for."""
+    """The tables of the visitor model, each planned when first asked for.
+
+    ``stored`` writes the shared ones once, for jobs that read them several times.
+    """
 
     def __init__(self, events: DataFrame, contents: DataFrame, content_tags: DataFrame, vectors: DataFrame,
-                 now: datetime, cfg: RecConfig, provider: DataFrame | None = None):
+                 now: datetime, cfg: RecConfig, provider: DataFrame | None = None, stored: bool = False):
+        self.keep = materialize if stored else (lambda df: df)
         self.events, self.contents, self.content_tags, self.vectors = events, contents, content_tags, vectors
         self.now, self.cfg, self.provider = now, cfg, provider
 
@@ -196,7 +201,7 @@ class VisitorModel:
     @cached_property
     def signals(self) -> DataFrame:
         """user_id, content_id, visits, dwell..., strength, outcome, decay, weight"""
-        return item_signals(score_views(self.views, self.contents, self.now, self.cfg))
+        return self.keep(item_signals(score_views(self.views, self.contents, self.now, self.cfg)))
 
     @cached_property
     def positives(self) -> DataFrame:
@@ -209,40 +214,41 @@ class VisitorModel:
     @cached_property
     def negatives(self) -> DataFrame:
         """user_id, content_id, weight; soft negatives included"""
-        return negatives(self.explicit_negatives, soft_negatives(self.events, self.views, self.now, self.cfg))
+        return self.keep(negatives(self.explicit_negatives, soft_negatives(self.events, self.signals, self.now, self.cfg)))
 
     @cached_property
     def seen(self) -> DataFrame:
         """(user_id, content_id) that recommendations leave out: viewed or in the negatives."""
-        viewed = self.views.select("user_id", "content_id")
+        viewed = self.signals.select("user_id", "content_id")
         if not self.cfg.soft_negatives_block:
             return viewed
         return viewed.unionByName(self.negatives.select("user_id", "content_id")).distinct()
 
     @cached_property
     def demographics(self) -> DataFrame:
-        return demographics(self.events, self.provider)
+        return self.keep(demographics(self.events, self.provider))
 
     @cached_property
     def tag_affinity(self) -> DataFrame:
         """user_id, key, weight in [0, 1]"""
-        return fold_keys(
+        amounts = (
             item_tag_weights(self.positives, self.content_tags)
             .unionByName(survey_tag_weights(self.events))
             .unionByName(demographic_tag_weights(self.demographics))
         )
+        return self.keep(fold_keys(amounts))
 
     @cached_property
     def tag_aversion(self) -> DataFrame:
-        return fold_keys(item_tag_weights(self.explicit_negatives, self.content_tags))
+        return self.keep(fold_keys(item_tag_weights(self.explicit_negatives, self.content_tags)))
 
     @cached_property
     def taste(self) -> DataFrame:
-        return weighted_centroid(self.positives, self.vectors, ["user_id"], "weight", "taste")
+        return self.keep(weighted_centroid(self.positives, self.vectors, ["user_id"], "weight", "taste"))
 
     @cached_property
     def recency(self) -> DataFrame:
-        latest = latest_view(self.views)
+        latest = latest_view(self.signals)
         return latest.join(self.vectors, "content_id").select("user_id", F.col("vec").alias("recency"))
 
     @cached_property

@@ -96,15 +96,15 @@ SELECT user_id, content_id, d FROM (
 """)
 cte("cand_scores", """
 SELECT c.user_id, c.content_id,
-  coalesce((list_cosine_similarity(t.v, v.v) + 1) / 2, 0) AS semantic,
-  coalesce((SELECT max(greatest((list_cosine_similarity(v.v, lv.v) + 1) / 2 * p.weight / p.top, 0)) FROM (
+  coalesce((list_cosine_similarity(t.v, cv.v) + 1) / 2, 0) AS semantic,
+  coalesce((SELECT max(greatest((list_cosine_similarity(cv.v, lv.v) + 1) / 2 * p.weight / p.top, 0)) FROM (
      SELECT *, max(weight) OVER (PARTITION BY user_id) AS top FROM pos_items) p JOIN vec lv ON lv.content_id = p.content_id WHERE p.user_id = c.user_id), 0) AS affinity,
   coalesce((SELECT sum(a.weight * k.weight) FROM aff_keys a JOIN ctag_keys k ON k.nkey = a.nkey WHERE a.user_id = c.user_id AND k.content_id = c.content_id)
      / (SELECT sum(weight) FROM affinity a WHERE a.user_id = c.user_id), 0) AS tag,
-  coalesce((list_cosine_similarity(r.v, v.v) + 1) / 2, 0) AS recency,
+  coalesce((list_cosine_similarity(r.v, cv.v) + 1) / 2, 0) AS recency,
   coalesce((SELECT sum(a.weight * k.weight) FROM av_keys a JOIN ctag_keys k ON k.nkey = a.nkey WHERE a.user_id = c.user_id AND k.content_id = c.content_id)
-     / (SELECT sum(weight) FROM aversion a WHERE a.user_id = c.user_id), 0) AS aversion, v.v
-FROM open_cand c JOIN vec v ON v.content_id = c.content_id LEFT JOIN taste t ON t.user_id = c.user_id LEFT JOIN recency r ON r.user_id = c.user_id
+     / (SELECT sum(weight) FROM aversion a WHERE a.user_id = c.user_id), 0) AS aversion, cv.v
+FROM open_cand c JOIN vec cv ON cv.content_id = c.content_id LEFT JOIN taste t ON t.user_id = c.user_id LEFT JOIN recency r ON r.user_id = c.user_id
 """)
 cte("fused", """
 SELECT *, CAST(0.20 AS DOUBLE) * semantic + CAST(0.10 AS DOUBLE) * affinity + CAST(0.45 AS DOUBLE) * least(tag, 1)
@@ -149,26 +149,26 @@ FROM distractor d JOIN vec v ON v.content_id = d.content_id LEFT JOIN taste t ON
 
 @query("semantic_recall", "SELECT user_id, content_id, round(score, 6) + 0.0 AS base_score FROM sem_pool")
 def semantic_recall(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     return cg.semantic_recall(w.model.taste, w.vectors, CFG.pool_per_generator).selectExpr(
         "user_id", "content_id", *r6("base_score"))
 
 
 @query("tag_recall", "SELECT user_id, content_id, score AS base_score FROM tag_pool")
 def tag_recall(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     return cg.tag_recall(w.model.tag_affinity, w.catalogue.tags_nkey, CFG)
 
 
 @query("filter_recall", "SELECT user_id AS request_id, content_id FROM filter_hits")
 def filter_recall(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
-    return cg.filter_recall(w.requests.filter("filter IS NOT NULL"), cg.filter_values(w.content_tags), w.model.seen, 30)
+    w = RecWorld(spark, sf_dir, stored=True)
+    return cg.filter_recall(w.requests.filter("filter IS NOT NULL"), w.catalogue.values, w.model.seen, 30)
 
 
 @query("geo_recall", "SELECT user_id AS request_id, content_id, round(-d, 6) AS base_score FROM geo_hits")
 def geo_recall(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     hits = cg.geo_recall(w.requests.filter("lat IS NOT NULL"), w.contents, w.model.seen, 30)
     return hits.selectExpr("request_id", "content_id", *r6("base_score"))
 
@@ -179,14 +179,14 @@ FROM reqs r JOIN (SELECT user_id, content_id, count(*) AS n FROM (SELECT user_id
 WHERE n = (CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN lat IS NOT NULL THEN 1 ELSE 0 END)
 """)
 def constrained_pool(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     bound = w.requests.filter(rc.CONSTRAINED)
     return rc.constrained_pool(bound, w.catalogue, w.model.seen, CFG).select("request_id", "content_id", "generated_by")
 
 
 @query("open_candidates", "SELECT user_id, content_id, generated_by FROM open_cand")
 def open_candidates(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     pool = rc.open_pool(w.open_requests.select("user_id"), w.catalogue, w.model, CFG)
     return pool.join(w.model.seen, ["user_id", "content_id"], "left_anti").select("user_id", "content_id", "generated_by")
 
@@ -198,7 +198,7 @@ SELECT user_id, content_id, rn AS draw FROM (
   WHERE NOT EXISTS (SELECT 1 FROM seen_items s WHERE s.user_id = u.user_id AND s.content_id = c.content_id)) WHERE rn <= 5
 """)
 def catalogue_sample(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     users = w.events.select("user_id").distinct()
     return cg.sample_outside(users, w.model.seen, cg.sample_order(w.contents, 7), 5, key="user_id")
 
@@ -208,7 +208,7 @@ SELECT user_id AS request_id, content_id, round(semantic, 6) AS semantic, round(
        round(recency, 6) AS recency, round(least(aversion, 1), 6) AS aversion, round(score, 6) + 0.0 AS final_score FROM fused
 """)
 def candidate_features(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     pool, _ = rc.candidate_pool(w.open_requests, w.catalogue, w.model, CFG)
     fused = fuse(score_candidates(pool, w.catalogue, w.model, CFG), CFG)
     return fused.selectExpr(
@@ -219,14 +219,14 @@ def candidate_features(spark, sf_dir):
 SELECT user_id AS request_id, CAST(rank AS INTEGER) AS rank, content_id, role, round(score, 6) + 0.0 AS relevance_score FROM rec_items
 """)
 def recommendations(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     items = rc.recommend(w.open_requests, w.catalogue, w.model, CFG).items
     return items.selectExpr("request_id", "rank", "content_id", "role", *r6("relevance_score"))
 
 
 @query("constrained_recommendations")
 def constrained_recommendations(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     items = rc.recommend(w.requests.filter(rc.CONSTRAINED), w.catalogue, w.model, CFG).items
     return items.selectExpr("request_id", "rank", "content_id", "role", *r6("relevance_score"))
 
@@ -236,7 +236,7 @@ SELECT u.user_id AS request_id, 'warm' AS strategy, (SELECT count(DISTINCT conte
   (SELECT count(*) FROM open_cand c WHERE c.user_id = u.user_id) AS scored FROM (SELECT DISTINCT user_id FROM taste) u
 """)
 def recommendation_diagnostics(spark, sf_dir):
-    w = RecWorld(spark, sf_dir)
+    w = RecWorld(spark, sf_dir, stored=True)
     _, info = rc.candidate_pool(w.open_requests, w.catalogue, w.model, CFG)
     return info.select("request_id", "strategy", "pool_size", "scored")
 

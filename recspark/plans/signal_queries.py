@@ -23,6 +23,7 @@ class World:
 
     spark: SparkSession
     sf_dir: str
+    stored: bool = False
 
     @cached_property
     def events(self) -> DataFrame:
@@ -46,7 +47,8 @@ class World:
 
     @cached_property
     def model(self) -> sg.VisitorModel:
-        return sg.VisitorModel(self.events, self.contents, self.content_tags, self.vectors, b.NOW, CFG, self.provider)
+        return sg.VisitorModel(self.events, self.contents, self.content_tags, self.vectors, b.NOW, CFG, self.provider,
+                               stored=self.stored)
 
 
 @query("item_signals", """

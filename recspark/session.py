@@ -1,8 +1,9 @@
-"""Session settings and the two cluster-aware helpers every iterative job needs."""
+"""Session settings, bounded broadcast and materialisation in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,32 @@ def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFram
     return df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of the cluster (survives lost executors)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where
+    none is named (tests, local runs)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None:
+        configured = tempfile.mkdtemp(prefix="recspark-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def materialize(df: DataFrame, *cluster_by: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    The stages after it plan on a leaf with known size, nothing before it runs twice, and
+    a lost executor costs one task, not the whole lineage.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
+    path = f"{shared_folder(spark)}/recspark/{uuid.uuid4().hex}"
+    out = df.repartition(*cluster_by) if cluster_by else df
+    out.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, for small tables of iterative jobs."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="recspark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
