@@ -62,15 +62,27 @@ def _finish(folded: str) -> str:
     return f"coalesce({aliases}[{out}], {out})"
 
 
-def label_dim(labels: DataFrame, label: str = "label") -> DataFrame:
-    """(label, norm_label) for the distinct labels. Only labels with non-ASCII letters go
-    through Python; Spark has no Unicode decomposition."""
-    distinct = labels.selectExpr(f"{label} AS label").filter("label IS NOT NULL").distinct()
-    plain = f"translate(label, {sql_text(TYPOGRAPHIC)}, {sql_text(PLAIN)})"
-    accents = r"label RLIKE '[^\\x00-\\x7F]'"
-    ascii_part = distinct.filter(f"NOT {accents}").selectExpr("label", f"{_finish(f'lower({plain})')} AS norm_label")
-    folded = distinct.filter(accents).withColumn("folded", fold_accents(F.expr(plain)))
-    return ascii_part.unionByName(folded.selectExpr("label", f"{_finish('folded')} AS norm_label"))
+PLAIN_LABEL = f"translate({{label}}, {sql_text(TYPOGRAPHIC)}, {sql_text(PLAIN)})"
+
+
+def with_norm_label(df: DataFrame, label: str, out: str = "norm_label") -> DataFrame:
+    """Add the canonical form of a label column.
+
+    ASCII labels are normalised in place. Spark has no Unicode decomposition, so labels
+    with other letters go through Python once per distinct label; where there are none
+    that side of the join is empty and adaptive execution drops it.
+    """
+    columns = [c for c in df.columns if c != out]
+    accents = rf"{label} RLIKE '[^\\x00-\\x7F]'"
+    folded = (
+        df.filter(accents).selectExpr(f"{label} AS _raw").distinct()
+        .withColumn("_folded", fold_accents(F.expr(PLAIN_LABEL.format(label="_raw"))))
+        .selectExpr("_raw", f"{_finish('_folded')} AS _norm")
+    )
+    simple = _finish(f"lower({label})")
+    return df.join(folded, df[label] == folded["_raw"], "left").selectExpr(
+        *columns, f"coalesce(_norm, {simple}) AS {out}"
+    )
 
 
 def decode_machine_tag(tag: str) -> str:
@@ -88,7 +100,6 @@ def with_nkey(df: DataFrame, key: str = "key", out: str = "nkey") -> DataFrame:
         f"IF(contains({key}, ':'), lower(trim(substring_index({key}, ':', 1))), NULL) AS _facet",
         f"regexp_replace({key}, '^[^:]*:', '') AS _label",
     )
-    dim = label_dim(split, "_label").withColumnRenamed("label", "_label")
-    return split.join(dim, "_label", "left").selectExpr(
+    return with_norm_label(split, "_label").selectExpr(
         *columns, f"IF(_facet IS NULL, norm_label, concat(_facet, ':', norm_label)) AS {out}"
     )

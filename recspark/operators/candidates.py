@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recspark.config import RecConfig
-from recspark.functions.labels import decode_machine_tag, label_dim, with_nkey
+from recspark.functions.labels import decode_machine_tag, with_norm_label
 from recspark.functions.ordered import global_position, top_k
 from recspark.functions.vectors import haversine_m
 from recspark.operators.knn import nearest
+from recspark.session import materialize
 
 CELL_DEGREES = 0.02
 METRES_PER_DEGREE = 111_194.0
@@ -24,7 +25,7 @@ def semantic_recall(taste: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def top_keys(affinity: DataFrame, n: int) -> DataFrame:
     """(user_id, nkey): canonical form of each user's n strongest tag keys."""
     order = [F.expr("round(weight, 9)").desc(), F.col("key")]
-    return with_nkey(top_k(affinity, ["user_id"], order, n)).select("user_id", "nkey").distinct()
+    return top_k(affinity, ["user_id"], order, n).select("user_id", "nkey").distinct()
 
 
 def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig) -> DataFrame:
@@ -36,9 +37,12 @@ def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig) -> Dat
     costs one row per tag set, not one per item.
     """
     k = cfg.pool_per_generator
-    keyset = top_keys(affinity, cfg.tag_keys_per_user).groupBy("user_id").agg(
-        F.expr("array_sort(collect_set(nkey)) AS keys")
-    ).selectExpr("user_id", "keys", "sha2(concat_ws('\\n', keys), 256) AS keyset")
+    keyset = materialize(
+        top_keys(affinity, cfg.tag_keys_per_user)
+        .groupBy("user_id")
+        .agg(F.expr("array_sort(collect_list(nkey)) AS keys"))
+        .selectExpr("user_id", "keys", "sha2(concat_ws('\\n', keys), 256) AS keyset")
+    )
     profile = tags_nkey.groupBy("content_id").agg(F.expr("array_sort(collect_set(nkey)) AS keys")).selectExpr(
         "content_id", "keys", "sha2(concat_ws('\\n', keys), 256) AS profile"
     )
@@ -56,7 +60,7 @@ def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig) -> Dat
 def filter_values(tags: DataFrame) -> DataFrame:
     """(content_id, value): canonical tag values that a location filter is compared with."""
     decoded = tags.selectExpr("content_id", f"{decode_machine_tag('label')} AS label")
-    return decoded.join(label_dim(decoded), "label").selectExpr("content_id", "norm_label AS value").distinct()
+    return with_norm_label(decoded, "label", "value").select("content_id", "value").distinct()
 
 
 def filter_recall(requests: DataFrame, values: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
@@ -69,7 +73,7 @@ def filter_recall(requests: DataFrame, values: DataFrame, seen: DataFrame | None
         "value", "content_id", "row_number() OVER (PARTITION BY value ORDER BY content_id) AS position"
     )
     asked = requests.selectExpr("request_id", "user_id", f"{decode_machine_tag('filter')} AS label")
-    asked = asked.join(label_dim(asked), "label").selectExpr("request_id", "user_id", "norm_label AS value")
+    asked = with_norm_label(asked, "label", "value").select("request_id", "user_id", "value")
     if seen is None:
         return asked.join(ranked.filter(f"position <= {k}"), "value").select("request_id", "content_id")
     blocked = seen.join(values, "content_id").groupBy("user_id", "value").agg(F.expr("count(*) AS m"))

@@ -139,7 +139,7 @@ def open_distractors(requests: DataFrame, ranked: DataFrame, catalogue: Catalogu
         far = requests.select("request_id", "user_id").join(far, "user_id").join(
             barred.select("request_id", "content_id"), ["request_id", "content_id"], "left_anti"
         )
-        found = far.groupBy("request_id", "user_id").agg(F.expr("min_by(content_id, rank) AS content_id"))
+        found = materialize(far.groupBy("request_id", "user_id").agg(F.expr("min_by(content_id, rank) AS content_id")))
     rest = requests if found is None else requests.join(found, "request_id", "left_anti")
     order = cg.sample_order(catalogue.contents, cfg.seed + 1)
     n = 20 if cfg.distractor_strategy == "unexplored_theme" else 1

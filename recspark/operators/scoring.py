@@ -94,9 +94,8 @@ def vector_scores(candidates: DataFrame, catalogue: Catalogue, taste: DataFrame,
 
 def tag_score(candidates: DataFrame, tags_nkey: DataFrame, weights: DataFrame, name: str) -> DataFrame:
     """(request_id, content_id, name): share of the visitor's key weight the item's tags carry."""
-    keyed = with_nkey(weights)
     total = weights.groupBy("user_id").agg(F.expr("sum(weight) AS total"))
-    per_key = keyed.groupBy("user_id", "nkey").agg(F.expr("sum(weight) AS held"))
+    per_key = weights.groupBy("user_id", "nkey").agg(F.expr("sum(weight) AS held"))
     matched = (
         candidates.select("request_id", "user_id", "content_id")
         .join(tags_nkey, "content_id")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from recspark.config import RecConfig
 from recspark.functions import engagement as eng
 from recspark.functions import survey as sv
+from recspark.functions.labels import with_nkey
 from recspark.functions.ordered import top_k
 from recspark.functions.vectors import unit
 from recspark.session import materialize
@@ -94,11 +95,13 @@ def item_tag_weights(items: DataFrame, content_tags: DataFrame) -> DataFrame:
 
 
 def fold_keys(amounts: DataFrame) -> DataFrame:
-    """Case variants of a key merge, then each user's largest value becomes 1."""
+    """(user_id, key, weight, nkey): case variants of a key merge, each user's largest value
+    becomes 1, and the canonical key is kept beside the folded one."""
     folded = amounts.groupBy("user_id", F.expr("lower(key) AS key")).agg(F.expr("sum(amount) AS total"))
-    return folded.selectExpr("user_id", "key", "total", "max(total) OVER (PARTITION BY user_id) AS top").selectExpr(
+    scaled = folded.selectExpr("user_id", "key", "total", "max(total) OVER (PARTITION BY user_id) AS top").selectExpr(
         "user_id", "key", "IF(top > 0, total / top, total) AS weight"
     )
+    return with_nkey(scaled)
 
 
 def survey_events(events: DataFrame) -> DataFrame:

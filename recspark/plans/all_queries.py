@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from recspark.plans import recommend_queries, signal_queries  # noqa: F401
+from recspark.plans import bandit_queries, recommend_queries, signal_queries  # noqa: F401
 from recspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
