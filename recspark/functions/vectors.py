@@ -25,7 +25,7 @@ def cosine(a: str, b: str) -> str:
 
 def unit(a: str) -> str:
     """L2-normalised copy; a zero vector is returned unchanged."""
-    return f"IF({norm(a)} > 0, transform({a}, v -> v / {norm(a)}), {a})"
+    return f"IF({norm(a)} > 0, transform({a}, unit_x -> unit_x / {norm(a)}), {a})"
 
 
 def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recspark.functions.ordered import top_k
@@ -30,23 +30,31 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), CHUNK_ROWS):
             part = pdf.iloc[at:at + CHUNK_ROWS]
-            yield pd.DataFrame({"qids": [part["qid"].tolist()], "qflat": [np.concatenate(part["qvec"].to_list())]})
+            yield pd.DataFrame({
+                "qids": [part["qid"].tolist()], "extras": [part["extra"].tolist()],
+                "qflat": [np.concatenate(part["qvec"].to_list())],
+            })
 
 
 def _best_of_pair(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for qids, qflat, ids, flat in zip(pdf["qids"], pdf["qflat"], pdf["ids"], pdf["flat"]):
+            for qids, extras, qflat, ids, flat in zip(pdf["qids"], pdf["extras"], pdf["qflat"], pdf["ids"], pdf["flat"]):
                 q = _unit(np.asarray(qflat, dtype=np.float64).reshape(len(qids), -1))
                 m = _unit(np.asarray(flat, dtype=np.float64).reshape(len(ids), -1))
                 scores = q @ m.T
-                keep = min(k, len(ids))
-                bar = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1:keep]
-                row, col = np.nonzero(scores >= bar)
-                ids = np.asarray(ids, dtype=object)
-                yield pd.DataFrame(
-                    {"qid": np.asarray(qids, dtype=object)[row], "content_id": ids[col], "score": scores[row, col]}
-                )
+                keep = np.minimum(k + np.asarray(extras, dtype=np.int64), len(ids))
+                row, col = [], []
+                for r, n in enumerate(keep):
+                    bar = -np.partition(-scores[r], n - 1)[n - 1]
+                    hit = np.nonzero(scores[r] >= bar)[0]
+                    row.append(np.full(len(hit), r))
+                    col.append(hit)
+                row, col = np.concatenate(row), np.concatenate(col)
+                yield pd.DataFrame({
+                    "qid": np.asarray(qids, dtype=object)[row], "content_id": np.asarray(ids, dtype=object)[col],
+                    "score": scores[row, col], "wanted": k + np.asarray(extras, dtype=np.int32)[row],
+                })
 
     return run
 
@@ -55,6 +63,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, content_id, score, rank): the k best items of each query (ties by id).
 
     ``queries`` has qid and qvec; ``vectors`` has content_id and vec of the same length.
+    An optional int column ``extra`` asks for k + extra items, so that a caller that drops
+    up to ``extra`` known items afterwards still has k.
     """
     spark = queries.sparkSession
     have = vectors.filter("vec IS NOT NULL")
@@ -65,13 +75,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         .agg(F.expr("array_sort(collect_list(item)) AS items"))
         .selectExpr("block", "items.content_id AS ids", "flatten(items.vec) AS flat")
     )
-    spread = queries.filter("qvec IS NOT NULL").selectExpr("CAST(qid AS STRING) AS qid", "qvec")
+    spread = queries.filter("qvec IS NOT NULL").selectExpr(
+        "CAST(qid AS STRING) AS qid", "qvec", "extra" if "extra" in queries.columns else "0 AS extra"
+    )
     if blocks == 1:
         # few pairs: spread the queries, or one task would do all the products
         spread = spread.repartition(spark.sparkContext.defaultParallelism, "qid")
-    chunks = spread.mapInPandas(_pack, "qids array<string>, qflat array<double>").withColumn(
+    chunks = spread.mapInPandas(_pack, "qids array<string>, extras array<int>, qflat array<double>").withColumn(
         "block", F.expr(f"explode(sequence(0L, {blocks - 1}L))")
     )
-    pairs = chunks.join(packed_items, "block").select("qids", "qflat", "ids", "flat")
-    best = pairs.mapInPandas(_best_of_pair(k), "qid string, content_id string, score double")
-    return top_k(best, ["qid"], [F.col("score").desc(), F.col("content_id")], k, rank="rank")
+    pairs = chunks.join(packed_items, "block").select("qids", "extras", "qflat", "ids", "flat")
+    best = pairs.mapInPandas(_best_of_pair(k), "qid string, content_id string, score double, wanted int")
+    order = [F.col("score").desc(), F.col("content_id")]
+    if "extra" not in queries.columns:
+        return top_k(best, ["qid"], order, k, rank="rank").drop("wanted")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    return ranked.filter("rank <= wanted").drop("wanted")
