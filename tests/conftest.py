@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from recspark.session import local_session
 
-    s = local_session("tests", cores="4", shuffle_partitions=4)
+    s = local_session("tests", cores="4", shuffle_partitions=2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
