@@ -157,3 +157,22 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], ts: str,
     for k in [*keys, "_cell"]:
         joined = joined.drop(right[k]) if how not in ("left_semi", "left_anti") else joined
     return joined.drop("_cell")
+
+
+def running(df: DataFrame, keys: list[str], ts: str, tie: str, aggs: dict[str, str], inclusive: bool = False,
+            block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Several running aggregates at once: ``aggs`` maps an output name to ``sum(expr)`` or
+    ``max(expr)``, taken over the rows before (and with ``inclusive`` up to) each row per key.
+    Null where no row counts. Block-wise like the functions above."""
+    columns = df.columns
+    merge = {n: a[:3].lower() for n, a in aggs.items()}
+    over_blocks = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    inside = f"OVER (PARTITION BY {', '.join([*keys, '_block'])} ORDER BY {ts}, {tie} ROWS BETWEEN UNBOUNDED PRECEDING AND {'CURRENT ROW' if inclusive else '1 PRECEDING'})"
+    marked = df.withColumn("_block", _block(ts, block_seconds))
+    carry = marked.groupBy(*keys, "_block").agg(*[F.expr(f"{a} AS _s_{n}") for n, a in aggs.items()])
+    carry = carry.selectExpr(*keys, "_block", *[f"{m}(_s_{n}) {over_blocks} AS _c_{n}" for n, m in merge.items()])
+    local = marked.selectExpr(*columns, "_block", *[f"{a} {inside} AS _i_{n}" for n, a in aggs.items()])
+    both = {
+        n: (f"greatest(_i_{n}, _c_{n})" if m == "max" else f"coalesce(_i_{n} + _c_{n}, _i_{n}, _c_{n})") for n, m in merge.items()
+    }
+    return local.join(carry, [*keys, "_block"], "left").selectExpr(*columns, *[f"{e} AS {n}" for n, e in both.items()])

@@ -13,6 +13,7 @@ from recspark.functions.labels import with_nkey
 from recspark.operators.candidates import filter_values
 from recspark.functions.vectors import haversine_m, mmr_udf, packed_best_match, packed_cosine
 from recspark.operators.signals import vector_dim
+from recspark.session import materialize
 
 LIKED_CHUNK = 256
 
@@ -23,10 +24,15 @@ class Catalogue:
     tags: DataFrame
     vectors: DataFrame
 
+    @cached_property
+    def keyed_tags(self) -> DataFrame:
+        """The tag table with canonical keys, stored once: most jobs read it several times."""
+        return materialize(with_nkey(self.tags))
+
     @cached_property
     def tags_nkey(self) -> DataFrame:
         """(content_id, nkey, weight): of tags with the same canonical key the last one counts."""
-        return with_nkey(self.tags).groupBy("content_id", "nkey").agg(F.expr("max_by(weight, pos) AS weight"))
+        return self.keyed_tags.groupBy("content_id", "nkey").agg(F.expr("max_by(weight, pos) AS weight"))
 
     @cached_property
     def values(self) -> DataFrame:

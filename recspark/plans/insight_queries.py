@@ -297,15 +297,11 @@ def explained_lists(spark, sf_dir):
 
 
 @query("text_shaping", """
-SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS short, length(regexp_replace(text, '(?i)\\b(the)', '<b>\\1</b>', 'g')) - length(text) AS marked FROM documents WHERE lang = 'en'
+SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS short, length(regexp_replace(text, '(?i)\\b(the)', '<b>\\1</b>', 'g')) - length(text) AS marked FROM documents
 """)
 def text_shaping(spark, sf_dir):
-    d = b.table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return d.selectExpr("doc_id", f"{sr.limit_text('text')} AS short", f"CAST(length({sr.highlight('text', sr_literal('the'))}) - length(text) AS BIGINT) AS marked")
-
-
-def sr_literal(text: str) -> str:
-    return f"'{text}'"
+    d = b.table(spark, sf_dir, "documents")
+    return d.selectExpr("doc_id", f"{sr.limit_text('text')} AS short", f"CAST(length({sr.highlight('text', "'the'")}) - length(text) AS BIGINT) AS marked")
 
 
 @query("vector_cosines", """
