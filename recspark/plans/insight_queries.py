@@ -63,6 +63,18 @@ SELECT query_id, list_transform(list(n ORDER BY i), lambda y: y / sqrt(list_sum(
 """)
 
 
+cte("proj", """
+SELECT user_id, item_id, (epoch_us(nx) - epoch_us(ts)) / 1e6 >= word_count / CAST(4.2 AS DOUBLE) + CASE WHEN has_image THEN CAST(1.3 AS DOUBLE) ELSE 0 END AS good FROM (
+  SELECT user_id, content_id AS item_id, ts, event, lead(ts) OVER (PARTITION BY user_id, content_id ORDER BY ts, event_id) AS nx FROM iev WHERE content_id IS NOT NULL) p
+JOIN cont c ON c.content_id = p.item_id WHERE event = 'CONTENT_VIEW_STARTED' AND nx IS NOT NULL
+""")
+cte("wish", """
+SELECT user_id, list(2 * g - coalesce(b, g) ORDER BY i) AS v FROM (
+  SELECT user_id, i, avg(x) FILTER (good) AS g, avg(x) FILTER (NOT good) AS b FROM (
+    SELECT user_id, good, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS i FROM proj JOIN vec v ON v.content_id = proj.item_id) GROUP BY 1, 2) WHERE g IS NOT NULL GROUP BY user_id
+""")
+
+
 class InsightWorld(RecWorld):
     @property
     def points(self):
@@ -197,7 +209,11 @@ def search_hits(spark, sf_dir):
     return sr.search(w.search_queries, w.contents, w.vectors).selectExpr("query_id", "search_type", "content_id", *r6("score"))
 
 
-@query("preference_search")
+@query("preference_search", """
+SELECT user_id, CAST(rn AS INTEGER) AS rank, content_id, round(s, 6) + 0.0 AS score FROM (
+  SELECT w.user_id, v.content_id, list_cosine_similarity(w.v, v.v) AS s, row_number() OVER (PARTITION BY w.user_id ORDER BY list_cosine_similarity(w.v, v.v) DESC, v.content_id) AS rn
+  FROM wish w CROSS JOIN vec v WHERE NOT EXISTS (SELECT 1 FROM proj p WHERE p.user_id = w.user_id AND p.item_id = v.content_id)) WHERE rn <= 5
+""")
 def preference_search(spark, sf_dir):
     w = InsightWorld(spark, sf_dir)
     raw = w.events.filter("content_id IS NOT NULL").selectExpr(
