@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from recspark.llm.language_id import op9_language_id
+from recspark.llm.simhash import op8_simhash_dedup
 from recspark.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
