@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from recspark.llm.decontaminate import op5_benchmark_decontamination
 from recspark.llm.language_id import op9_language_id
+from recspark.llm.repeats import op2_suffix_array_dedup
 from recspark.llm.simhash import op8_simhash_dedup
 from recspark.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
