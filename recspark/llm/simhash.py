@@ -142,7 +142,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     joined = owners.join(roots, owners.fp == roots.node).select("fp", "least", "root")
     found = joined.groupBy("root").agg(F.min("least").alias("smallest"))
     moved = joined.join(found, "root").select("fp", F.col("smallest").alias("component_id"))
-    least = owners.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Stored, so that adaptive execution can split the fingerprint of many copies in the last join.
+    least = stored(owners.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(least, "fp").select(key, "fp", "component_id")
 
 
