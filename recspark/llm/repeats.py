@@ -221,7 +221,8 @@ def repeat_spans(df: DataFrame, text: str = "text", window: int = WINDOW, gram:
     mild = texts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "body").mapInArrow(_sharded(window, shard_bytes), f"anchor long, body long, spans {SPANS_SQL}")
     single = stored(texts.where("hot").repartition("anchor", "body").sortWithinPartitions("anchor", "body").mapInArrow(
         _windows(window), "anchor long, body long, weight long, at int, w1 long, w2 long"))
-    again = single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
+    # Stored, so that adaptive execution can split a window of very many runs in the join.
+    again = stored(single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"))
     hot = single.join(again, ["w1", "w2"]).groupBy("anchor", "body").agg(
         F.expr(f"cast(transform(array_sort(collect_list(at)), x -> struct(x as `from`, x + 1 as `to`)) as {SPANS_SQL})").alias("spans"))
     marked = whole.unionByName(mild).unionByName(hot).where("size(spans) > 0")
