@@ -7,9 +7,13 @@ from recspark.llm.language_id import op9_language_id
 from recspark.llm.repeats import op2_suffix_array_dedup
 from recspark.llm.simhash import op8_simhash_dedup
 from recspark.llm.token_counts import op10_token_counts
+from recspark.llm.topk import op4_exact_topk
+from recspark.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_exact_topk": op4_exact_topk,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
@@ -34,6 +38,16 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN c USING (row_id) LEFT JOIN t USING (row_id)
 """
 
+TOPK_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_exact_topk": TOPK_SQL,
     "op5_benchmark_decontamination": DECONTAMINATION_SQL,
 }
