@@ -20,12 +20,13 @@ FACTORS = 8
 # Bounds of the fit: about so many labelled rows of each class, drawn by a hash of the id, and terms of one text at most.
 FIT_ROWS_PER_CLASS = 4000
 FIT_TERMS = 4096
-# A term needs this share of the fitted rows, and three rows.
-MIN_SHARE = 0.01
-EPOCHS = 10
+# A term needs this share of the fitted rows, three rows, and this much association with the label (chi-square, one degree).
+MIN_SHARE = 0.002
+SCREEN = 18.0
+EPOCHS = 20
 BATCH_ROWS = 256
 STEP = 0.05
-DECAY = 1e-2
+DECAY = 1e-3
 
 
 @dataclass(frozen=True)
@@ -98,8 +99,13 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labels: np.ndarray, per_row: list[np.ndarray], epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
     """Weighted logistic loss (both classes count alike), AdaGrad steps over batches of rows, in a fixed order."""
     flat = np.concatenate([np.zeros(0, np.int64), *per_row]).astype(np.int64)
-    buckets, counts = np.unique(flat, return_counts=True)
-    buckets = buckets[counts >= max(3, MIN_SHARE * len(labels))]
+    buckets, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    with_one = np.bincount(which, np.repeat(labels, [len(x) for x in per_row]), len(buckets)) if len(flat) else np.zeros(0)
+    n, ones = len(labels), float(labels.sum())
+    expected = counts * ones / max(n, 1)
+    spread = expected * (1 - ones / max(n, 1)) * (1 - counts / max(n, 1))
+    chi = np.divide((with_one - expected) ** 2, spread, out=np.zeros(len(buckets)), where=spread > 0)
+    buckets = buckets[(counts >= max(3, MIN_SHARE * n)) & (chi >= SCREEN)]
     rng = np.random.RandomState(seed)
     model = FactorizationMachine(buckets, 0.0, np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), FACTORS)))
     if not len(labels) or not len(buckets):
@@ -166,7 +172,7 @@ def toxicity(df: DataFrame, model: FactorizationMachine, text: str = "text") ->
     """The columns of `df` but the text, with score and predicted, which replace columns of these names.
 
     Every row gets a score, null and empty texts too; repeated rows stay and score alike; an empty table gives no rows.
-    The model has at most FIT_TERMS / MIN_SHARE terms and is broadcast. No shuffle.
+    The model has at most FIT_TERMS / MIN_SHARE terms (far fewer pass the screening) and is broadcast. No shuffle.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     rest = df.drop("score", "predicted")
