@@ -5,6 +5,7 @@ from __future__ import annotations
 from recspark.llm.decontaminate import op5_benchmark_decontamination
 from recspark.llm.language_id import op9_language_id
 from recspark.llm.repeats import op2_suffix_array_dedup
+from recspark.llm.sentencepiece_codec import op7_sentencepiece
 from recspark.llm.simhash import op8_simhash_dedup
 from recspark.llm.token_counts import op10_token_counts
 from recspark.llm.topk import op4_exact_topk
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_exact_topk": op4_exact_topk,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
