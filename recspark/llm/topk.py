@@ -23,7 +23,9 @@ QUERY_STEP = 50
 BINS = 512
 # Rows of one block of the queries and of the vectors: a task holds one of each.
 QUERY_BLOCK = 2048
-VECTOR_BLOCK = 8192
+VECTOR_BLOCK = 32768
+# Queries whose scores a task holds at one time.
+ROWS = 64
 # Products are made as floating-point numbers while these are exact, else as integers.
 EXACT = float(1 << 53)
 
@@ -52,6 +54,13 @@ def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return queries @ vectors.T
 
 
+def _each(queries: pd.DataFrame, vectors: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Scores of one query after the other."""
+    q, v = _matrix(queries), _matrix(vectors)
+    for at in range(0, len(q), ROWS):
+        yield from _scores(q[at : at + ROWS], v)
+
+
 def _blocks(scoring: Callable) -> Callable:
     """Runs `scoring(query rows, vector rows)` for a pair of blocks."""
 
@@ -69,10 +78,9 @@ def _histogram(bins: int) -> Callable:
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         ids, found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(queries):
-            scores = _scores(_matrix(queries), _matrix(vectors))
             own = vectors["id"].to_numpy()
-            for row, (key, low, high) in enumerate(queries[["id", "low", "high"]].itertuples(index=False)):
-                inside = scores[row][(scores[row] >= low) & (scores[row] < high) & (own != key)]
+            for scores, (key, low, high) in zip(_each(queries, vectors), queries[["id", "low", "high"]].itertuples(index=False), strict=True):
+                inside = scores[(scores >= low) & (scores < high) & (own != key)]
                 width = -((low - high) // bins)
                 n = np.bincount((inside - low) // width, minlength=1)
                 at = np.flatnonzero(n)
@@ -90,14 +98,13 @@ def _select(top: int) -> Callable:
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         ids, keys, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(queries):
-            scores = _scores(_matrix(queries), _matrix(vectors))
             own = vectors["id"].to_numpy()
-            for row, (key, low) in enumerate(queries[["id", "low"]].itertuples(index=False)):
-                at = np.flatnonzero((scores[row] >= low) & (own != key))
-                at = at[np.lexsort((own[at], -scores[row][at]))][:top]
+            for scores, (key, low) in zip(_each(queries, vectors), queries[["id", "low"]].itertuples(index=False), strict=True):
+                at = np.flatnonzero((scores >= low) & (own != key))
+                at = at[np.lexsort((own[at], -scores[at]))][:top]
                 ids.append(np.full(len(at), key))
                 keys.append(own[at])
-                found.append(scores[row][at])
+                found.append(scores[at])
         return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate(keys), "score": np.concatenate(found)})
 
     return run
