@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from recspark.llm.chat_format import op1_chat_format
 from recspark.llm.decontaminate import op5_benchmark_decontamination
 from recspark.llm.language_id import op9_language_id
+from recspark.llm.licenses import op6_license_scan
 from recspark.llm.repeats import op2_suffix_array_dedup
 from recspark.llm.sentencepiece_codec import op7_sentencepiece
 from recspark.llm.simhash import op8_simhash_dedup
@@ -12,10 +14,12 @@ from recspark.llm.topk import op4_exact_topk
 from recspark.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_exact_topk": op4_exact_topk,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
@@ -53,3 +57,20 @@ ORACLES: dict[str, str] = {
     "op4_exact_topk": TOPK_SQL,
     "op5_benchmark_decontamination": DECONTAMINATION_SQL,
 }
+
+CHAT_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+v AS (SELECT t.conv_id, speaker, coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS part, turn, who, said,
+  concat('<|im_start|>', CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant'
+    ELSE concat('user name=', regexp_replace(who, '[\\s<>|]+', '_', 'g')) END, chr(10)) AS head,
+  concat(replace(said, '<|im_', '<| im_'), '<|im_end|>') AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, who, said
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM v)
+SELECT conv_id, speaker, part, count(*) AS n_turns,
+  string_agg(concat(head, body, chr(10)), '' ORDER BY turn NULLS FIRST, who, said) AS rendered,
+  coalesce(string_agg(CASE WHEN who = speaker THEN concat(CAST(begins AS BIGINT), ':', CAST(begins + length(body) AS BIGINT)) END, ',' ORDER BY turn NULLS FIRST, who, said), '') AS mask
+FROM s GROUP BY conv_id, speaker, part
+"""
+ORACLES["op1_chat_format"] = CHAT_SQL
