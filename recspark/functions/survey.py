@@ -314,8 +314,8 @@ def split_answers(events: DataFrame) -> DataFrame:
     return one.selectExpr(
         "user_id", "section", "base", "answer",
         f"IF({labelled}, transform(answer, v -> {answer_label('base', 'v')}), answer) AS labels",
-        f"IF({likert}, CAST(answer[0] AS INT), NULL) AS score",
-        f"IF({likert}, 5, NULL) AS scale",
+        f"IF({likert}, try_cast(answer[0] AS INT), NULL) AS score",
+        f"IF({likert} AND try_cast(answer[0] AS INT) IS NOT NULL, 5, NULL) AS scale",
     )
 
 

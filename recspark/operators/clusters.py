@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recspark.functions.ordered import top_k
 from recspark.operators.persona import entropy_sql
+from recspark.functions.labels import sql_text
 from recspark.session import cut_lineage
 
 
@@ -27,7 +28,7 @@ def feature_points(affinity: DataFrame, min_freq: int = 1, max_features: int | N
 
 def centroids_of_users(points: DataFrame, users: list[str]) -> DataFrame:
     """Start centroids at given visitors: (key, c[k])."""
-    cells = ", ".join(f"coalesce(max(IF(user_id = '{u}', weight, NULL)), 0D)" for u in users)
+    cells = ", ".join(f"coalesce(max(IF(user_id = {sql_text(u)}, weight, NULL)), 0D)" for u in users)
     return points.filter(F.col("user_id").isin(*users)).groupBy("key").agg(F.expr(f"array({cells}) AS c"))
 
 

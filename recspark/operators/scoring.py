@@ -73,14 +73,13 @@ def vector_scores(candidates: DataFrame, catalogue: Catalogue, taste: DataFrame,
         "IF(known AND has_taste, (sem + 1D) / 2D, 0D) AS semantic",
         "IF(known AND has_recency, (rec + 1D) / 2D, 0D) AS recency",
     )
+    # The largest like counts whether or not its item has a vector.
+    likes = positives.filter("weight > 0")
+    scale = likes.groupBy("user_id").agg(F.expr("max(weight) AS top"), F.expr(f"ceil(count(*) / {LIKED_CHUNK}) AS chunks"))
     liked = (
-        positives.filter("weight > 0")
-        .join(catalogue.vectors.select("content_id", "vec"), "content_id")
-        .selectExpr(
-            "user_id", "content_id", "vec",
-            "weight / max(weight) OVER (PARTITION BY user_id) AS w",
-            f"ceil(count(*) OVER (PARTITION BY user_id) / {LIKED_CHUNK}) AS chunks",
-        )
+        likes.join(catalogue.vectors.select("content_id", "vec"), "content_id")
+        .join(scale, "user_id")
+        .selectExpr("user_id", "content_id", "vec", "weight / top AS w", "chunks")
         .selectExpr("user_id", "pmod(xxhash64(content_id), chunks) AS chunk", "struct(w, vec) AS l")
         .groupBy("user_id", "chunk")
         .agg(F.expr("collect_list(l) AS l"))

@@ -38,7 +38,7 @@ def aggregate_views(events: DataFrame) -> DataFrame:
         F.expr(f"coalesce(max(dwell_seconds), greatest({span}, 0D)) AS dwell_seconds"),
         F.expr(f"max_by(end_reason, IF({end}, {order}, NULL)) AS end_reason"),
         F.expr("max(ts) AS last_ts"),
-        F.expr(f"max_by(try_cast({rating}[0] AS DOUBLE), IF({rating} IS NOT NULL, {order}, NULL)) AS survey_rating"),
+        F.expr(f"max_by(try_cast(get({rating}, 0) AS DOUBLE), IF({rating} IS NOT NULL, {order}, NULL)) AS survey_rating"),
     )
 
 

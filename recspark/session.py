@@ -1,4 +1,4 @@
-"""Session settings, bounded broadcast and materialisation in the cluster's shared folder."""
+"""Session settings and materialisation in the cluster's shared folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Broadcast only what is proven to stay below this; the shuffle path covers the rest.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+# Temporary folders of local applications.
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(app: str = "recspark", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -26,27 +26,35 @@ def local_session(app: str = "recspark", cores: str = "*", shuffle_partitions: i
     )
 
 
-def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
-    """Broadcast hint only when the counted size is inside the limit.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Without the hint the join is left to the planner (sort-merge, split by adaptive
-    execution where a key is skewed), so a side that outgrows the limit still works.
+    Without one, a temporary folder serves on a local master, where all executors see it; elsewhere that is an error,
+    since each executor would write to a disk of its own.
     """
-    if rows * bytes_per_row <= BROADCAST_LIMIT_BYTES:
-        return F.broadcast(df)
-    return df
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where
-    none is named (tests, local runs)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        configured = tempfile.mkdtemp(prefix="recspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="recspark-")
+        configured = _LOCAL[app]
     return configured
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables: `clear_run` removes it when the run's results are written."""
+    return f"{shared_folder(spark)}/recspark/{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables. DataFrames made from them can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, *cluster_by: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -54,7 +62,7 @@ def materialize(df: DataFrame, *cluster_by: str) -> DataFrame:
     a lost executor costs one task, not the whole lineage.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/recspark/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     out = df.repartition(*cluster_by) if cluster_by else df
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = (
     "user_id string, event string, ts timestamp, session_id string, request_id string, content_id string, dwell_seconds double, "
     "end_reason string, query_text string, clicked_id string, impressions array<string>, survey_answers map<string,array<string>>, "
-    "raw string, tenant string, date date"
+    "raw string, event_key string, tenant string, date date, batch string"
 )
 SERVED_SCHEMA = (
     "request_id string, user_id string, ts timestamp, strategy string, filter string, cold_start boolean, ranking string, distractor_id string, "
     "items array<struct<id string, rank int, role string, relevance_score double, breakdown map<string,double>, features array<double>>>, "
-    "tenant string, date date"
+    "tenant string, date date, batch string"
 )
 EVENT_COLUMNS = (
     "ts", "user_id", "event", "content_id", "session_id", "request_id", "dwell_seconds", "end_reason", "query_text", "clicked_id",
@@ -25,21 +27,45 @@ def _dated(df: DataFrame, tenant: str) -> DataFrame:
     return df.withColumn("tenant", F.lit(tenant)).withColumn("date", F.to_date("ts"))
 
 
-def append_events(events: DataFrame, base: str, tenant: str = "default") -> None:
-    """Rows of one day leave in few files: they are clustered by day before the write."""
+# An event is the same delivery again if these agree; unlike a row number, the key doesn't change when a batch is retried.
+EVENT_KEY = "sha2(concat_ws('\\x1f', user_id, event, CAST(unix_micros(ts) AS STRING), coalesce(request_id, ''), coalesce(content_id, ''), coalesce(raw, '')), 256)"
+
+
+def _write(rows: DataFrame, path: str, batch: str | None) -> None:
+    """One folder per tenant, day and batch; a batch that is written again replaces its own folders only.
+
+    Rows are rebalanced by day, so a day's files follow its size instead of a fixed number.
+    """
+    named = rows.withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+    named.hint("rebalance", "date").write.partitionBy("tenant", "date", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def append_events(events: DataFrame, base: str, tenant: str = "default", batch: str | None = None) -> None:
+    """Log events. With a ``batch`` name a retry writes the same rows once."""
     columns = [c for c in EVENT_COLUMNS if c in events.columns]
-    _dated(events.select(*columns), tenant).repartition("date", F.expr("pmod(xxhash64(user_id), 16)")).write.partitionBy(
-        "tenant", "date"
-    ).mode("append").parquet(f"{base}/events")
+    full = events
+    for c in ("request_id", "content_id", "raw"):
+        full = full if c in full.columns else full.withColumn(c, F.lit(None).cast("string"))
+    _write(_dated(full.select(*columns, F.expr(EVENT_KEY).alias("event_key")), tenant), f"{base}/events", batch)
+
+
+def append_served(served: DataFrame, base: str, tenant: str = "default", batch: str | None = None) -> None:
+    _write(_dated(served, tenant), f"{base}/served", batch)
 
 
-def append_served(served: DataFrame, base: str, tenant: str = "default") -> None:
-    _dated(served, tenant).write.partitionBy("tenant", "date").mode("append").parquet(f"{base}/served")
+def distinct_events(log: DataFrame) -> DataFrame:
+    """One row of each delivery, however often it came; rows of old logs without a key all stay."""
+    keyed = log.filter("event_key IS NOT NULL").dropDuplicates(["tenant", "event_key"])
+    return keyed.unionByName(log.filter("event_key IS NULL"))
 
 
-def read_events(spark: SparkSession, base: str) -> DataFrame:
-    """The event log under its fixed schema; all-null columns of old parts read as null."""
-    return spark.read.schema(EVENT_SCHEMA).parquet(f"{base}/events")
+def read_events(spark: SparkSession, base: str, distinct: bool = True) -> DataFrame:
+    """The event log under its fixed schema; all-null columns of old parts read as null.
+
+    Repeated deliveries are dropped here and not at ingest, where that takes a bound on lateness and loses late events.
+    """
+    log = spark.read.schema(EVENT_SCHEMA).parquet(f"{base}/events")
+    return distinct_events(log) if distinct else log
 
 
 def read_served(spark: SparkSession, base: str) -> DataFrame:
@@ -112,10 +138,12 @@ def compact(spark: SparkSession, base: str, target: str, rows_per_file: int = 5_
     loses nothing. A large day is cut into several files instead of passing one task.
     """
     schema = EVENT_SCHEMA if table == "events" else SERVED_SCHEMA
-    log = spark.read.schema(schema).parquet(f"{base}/{table}")
+    log = read_events(spark, base) if table == "events" else spark.read.schema(schema).parquet(f"{base}/{table}")
+    log = log.drop("batch")
     sizes = log.groupBy("tenant", "date").agg(F.expr(f"CAST(ceil(count(*) / {rows_per_file}D) AS INT) AS files"))
-    cut = log.join(F.broadcast(sizes), ["tenant", "date"]).withColumn("_cut", F.expr("pmod(xxhash64(request_id, user_id, ts), files)"))
-    cut.repartition("tenant", "date", "_cut").drop("files", "_cut").write.partitionBy("tenant", "date").mode("overwrite").parquet(f"{target}/{table}")
+    cut = log.join(sizes, ["tenant", "date"]).withColumn("_cut", F.expr("pmod(xxhash64(request_id, user_id, ts), files)"))
+    cut.repartition("tenant", "date", "_cut").drop("files", "_cut").withColumn("batch", F.lit("compact")).write.partitionBy(
+        "tenant", "date", "batch").mode("overwrite").parquet(f"{target}/{table}")
     return spark.read.schema(schema).parquet(f"{target}/{table}").groupBy("tenant", "date").agg(F.expr("count(*) AS n"))
 
 

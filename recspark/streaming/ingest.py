@@ -3,45 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recspark.sources.logs import append_events, read_events, within_window
+from recspark.sources.logs import append_events, distinct_events, read_events, within_window
 from recspark.sources.payloads import normalize_payloads
 
 LATENESS = "1 day"
 
 
-def clean_stream(bronze: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Canonical events of a raw stream with repeated deliveries dropped."""
-    events = normalize_payloads(bronze)
-    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["user_id", "event", "ts", "raw"])
-
-
 def start_ingest(bronze: DataFrame, log_dir: str, checkpoint: str, refresh: Callable[[DataFrame, int], None] | None = None,
-                 tenant: str = "default", window_days: int = 30, trigger: dict | None = None) -> StreamingQuery:
+                 tenant: str = "default", window_days: int = 30, trigger: dict | None = None,
+                 now: Callable[[], datetime] = lambda: datetime.now(UTC)) -> StreamingQuery:
     """Append each batch to the log, then hand the full recent history of its visitors on.
 
-    ``refresh`` gets all logged events (inside the retention window) of the visitors in the
-    batch: the model is refolded from the log, so late and unordered events are correct.
+    Every event is logged, however late, and no clock of a device decides about it: the log is written per batch, so a
+    retried batch replaces itself, and repeated deliveries are dropped by their key when the log is read. ``refresh`` gets
+    the logged events of the visitors in the batch inside the retention window before ``now``, the time of processing:
+    the model is refolded from the log, so late and unordered events are correct.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        append_events(batch, log_dir, tenant)
-        if refresh is not None:
-            spark = batch.sparkSession
-            touched = batch.select("user_id").distinct()
-            latest = batch.agg(F.max("ts")).first()[0]
-            if latest is not None:
-                log = within_window(read_events(spark, log_dir).filter(F.col("tenant") == tenant), f"TIMESTAMP '{latest}'", window_days)
-                refresh(log.join(touched, "user_id", "left_semi"), batch_id)
+        append_events(batch, log_dir, tenant, f"stream-{batch_id}")
+        touched = batch.select("user_id").distinct()
+        if refresh is not None and touched.limit(1).count():
+            at = now()
+            micros = int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1_000_000)
+            log = read_events(batch.sparkSession, log_dir, distinct=False).filter(F.col("tenant") == tenant)
+            recent = within_window(log, f"timestamp_micros({micros})", window_days)
+            refresh(distinct_events(recent.join(touched, "user_id", "left_semi")), batch_id)
         batch.unpersist()
 
-    stream = clean_stream(bronze)
-    return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(
+    return normalize_payloads(bronze).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"processingTime": "1 minute"})
     ).start()
 

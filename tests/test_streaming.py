@@ -35,7 +35,8 @@ def test_ingest_logs_once_and_refreshes_touched_visitors(spark, tmp_path):
 
     def run():
         bronze = spark.readStream.schema("value string, ingest_ts timestamp").json(str(src))
-        finish(ingest.start_ingest(bronze, str(tmp_path / "log"), str(tmp_path / "cp"), refresh, trigger={"availableNow": True}))
+        finish(ingest.start_ingest(bronze, str(tmp_path / "log"), str(tmp_path / "cp"), refresh, trigger={"availableNow": True},
+                                   now=lambda: datetime(2026, 6, 10, 14)))
 
     run()
     write(src, [{"value": payload("u1", "9", "2026-06-10T08:00:00Z"), "ingest_ts": ingest_ts}])
@@ -47,6 +48,29 @@ def test_ingest_logs_once_and_refreshes_touched_visitors(spark, tmp_path):
     assert counts.first().n == 3
 
 
+def test_late_and_future_events_and_repeated_batches(spark, tmp_path):
+    """Nothing is lost to a wrong clock, and a batch that is written twice counts once."""
+    src, log, seen = tmp_path / "in", str(tmp_path / "log"), []
+    at = "2026-06-10T13:00:00"
+
+    def run(rows):
+        write(src, [{"value": v, "ingest_ts": at} for v in rows])
+        bronze = spark.readStream.schema("value string, ingest_ts timestamp").json(str(src))
+        finish(ingest.start_ingest(bronze, log, str(tmp_path / "cp"), lambda h, _: seen.append(sorted((r.user_id, r.content_id) for r in h.collect())),
+                                   trigger={"availableNow": True}, now=lambda: datetime(2026, 6, 10, 14)))
+
+    run([payload("u1", "1", "2030-01-01T00:00:00Z"), payload("u1", "2", "2026-06-09T00:00:00Z")])
+    run([payload("u2", "3", "2026-06-10T10:00:00Z"), payload("u1", "4", "2026-06-08T10:00:00Z"), payload("u1", "5", "2026-01-01T00:00:00Z")])
+    assert [s for s in seen if s] == [[("u1", "1"), ("u1", "2")], [("u1", "1"), ("u1", "2"), ("u1", "4"), ("u2", "3")]]
+    assert logs.read_events(spark, log).count() == 5
+    again = logs.read_events(spark, log, distinct=False).filter("content_id = '3'").drop("batch", "date", "tenant", "event_key")
+    rows = spark.createDataFrame(again.collect(), again.schema)
+    for _ in range(2):
+        logs.append_events(rows, log, batch="by-hand")
+    assert logs.read_events(spark, log, distinct=False).count() == 6
+    assert logs.read_events(spark, log).count() == 5
+
+
 def test_rewards_meet_impressions_once(spark, tmp_path):
     cfg = RecConfig()
     shown, ended = tmp_path / "shown", tmp_path / "ended"
