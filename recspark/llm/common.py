@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from recspark.session import shared_folder
+from recspark.session import run_folder
 
 # Bytes of text that a task holds as arrays at one time; a longer single text makes a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: later passes plan on a leaf, and a lost executor costs tasks only."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/recspark/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
