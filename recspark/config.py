@@ -45,6 +45,7 @@ class RecConfig:
     soft_negative_weight: float = 0.30
     pool_per_generator: int = 30
     tag_keys_per_user: int = 20
+    pool_before_seen: bool = True  # cut each open pool before (or after) seen items are removed
     final_limit: int = 10
     mmr_lambda: float = 0.7
     geo_scale_m: float = 300.0

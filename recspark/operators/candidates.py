@@ -16,10 +16,20 @@ CELL_DEGREES = 0.02
 METRES_PER_DEGREE = 111_194.0
 
 
-def semantic_recall(taste: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(user_id, content_id, base_score): the k items nearest to each taste vector."""
-    hits = nearest(taste.selectExpr("user_id AS qid", "taste AS qvec"), vectors, k)
-    return hits.selectExpr("qid AS user_id", "content_id", "score AS base_score")
+def _known(seen: DataFrame) -> DataFrame:
+    """(user_id, extra): how many items each user has seen."""
+    return seen.select("user_id", "content_id").distinct().groupBy("user_id").agg(F.expr("CAST(count(*) AS INT) AS extra"))
+
+
+def semantic_recall(taste: DataFrame, vectors: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
+    """(user_id, content_id, base_score): the k items nearest to each taste vector, of the unseen ones if ``seen`` is given."""
+    if seen is None:
+        hits = nearest(taste.selectExpr("user_id AS qid", "taste AS qvec"), vectors, k)
+        return hits.selectExpr("qid AS user_id", "content_id", "score AS base_score")
+    asked = taste.join(_known(seen), "user_id", "left").selectExpr("user_id AS qid", "taste AS qvec", "coalesce(extra, 0) AS extra")
+    hits = nearest(asked, vectors, k).selectExpr("qid AS user_id", "content_id", "score AS base_score")
+    fresh = hits.join(seen, ["user_id", "content_id"], "left_anti")
+    return top_k(fresh, ["user_id"], [F.desc("base_score"), F.col("content_id")], k).select("user_id", "content_id", "base_score")
 
 
 def top_keys(affinity: DataFrame, n: int) -> DataFrame:
@@ -28,13 +38,14 @@ def top_keys(affinity: DataFrame, n: int) -> DataFrame:
     return top_k(affinity, ["user_id"], order, n).select("user_id", "nkey").distinct()
 
 
-def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig) -> DataFrame:
+def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig, seen: DataFrame | None = None) -> DataFrame:
     """(user_id, content_id, base_score): items sharing most of the user's top keys.
 
     Overlap depends only on the user's key set and the item's tag set, so both sides are
     reduced to distinct sets first. Of one tag set only the k lowest ids can ever reach a
     top k (same overlap, ties by id); a tag carried by a third of the catalogue therefore
-    costs one row per tag set, not one per item.
+    costs one row per tag set, not one per item. With ``seen``, seen items leave before the
+    cut: k more rows than the most that a user of the key set has seen are then enough.
     """
     k = cfg.pool_per_generator
     keyset = materialize(
@@ -46,17 +57,32 @@ def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig) -> Dat
     profile = tags_nkey.groupBy("content_id").agg(F.expr("array_sort(collect_set(nkey)) AS keys")).selectExpr(
         "content_id", "keys", "sha2(concat_ws('\\n', keys), 256) AS profile"
     )
+    if seen is not None:
+        return _unseen_tag_recall(keyset, profile, seen, k)
     members = top_k(profile.select("profile", "content_id"), ["profile"], [F.col("content_id")], k)
-    wanted = keyset.groupBy("keyset").agg(F.expr("any_value(keys) AS keys")).selectExpr("keyset", "explode(keys) AS nkey")
-    carried = profile.groupBy("profile").agg(F.expr("any_value(keys) AS keys")).selectExpr("profile", "explode(keys) AS nkey")
-    overlap = wanted.join(carried, "nkey").groupBy("keyset", "profile").agg(F.expr("CAST(count(*) AS DOUBLE) AS base_score"))
     best = top_k(
-        overlap.join(members, "profile").select("keyset", "content_id", "base_score"),
+        _overlaps(keyset, profile).join(members, "profile").select("keyset", "content_id", "base_score"),
         ["keyset"], [F.col("base_score").desc(), F.col("content_id")], k,
     )
     return keyset.select("user_id", "keyset").join(best, "keyset").select("user_id", "content_id", "base_score")
 
 
+def _overlaps(keyset: DataFrame, profile: DataFrame) -> DataFrame:
+    """(keyset, profile, base_score): shared keys of each pair of different sets."""
+    wanted = keyset.groupBy("keyset").agg(F.expr("any_value(keys) AS keys")).selectExpr("keyset", "explode(keys) AS nkey")
+    carried = profile.groupBy("profile").agg(F.expr("any_value(keys) AS keys")).selectExpr("profile", "explode(keys) AS nkey")
+    return wanted.join(carried, "nkey").groupBy("keyset", "profile").agg(F.expr("CAST(count(*) AS DOUBLE) AS base_score"))
+
+
+def _unseen_tag_recall(keyset: DataFrame, profile: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    need = keyset.join(_known(seen), "user_id", "left").groupBy("keyset").agg(F.expr(f"{k} + coalesce(max(extra), 0) AS need"))
+    rows = profile.withColumn("place", F.expr("row_number() OVER (PARTITION BY profile ORDER BY content_id)")).select("profile", "content_id", "place")
+    found = _overlaps(keyset, profile).join(need, "keyset").join(rows, "profile").filter("place <= need")
+    best = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY keyset ORDER BY base_score DESC, content_id)")).filter("rank <= need")
+    fresh = keyset.select("user_id", "keyset").join(best, "keyset").join(seen, ["user_id", "content_id"], "left_anti")
+    return top_k(fresh, ["user_id"], [F.desc("base_score"), F.col("content_id")], k).select("user_id", "content_id", "base_score")
+
+
 def filter_values(tags: DataFrame) -> DataFrame:
     """(content_id, value): canonical tag values that a location filter is compared with."""
     decoded = tags.selectExpr("content_id", f"{decode_machine_tag('label')} AS label")
@@ -116,6 +142,19 @@ def in_radius(requests: DataFrame, places: DataFrame, cell: float = CELL_DEGREES
     return near.filter("distance_m <= radius_m")
 
 
+def filtered_geo_recall(requests: DataFrame, values: DataFrame, places: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
+    """(request_id, content_id): of the (unseen) items with the requested tag value inside the radius, the k nearest.
+
+    Both conditions hold before the cut, so no item that satisfies them is lost to one that satisfies one only.
+    """
+    asked = with_norm_label(requests.selectExpr("*", f"{decode_machine_tag('filter')} AS label"), "label", "value")
+    near = in_radius(asked.select("request_id", "user_id", "value", "lat", "lon", "radius_m"), places)
+    both = near.join(values, ["content_id", "value"], "left_semi")
+    if seen is not None:
+        both = both.join(seen, ["user_id", "content_id"], "left_anti")
+    return top_k(both, ["request_id"], [F.col("distance_m"), F.col("content_id")], k).select("request_id", "content_id")
+
+
 def geo_recall(requests: DataFrame, places: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
     """(request_id, content_id, base_score): the k nearest (unseen) items inside the radius."""
     near = in_radius(requests.select("request_id", "user_id", "lat", "lon", "radius_m"), places)

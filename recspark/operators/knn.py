@@ -1,9 +1,10 @@
 """Exact nearest neighbours by cosine, as a blocked matrix product.
 
-Queries stream into chunks, catalogue vectors form hash blocks of bounded size, and an
-equi join pairs each chunk with each block. A pair is one small matrix product whose k
-best rows per query are kept at once, so neither a row-level product of the two sides
-nor a whole side ever exists in one task.
+Queries form chunks in hash slices, catalogue vectors form hash blocks of bounded size, and
+an equi join on (block, slice) pairs them, so there are blocks x slices tasks. A pair is one
+small matrix product whose k best rows per query are kept at once, ties by id, so a pair gives
+exactly k rows a query, and neither a row-level product of the two sides nor a whole side
+ever exists in one task.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from recspark.functions.ordered import top_k
 
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 512
+# Queries of one slice: with the block rows they bound the work of one task.
+SLICE_ROWS = 4096
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -30,10 +33,11 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), CHUNK_ROWS):
             part = pdf.iloc[at:at + CHUNK_ROWS]
-            yield pd.DataFrame({
-                "qids": [part["qid"].tolist()], "extras": [part["extra"].tolist()],
-                "qflat": [np.concatenate(part["qvec"].to_list())],
-            })
+            for number, own in part.groupby("slice"):
+                yield pd.DataFrame({
+                    "slice": [number], "qids": [own["qid"].tolist()], "extras": [own["extra"].tolist()],
+                    "qflat": [np.concatenate(own["qvec"].to_list())],
+                })
 
 
 def _best_of_pair(k: int):
@@ -46,8 +50,10 @@ def _best_of_pair(k: int):
                 keep = np.minimum(k + np.asarray(extras, dtype=np.int64), len(ids))
                 row, col = [], []
                 for r, n in enumerate(keep):
+                    # ids are sorted, so the first of the ties are those with the smallest ids
                     bar = -np.partition(-scores[r], n - 1)[n - 1]
-                    hit = np.nonzero(scores[r] >= bar)[0]
+                    above, tied = np.nonzero(scores[r] > bar)[0], np.nonzero(scores[r] == bar)[0]
+                    hit = np.concatenate([above, tied[:n - len(above)]])
                     row.append(np.full(len(hit), r))
                     col.append(hit)
                 row, col = np.concatenate(row), np.concatenate(col)
@@ -69,22 +75,22 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     spark = queries.sparkSession
     have = vectors.filter("vec IS NOT NULL")
     blocks = max(1, -(-have.count() // BLOCK_ROWS))
+    asked = queries.filter("qvec IS NOT NULL")
+    slices = max(1, -(-asked.count() // SLICE_ROWS), -(-spark.sparkContext.defaultParallelism // blocks))
     packed_items = (
-        have.selectExpr(f"pmod(xxhash64(content_id), {blocks}) AS block", "struct(content_id, vec) AS item")
+        have.selectExpr(f"pmod(xxhash64(content_id), {blocks}L) AS block", "struct(content_id, vec) AS item")
         .groupBy("block")
         .agg(F.expr("array_sort(collect_list(item)) AS items"))
         .selectExpr("block", "items.content_id AS ids", "flatten(items.vec) AS flat")
+        .withColumn("slice", F.expr(f"explode(sequence(0L, {slices - 1}L))"))
     )
-    spread = queries.filter("qvec IS NOT NULL").selectExpr(
-        "CAST(qid AS STRING) AS qid", "qvec", "extra" if "extra" in queries.columns else "0 AS extra"
+    spread = asked.selectExpr(
+        "CAST(qid AS STRING) AS qid", "qvec", "extra" if "extra" in queries.columns else "0 AS extra", f"pmod(xxhash64(qid), {slices}L) AS slice"
     )
-    if blocks == 1:
-        # few pairs: spread the queries, or one task would do all the products
-        spread = spread.repartition(spark.sparkContext.defaultParallelism, "qid")
-    chunks = spread.mapInPandas(_pack, "qids array<string>, extras array<int>, qflat array<double>").withColumn(
+    chunks = spread.mapInPandas(_pack, "slice long, qids array<string>, extras array<int>, qflat array<double>").withColumn(
         "block", F.expr(f"explode(sequence(0L, {blocks - 1}L))")
     )
-    pairs = chunks.join(packed_items, "block").select("qids", "extras", "qflat", "ids", "flat")
+    pairs = chunks.join(packed_items, ["block", "slice"]).select("qids", "extras", "qflat", "ids", "flat")
     best = pairs.mapInPandas(_best_of_pair(k), "qid string, content_id string, score double, wanted int")
     order = [F.col("score").desc(), F.col("content_id")]
     if "extra" not in queries.columns:

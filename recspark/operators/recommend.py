@@ -33,32 +33,28 @@ def one_request_per_user(users: DataFrame) -> DataFrame:
 def open_pool(users: DataFrame, catalogue: Catalogue, model, cfg: RecConfig) -> DataFrame:
     """Unconstrained pool per user; an item found twice keeps the first generator.
 
-    Both generators take their top k before seen items are removed.
+    With ``pool_before_seen`` both generators take their top k before seen items are removed, else of the unseen items.
     """
     k = cfg.pool_per_generator
+    seen = None if cfg.pool_before_seen else model.seen
     taste = model.taste.join(users, "user_id", "left_semi")
     affinity = model.tag_affinity.join(users, "user_id", "left_semi")
-    semantic = cg.semantic_recall(taste, catalogue.vectors, k).selectExpr("*", "0 AS priority")
-    by_tag = cg.tag_recall(affinity, catalogue.tags_nkey, cfg).selectExpr("*", "1 AS priority")
+    semantic = cg.semantic_recall(taste, catalogue.vectors, k, seen).selectExpr("*", "0 AS priority")
+    by_tag = cg.tag_recall(affinity, catalogue.tags_nkey, cfg, seen).selectExpr("*", "1 AS priority")
     return semantic.unionByName(by_tag).groupBy("user_id", "content_id").agg(
         F.expr("min_by(struct(IF(priority = 0, 'semantic', 'tag') AS generated_by, base_score), priority) AS g")
     ).select("user_id", "content_id", "g.generated_by", "g.base_score")
 
 
 def constrained_pool(requests: DataFrame, catalogue: Catalogue, seen: DataFrame | None, cfg: RecConfig) -> DataFrame:
-    """(request_id, user_id, content_id, generated_by): tag filter, radius, or both (AND)."""
+    """(request_id, user_id, content_id, generated_by): tag filter, radius, or both, which are met before the cut."""
     k = cfg.pool_per_generator
-    filtered = requests.filter("coalesce(filter, '') <> ''")
-    located = requests.filter(GEO)
-    by_tag = cg.filter_recall(filtered, catalogue.values, seen, k).selectExpr("*", "'filter' AS g")
-    by_geo = cg.geo_recall(located, catalogue.contents, seen, k).selectExpr("request_id", "content_id", "'geo' AS g")
-    hits = by_tag.unionByName(by_geo).groupBy("request_id", "content_id").agg(F.expr("count(*) AS found"))
-    asked = requests.selectExpr(
-        "request_id", "user_id",
-        f"IF(coalesce(filter, '') <> '', 1, 0) + IF({GEO}, 1, 0) AS needed",
-        f"concat_ws('+', IF(coalesce(filter, '') <> '', 'filter', NULL), IF({GEO}, 'geo', NULL)) AS generated_by",
-    )
-    return asked.join(hits, "request_id").filter("found = needed").select("request_id", "user_id", "content_id", "generated_by")
+    by_filter = "coalesce(filter, '') <> ''"
+    by_tag = cg.filter_recall(requests.filter(f"{by_filter} AND NOT {GEO}"), catalogue.values, seen, k).selectExpr("request_id", "content_id", "'filter' AS generated_by")
+    by_geo = cg.geo_recall(requests.filter(f"NOT ({by_filter}) AND {GEO}"), catalogue.contents, seen, k).selectExpr("request_id", "content_id", "'geo' AS generated_by")
+    by_both = cg.filtered_geo_recall(requests.filter(f"{by_filter} AND {GEO}"), catalogue.values, catalogue.contents, seen, k).selectExpr("request_id", "content_id", "'filter+geo' AS generated_by")
+    hits = by_tag.unionByName(by_geo).unionByName(by_both)
+    return requests.select("request_id", "user_id").join(hits, "request_id").select("request_id", "user_id", "content_id", "generated_by")
 
 
 def candidate_pool(requests: DataFrame, catalogue: Catalogue, model, cfg: RecConfig) -> tuple[DataFrame, DataFrame]:

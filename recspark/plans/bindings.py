@@ -98,11 +98,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External demographics: customers that are also event users."""
+    """External demographics of all customers, those without events included."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
-    users = table(spark, sf_dir, "events").selectExpr("user_id AS c_custkey").distinct()
-    return c.join(users, "c_custkey", "left_semi").join(n, "c_nationkey").selectExpr(
+    return c.join(n, "c_nationkey").selectExpr(
         "CAST(c_custkey AS STRING) AS user_id",
         "CAST(18 + c_custkey % 60 AS STRING) AS age",
         "IF(c_custkey % 2 = 0, n_name, NULL) AS nationality",

@@ -139,7 +139,7 @@ SELECT DISTINCT user_id, age, gender, nationality, province, personal_connection
 cte("demo_provider", """
 SELECT CAST(c_custkey AS VARCHAR) AS user_id, CAST(18 + c_custkey % 60 AS VARCHAR) AS age,
        CASE WHEN c_custkey % 2 = 0 THEN n_name END AS nationality
-FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey IN (SELECT user_id FROM events)
+FROM customer JOIN nation ON n_nationkey = c_nationkey
 """)
 cte("demo", """
 SELECT coalesce(p.user_id, s.user_id) AS user_id, coalesce(p.age, s.age) AS age, s.gender,

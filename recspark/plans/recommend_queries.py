@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from recspark.functions.ordered import top_k
 from recspark.operators import candidates as cg
 from recspark.operators import recommend as rc
 from recspark.operators.knn import nearest
@@ -173,10 +174,20 @@ def geo_recall(spark, sf_dir):
     return hits.selectExpr("request_id", "content_id", *r6("base_score"))
 
 
+cte("both_hits", """
+SELECT user_id, content_id FROM (
+  SELECT user_id, content_id, row_number() OVER (PARTITION BY user_id ORDER BY d, content_id) AS rn FROM (
+    SELECT r.user_id, c.content_id, 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(c.lat - r.lat) / 2), 2)
+           + cos(radians(r.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - r.lon) / 2), 2)))) AS d
+    FROM reqs r JOIN cont c ON r.lat IS NOT NULL JOIN item_values i ON i.content_id = c.content_id AND i.value = r.value) x
+  WHERE d <= 400 AND NOT EXISTS (SELECT 1 FROM seen_items s WHERE s.user_id = x.user_id AND s.content_id = x.content_id)) WHERE rn <= 30
+""")
+
+
 @query("constrained_pool", """
-SELECT r.user_id AS request_id, h.content_id, concat_ws('+', CASE WHEN value IS NOT NULL THEN 'filter' END, CASE WHEN lat IS NOT NULL THEN 'geo' END) AS generated_by
-FROM reqs r JOIN (SELECT user_id, content_id, count(*) AS n FROM (SELECT user_id, content_id FROM filter_hits UNION ALL SELECT user_id, content_id FROM geo_hits) GROUP BY 1, 2) h USING (user_id)
-WHERE n = (CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN lat IS NOT NULL THEN 1 ELSE 0 END)
+SELECT user_id AS request_id, content_id, 'filter' AS generated_by FROM filter_hits JOIN reqs USING (user_id) WHERE lat IS NULL
+UNION ALL SELECT user_id, content_id, 'geo' FROM geo_hits JOIN reqs USING (user_id) WHERE value IS NULL
+UNION ALL SELECT user_id, content_id, 'filter+geo' FROM both_hits
 """)
 def constrained_pool(spark, sf_dir):
     w = RecWorld(spark, sf_dir, stored=True)
@@ -191,6 +202,27 @@ def open_candidates(spark, sf_dir):
     return pool.join(w.model.seen, ["user_id", "content_id"], "left_anti").select("user_id", "content_id", "generated_by")
 
 
+cte("open_unseen", """
+SELECT user_id, content_id, CASE WHEN min(p) = 0 THEN 'semantic' ELSE 'tag' END AS generated_by FROM (
+  SELECT t.user_id, v.content_id, 0 AS p, row_number() OVER (PARTITION BY t.user_id ORDER BY list_cosine_similarity(t.v, v.v) DESC, v.content_id) AS rn
+  FROM taste t CROSS JOIN vec v WHERE NOT EXISTS (SELECT 1 FROM seen_items s WHERE s.user_id = t.user_id AND s.content_id = v.content_id)
+  UNION ALL
+  SELECT user_id, content_id, 1, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, content_id) FROM (
+    SELECT user_id, content_id FROM (SELECT DISTINCT user_id, nkey FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weight, 9) DESC, key) AS kr FROM aff_keys) WHERE kr <= 20)
+    JOIN (SELECT DISTINCT content_id, nkey FROM ctag_keys) USING (nkey)) x
+  WHERE NOT EXISTS (SELECT 1 FROM seen_items s WHERE s.user_id = x.user_id AND s.content_id = x.content_id) GROUP BY user_id, content_id)
+WHERE rn <= 30 GROUP BY user_id, content_id
+""")
+
+
+@query("open_candidates_unseen", "SELECT user_id, content_id, generated_by FROM open_unseen")
+def open_candidates_unseen(spark, sf_dir):
+    """The other setting of ``pool_before_seen``: the cut comes after the seen items have left."""
+    w = RecWorld(spark, sf_dir, stored=True)
+    pool = rc.open_pool(w.open_requests.select("user_id"), w.catalogue, w.model, replace(CFG, pool_before_seen=False))
+    return pool.select("user_id", "content_id", "generated_by")
+
+
 @query("catalogue_sample", """
 SELECT user_id, content_id, rn AS draw FROM (
   SELECT u.user_id, c.content_id, CAST(row_number() OVER (PARTITION BY u.user_id ORDER BY md5(c.content_id || ':7'), c.content_id) AS INTEGER) AS rn
@@ -245,9 +277,10 @@ def recommendation_diagnostics(spark, sf_dir):
 SELECT item_id, content_id, round(score, 6) + 0.0 AS score FROM (
   SELECT a.content_id AS item_id, b.content_id, list_cosine_similarity(a.v, b.v) AS score,
          row_number() OVER (PARTITION BY a.content_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.content_id) AS rn
-  FROM vec a CROSS JOIN vec b) WHERE rn <= 5 AND item_id <> content_id
+  FROM vec a JOIN vec b ON a.content_id <> b.content_id) WHERE rn <= 5
 """)
 def similar_items(spark, sf_dir):
     v = RecWorld(spark, sf_dir).vectors
-    hits = nearest(v.selectExpr("content_id AS qid", "vec AS qvec"), v, 5)
-    return hits.filter("qid <> content_id").selectExpr("qid AS item_id", "content_id", *r6("score"))
+    hits = nearest(v.selectExpr("content_id AS qid", "vec AS qvec", "1 AS extra"), v, 5).filter("qid <> content_id")
+    best = top_k(hits.drop("rank"), ["qid"], [F.desc("score"), F.col("content_id")], 5)
+    return best.selectExpr("qid AS item_id", "content_id", *r6("score"))
