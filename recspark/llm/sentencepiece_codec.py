@@ -21,7 +21,7 @@ from recspark.llm.common import mixed, powers, slices, table
 
 MODEL = "piece_bpe_32k.model"
 BLANK = 0x2581
-SLICE = 4 << 20
+SLICE = 3 << 19
 # Words and pairs of pieces that a worker remembers.
 MEMORY = 1 << 19
 BYTE = 6
@@ -273,26 +273,29 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _coder(path: str, text: str) -> Callable:
+def _coder(path: str, text: str, back: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in slices(batches, text, SLICE):
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            ids, offsets = coder.encode(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[*batch.schema.names, "token_ids"])
+            ids, offsets = coder.encode([t or "" for t in batch.column(text).to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            decoded = [pa.array(coder.decode(ids, offsets), pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *decoded], names=[*batch.schema.names, "token_ids", *["decoded"] * back])
 
     return run
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, model_path: str, text: str = "text", back: bool = False) -> DataFrame:
     """The columns of `df` with token_ids, which replaces a column of that name: the ids the library gives for the whole text.
 
+    With `back`, also `decoded`, the text of these ids, made in the same pass.
+
     Null and empty texts have no ids; repeated rows stay; an empty table gives no rows. The model file lies at the same path
     on every worker. No shuffle.
     """
-    rest = df.drop("token_ids")
+    rest = df.drop("token_ids", *["decoded"] * back)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(_coder(model_path, text), f"{kinds}, token_ids array<int>")
+    return rest.mapInArrow(_coder(model_path, text, back), f"{kinds}, token_ids array<int>{', decoded string' * back}")
 
 
 def _decoder(path: str) -> Callable:
