@@ -115,8 +115,8 @@ def served_tail(served: DataFrame, n: int, user_id: str | None = None) -> DataFr
 
 
 def snapshot(events: DataFrame, path: str) -> None:
-    """The whole log in time order as gzip CSV, nested columns as JSON text."""
-    encode_events(events).orderBy("ts").write.option("compression", "gzip").option("header", True).mode("overwrite").csv(path)
+    """The whole log in time order as gzip CSV, nested columns as JSON text, quotes doubled."""
+    encode_events(events).orderBy("ts").write.option("compression", "gzip").option("header", True).option("escape", '"').mode("overwrite").csv(path)
 
 
 def snapshot_stats(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Works on batch and streaming frames: one projection per row, no shuffle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 END_REASONS = ("next_button", "link", "close_button", "abandon")  # fixed values
 
@@ -88,14 +89,34 @@ def normalize_payloads(bronze: DataFrame, value: str = "value", ingest_ts: str =
     )
 
 
+# Parts of the properties that the fixed columns and the rules below cover.
+KNOWN_PARTS = ("content", "details", "context", "answers")
+
+
 def event_metadata(events: DataFrame) -> DataFrame:
-    """(event columns, meta map): details and context of the raw payload the fixed columns do
-    not show; request, session and a recognised end reason are left out."""
-    v = "try_parse_json(raw)"
-    parts = (
-        f"map_concat(map_filter(coalesce(try_variant_get({v}, '$.properties.context', 'map<string,string>'), map()), (k, x) -> k <> 'candidates' "
-        f"AND NOT array_contains(map_keys(coalesce(try_variant_get({v}, '$.properties.details', 'map<string,string>'), map())), k)), "
-        f"coalesce(try_variant_get({v}, '$.properties.details', 'map<string,string>'), map()))"
+    """(event columns, meta map): what the raw payload says beside the fixed columns.
+
+    Details and context (context wins, without its candidates, which are counted), other properties that are single values,
+    the single values of nested ones such as panels, and the survey answers. Empty values, request and session ids are left
+    out, and the reason where it is a recognised end reason.
+    """
+    def fields(path: str) -> str:
+        return f"coalesce(try_variant_get(_v, '{path}', 'map<string,variant>'), CAST(map() AS MAP<STRING, VARIANT>))"
+
+    single = "schema_of_variant({0}) RLIKE '^(STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$'"
+    parts = events.withColumn("_v", F.expr("try_parse_json(raw)")).selectExpr(
+        "* EXCEPT (_v)", f"{fields('$.properties.details')} AS _details", f"map_filter({fields('$.properties.context')}, (k, x) -> k <> 'candidates') AS _context",
+        f"map_filter({fields('$.properties')}, (k, x) -> k NOT IN {KNOWN_PARTS}) AS _others",
+        "size(try_variant_get(_v, '$.properties.context.candidates', 'array<variant>')) AS _candidates",
     )
-    keep = "x IS NOT NULL AND x NOT IN ('', '[]') AND k NOT IN ('request_id', 'session_id') AND NOT (k = 'reason' AND end_reason IS NOT NULL)"
-    return events.selectExpr("*", f"map_filter({parts}, (k, x) -> {keep}) AS meta")
+    nested = (f"aggregate(map_entries(map_filter(_others, (k, x) -> schema_of_variant(x) LIKE 'OBJECT%')), CAST(array() AS ARRAY<STRUCT<key: STRING, value: VARIANT>>), "
+              f"(s, e) -> concat(s, map_entries(map_filter(coalesce(try_variant_get(e.value, '$', 'map<string,variant>'), CAST(map() AS MAP<STRING, VARIANT>)), (k, x) -> {single.format('x')}))))")
+    rows = (f"concat(map_entries(map_filter(_details, (k, x) -> NOT map_contains_key(_context, k))), map_entries(_context), "
+            f"map_entries(map_filter(_others, (k, x) -> {single.format('x')})), {nested})")
+    text = f"transform({rows}, e -> struct(e.key AS k, try_variant_get(e.value, '$', 'string') AS x))"
+    kept = ("filter(_text, e -> e.x IS NOT NULL AND e.x NOT IN ('', '[]') AND e.k NOT IN ('request_id', 'session_id') AND NOT (e.k = 'reason' AND end_reason IS NOT NULL))")
+    counted = "IF(_candidates > 0, array(struct('candidates' AS k, CAST(_candidates AS STRING) AS x)), array())"
+    answered = "IF(size(survey_answers) > 0, array(struct('answers' AS k, to_json(survey_answers) AS x)), array())"
+    whole = parts.selectExpr("* EXCEPT (_details, _context, _others)", f"{text} AS _text").selectExpr("* EXCEPT (_text, _candidates)", f"concat({kept}, {counted}, {answered}) AS _rows")
+    # Of values with one name the last counts.
+    return whole.selectExpr("* EXCEPT (_rows)", "map_from_entries(filter(transform(_rows, (e, i) -> IF(exists(slice(_rows, i + 2, size(_rows)), l -> l.k = e.k), NULL, e)), e -> e IS NOT NULL)) AS meta")
