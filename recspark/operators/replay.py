@@ -3,11 +3,15 @@
 All decayed weights of one visitor share the factor 0.5^(now / half life), and every
 feature is a ratio, a maximum-normalised sum or a cosine, so that factor cancels. What is
 left are running sums of the changes each view makes to its item's signal: the replay is
-linear in the views, instead of a refold of the whole history per view.
+linear in the views, instead of a refold of the whole history per view. The weights grow as
+2^(days / half life), so the sums are decimals: what was added and taken away again cancels
+exactly, and an old like still counts when nothing newer is left.
 """
 
 from __future__ import annotations
 
+from math import ceil, log10
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +24,23 @@ from recspark.operators.signals import AREA_FACET
 from recspark.session import materialize
 
 USER = ["user_id"]
+# Digits of the exact sums, those before the point beside the growth, and the fewest after it.
+DIGITS = 37
+BEFORE_POINT = 6
+AFTER_POINT = 9
+
+
+def exact_type(views: DataFrame, cfg: RecConfig) -> str:
+    """The decimal type that holds the sums of the longest history. Too long a history is an error, not a wrong result."""
+    span = views.groupBy("user_id").agg(F.expr("(unix_micros(max(ts)) - unix_micros(min(ts))) / 86400e6D AS days")).agg(F.max("days")).first()[0] or 0.0
+    after = DIGITS - BEFORE_POINT - ceil(span / cfg.half_life_days * log10(2))
+    if after < AFTER_POINT:
+        raise ValueError(f"a history of {span:.0f} days is too long for exact sums with a half life of {cfg.half_life_days} days; replay it in parts")
+    return f"DECIMAL({DIGITS}, {min(after, 20)})"
 
 
 def signal_changes(views: DataFrame, contents: DataFrame, cfg: RecConfig) -> DataFrame:
-    """Views with their reward and the change (dpos, dneg, dlikes) they make to the visitor's signals.
+    """Views with their reward and the item's signals after (pos, neg) and before (pos0, neg0) them, and the change of likes.
 
     views: user_id, event_id, content_id, ts, dwell_seconds, end_reason, visits.
     """
@@ -50,45 +67,49 @@ def signal_changes(views: DataFrame, contents: DataFrame, cfg: RecConfig) -> Dat
     )
     lagged = neighbour(known, pair, "ts", "event_id", F.struct("pos", "neg", "liked"), "before")
     return lagged.selectExpr(
-        "user_id", "event_id", "content_id", "ts", "known", "reward", "pos - coalesce(before.pos, 0D) AS dpos",
-        "neg - coalesce(before.neg, 0D) AS dneg", "liked - coalesce(before.liked, 0) AS dlikes",
+        "user_id", "event_id", "content_id", "ts", "known", "reward", "pos", "coalesce(before.pos, 0D) AS pos0",
+        "neg", "coalesce(before.neg, 0D) AS neg0", "liked - coalesce(before.liked, 0) AS dlikes",
     )
 
 
-def tag_features(changes: DataFrame, catalogue: Catalogue) -> DataFrame:
+def _change(after: str, before: str, factor: str, exact: str) -> str:
+    """SQL: exact sum of the changes of a weighted signal."""
+    return f"sum(CAST({after} * {factor} AS {exact}) - CAST({before} * {factor} AS {exact}))"
+
+
+def tag_features(changes: DataFrame, catalogue: Catalogue, exact: str) -> DataFrame:
     """(user_id, event_id, tag, aversion) from the running key sums before each view."""
     summed = catalogue.keyed_tags.filter(f"facet <> '{AREA_FACET}'").groupBy("content_id", "nkey").agg(F.expr("sum(weight) AS w_sum"))
     keyed = summed.join(catalogue.tags_nkey.selectExpr("content_id", "nkey", "weight AS w_last"), ["content_id", "nkey"])
-    rows = changes.join(keyed, "content_id").select("user_id", "event_id", "ts", "nkey", "w_sum", "w_last", "dpos", "dneg")
-    held = running(rows, ["user_id", "nkey"], "ts", "event_id", {"likes": "sum(dpos * w_sum)", "dislikes": "sum(dneg * w_sum)"})
+    rows = changes.join(keyed, "content_id").select("user_id", "event_id", "ts", "nkey", "w_sum", "w_last", "pos", "pos0", "neg", "neg0")
+    held = running(rows, ["user_id", "nkey"], "ts", "event_id", {"likes": _change("pos", "pos0", "w_sum", exact), "dislikes": _change("neg", "neg0", "w_sum", exact)})
     matched = held.groupBy("user_id", "event_id").agg(
-        F.expr("sum(likes * w_last) AS likes"), F.expr("sum(dislikes * w_last) AS dislikes")
+        F.expr("sum(CAST(likes AS DOUBLE) * w_last) AS likes"), F.expr("sum(CAST(dislikes AS DOUBLE) * w_last) AS dislikes")
     )
     mass = summed.groupBy("content_id").agg(F.expr("sum(w_sum) AS mass"))
     totals = running(
-        changes.join(mass, "content_id", "left").selectExpr("user_id", "event_id", "ts", "coalesce(mass, 0D) AS mass", "dpos", "dneg"),
-        USER, "ts", "event_id", {"all_likes": "sum(dpos * mass)", "all_dislikes": "sum(dneg * mass)"},
+        changes.join(mass, "content_id", "left").selectExpr("user_id", "event_id", "ts", "coalesce(mass, 0D) AS mass", "pos", "pos0", "neg", "neg0"),
+        USER, "ts", "event_id", {"all_likes": _change("pos", "pos0", "mass", exact), "all_dislikes": _change("neg", "neg0", "mass", exact)},
     )
 
     def share(part: str, whole: str, name: str) -> str:
-        # sums that cancelled to nothing leave rounding dust, not a signal
-        return f"IF({whole} > 1e-9D, greatest(0D, least(coalesce({part}, 0D) / {whole}, 1D)), 0D) AS {name}"
+        return f"IF({whole} > 0, greatest(0D, least(coalesce({part}, 0D) / CAST({whole} AS DOUBLE), 1D)), 0D) AS {name}"
 
     return totals.join(matched, ["user_id", "event_id"], "left").selectExpr(
         "user_id", "event_id", share("likes", "all_likes", "tag"), share("dislikes", "all_dislikes", "aversion")
     )
 
 
-def vector_features(changes: DataFrame, catalogue: Catalogue) -> DataFrame:
+def vector_features(changes: DataFrame, catalogue: Catalogue, exact: str) -> DataFrame:
     """(user_id, event_id, semantic, recency): taste is a running vector sum, recency the view before."""
     d = catalogue.dim
     zero = f"array_repeat(0D, {d})"
     held = changes.join(catalogue.vectors.select("content_id", "vec"), "content_id", "left").selectExpr(
-        "user_id", "event_id", "ts", "vec", f"coalesce(vec, {zero}) AS v", "dpos", "IF(vec IS NULL, 0, dlikes) AS dlikes"
+        "user_id", "event_id", "ts", "vec", f"coalesce(vec, {zero}) AS v", "pos", "pos0", "IF(vec IS NULL, 0, dlikes) AS dlikes"
     )
-    sums = {f"s{i}": f"sum(dpos * v[{i}])" for i in range(d)}
+    sums = {f"s{i}": _change("pos", "pos0", f"v[{i}]", exact) for i in range(d)}
     taste = running(held, USER, "ts", "event_id", {**sums, "likes": "sum(dlikes)"})
-    taste = taste.selectExpr("user_id", "event_id", "ts", "vec", "likes", "array(" + ", ".join(f"s{i}" for i in range(d)) + ") AS taste")
+    taste = taste.selectExpr("user_id", "event_id", "ts", "vec", "likes", "array(" + ", ".join(f"CAST(s{i} AS DOUBLE)" for i in range(d)) + ") AS taste")
     last = neighbour(taste, USER, "ts", "event_id", F.col("vec"), "prev_vec")
     return last.selectExpr(
         "user_id", "event_id", f"IF(likes > 0 AND vec IS NOT NULL, ({cosine('taste', 'vec')} + 1D) / 2D, 0D) AS semantic",
@@ -98,7 +119,8 @@ def vector_features(changes: DataFrame, catalogue: Catalogue) -> DataFrame:
 
 def replay_samples(views: DataFrame, catalogue: Catalogue, cfg: RecConfig) -> DataFrame:
     """(user_id, event_id, content_id, semantic, tag, recency, aversion, reward) per view of a known item."""
+    exact = exact_type(views, cfg)
     changes = materialize(signal_changes(views, catalogue.contents, cfg))
     key = ["user_id", "event_id"]
     rows = changes.filter("known").select("user_id", "event_id", "content_id", "reward")
-    return rows.join(tag_features(changes, catalogue), key).join(vector_features(changes, catalogue), key)
+    return rows.join(tag_features(changes, catalogue, exact), key).join(vector_features(changes, catalogue, exact), key)
