@@ -12,7 +12,8 @@ from recspark.functions.vectors import haversine_m
 from recspark.operators.knn import nearest
 from recspark.session import materialize
 
-CELL_DEGREES = 0.02
+# Grid levels of the radius search: cells of 180 degrees down to about 10 metres.
+LEVELS = 21
 METRES_PER_DEGREE = 111_194.0
 
 
@@ -89,54 +90,69 @@ def filter_values(tags: DataFrame) -> DataFrame:
     return with_norm_label(decoded, "label", "value").select("content_id", "value").distinct()
 
 
+def value_positions(values: DataFrame) -> DataFrame:
+    """(value, content_id, position): 1-based places by id within each value.
+
+    Rows are sorted in ranges of (value, id), which cut a frequent value into several, and the rows of a value in the
+    ranges before are added; the ranges are written first, so that all readers see the same ones.
+    """
+    ranges = materialize(values.select("value", "content_id").distinct().repartitionByRange("value", "content_id").withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("value", "_range").agg(F.expr("count(*) AS n"))
+    before = counts.selectExpr("value", "_range", "coalesce(sum(n) OVER (PARTITION BY value ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS n_before")
+    inside = ranges.selectExpr("value", "content_id", "_range", "row_number() OVER (PARTITION BY value, _range ORDER BY content_id) AS place")
+    return inside.join(before, ["value", "_range"]).selectExpr("value", "content_id", "place + n_before AS position")
+
+
 def filter_recall(requests: DataFrame, values: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
     """(request_id, content_id): the first k items (by id) with the requested tag value.
 
-    With m seen items of that value, the first k unseen ones are among the first k + m,
-    so each request reads that many ranked rows and no more.
+    With m seen items of that value, the first k unseen ones are among the first k + m: a
+    request asks for those positions, and the equi join on (value, position) reads no others.
     """
-    ranked = values.selectExpr(
-        "value", "content_id", "row_number() OVER (PARTITION BY value ORDER BY content_id) AS position"
-    )
+    ranked = value_positions(values)
     asked = requests.selectExpr("request_id", "user_id", f"{decode_machine_tag('filter')} AS label")
     asked = with_norm_label(asked, "label", "value").select("request_id", "user_id", "value")
     if seen is None:
-        return asked.join(ranked.filter(f"position <= {k}"), "value").select("request_id", "content_id")
+        wanted = asked.selectExpr("request_id", "value", f"explode(sequence(1L, {k}L)) AS position")
+        return wanted.join(ranked, ["value", "position"]).select("request_id", "content_id")
     blocked = seen.join(values, "content_id").groupBy("user_id", "value").agg(F.expr("count(*) AS m"))
-    wide = asked.join(blocked, ["user_id", "value"], "left").selectExpr("request_id", "user_id", "value", "coalesce(m, 0) AS m")
-    pool = wide.join(ranked, "value").filter(f"position <= {k} + m")
-    unseen = pool.join(seen, ["user_id", "content_id"], "left_anti")
+    wide = asked.join(blocked, ["user_id", "value"], "left").selectExpr("request_id", "user_id", "value", f"explode(sequence(1L, {k}L + coalesce(m, 0L))) AS position")
+    unseen = wide.join(ranked, ["value", "position"]).join(seen, ["user_id", "content_id"], "left_anti")
     return top_k(unseen, ["request_id"], [F.col("content_id")], k).select("request_id", "content_id")
 
 
-def in_radius(requests: DataFrame, places: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+def in_radius(requests: DataFrame, places: DataFrame) -> DataFrame:
     """(request columns, content_id, distance_m) of the items inside each request's radius.
 
-    Items sit in one grid cell; a request is repeated for the cells its bounding box
-    touches (longitudes wrap), so the join is an equi join with an exact test after it.
+    There are grids of all levels, each with cells half as wide as the one before. A request uses the level whose cells
+    are about as wide as its radius, and is repeated for the few of them its bounding box touches (longitudes wrap); an item
+    is repeated for the levels in use, LEVELS + 1 at most. So the join is an equi join, whose cells hold no much wider area
+    than the radius asks for, with an exact test after it.
     """
     columns = requests.columns
-    rows = int(180 / cell)
-    around = int(360 / cell)
+    requests = requests.withColumn("level", F.expr(
+        f"CAST(greatest(0, least({LEVELS}, floor(log2(180D * {METRES_PER_DEGREE}D / greatest(radius_m, 1D))))) AS INT)"))
+    cell, around = "(180D / pow(2D, level))", "CAST(2 * pow(2D, level) AS INT)"
+    used = ", ".join(str(r[0]) for r in requests.select("level").distinct().collect() if r[0] is not None) or "0"  # LEVELS + 1 at most
     box = requests.selectExpr(
-        *columns,
+        *columns, "level",
         f"radius_m / {METRES_PER_DEGREE}D AS dlat",
         f"least(180D, radius_m / {METRES_PER_DEGREE}D / greatest(cos(radians(least(abs(lat) + radius_m / {METRES_PER_DEGREE}D, 90D))), 1e-9D)) AS dlon",
     )
     cells = box.selectExpr(
-        *columns, "dlon",
-        f"explode(sequence(CAST(floor((lat - dlat + 90) / {cell}D) AS INT), CAST(floor((lat + dlat + 90) / {cell}D) AS INT))) AS cy",
+        *columns, "level", "dlon",
+        f"explode(sequence(CAST(floor((lat - dlat + 90) / {cell}) AS INT), CAST(floor((lat + dlat + 90) / {cell}) AS INT))) AS cy",
     ).selectExpr(
-        *columns, "cy",
-        f"explode(array_distinct(transform(sequence(CAST(floor((lon - dlon + 180) / {cell}D) AS INT), "
-        f"CAST(floor((lon + dlon + 180) / {cell}D) AS INT)), x -> pmod(x, {around})))) AS cx",
-    ).filter(f"cy BETWEEN 0 AND {rows}")
-    items = places.filter("lat IS NOT NULL AND lon IS NOT NULL").selectExpr(
-        "content_id", "lat AS item_lat", "lon AS item_lon",
-        f"CAST(floor((lat + 90) / {cell}D) AS INT) AS cy",
-        f"pmod(CAST(floor((lon + 180) / {cell}D) AS INT), {around}) AS cx",
+        *columns, "level", "cy",
+        f"explode(array_distinct(transform(sequence(CAST(floor((lon - dlon + 180) / {cell}) AS INT), "
+        f"CAST(floor((lon + dlon + 180) / {cell}) AS INT)), x -> pmod(x, {around})))) AS cx",
+    ).filter("cy BETWEEN 0 AND CAST(pow(2D, level) AS INT)")
+    items = places.filter("lat IS NOT NULL AND lon IS NOT NULL").selectExpr("content_id", "lat", "lon", f"explode(array({used})) AS level").selectExpr(
+        "content_id", "lat AS item_lat", "lon AS item_lon", "level",
+        f"CAST(floor((lat + 90) / {cell}) AS INT) AS cy",
+        f"pmod(CAST(floor((lon + 180) / {cell}) AS INT), {around}) AS cx",
     )
-    near = cells.join(items, ["cy", "cx"]).selectExpr(
+    near = cells.join(items, ["level", "cy", "cx"]).selectExpr(
         *columns, "content_id", f"{haversine_m('lat', 'lon', 'item_lat', 'item_lon')} AS distance_m"
     )
     return near.filter("distance_m <= radius_m")

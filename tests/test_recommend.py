@@ -88,7 +88,7 @@ def test_radius_join_matches_brute_force(spark):
     reqs = spark.createDataFrame(
         [("r1", "u", 0.01, 179.99, 20000.0), ("r2", "u", 89.9, 10.0, 60000.0), ("r3", "u", 45.0, 0.0, 2000000.0)],
         "request_id string, user_id string, lat double, lon double, radius_m double")
-    got = {(r.request_id, r.content_id) for r in in_radius(reqs, places, cell=1.0).collect()}
+    got = {(r.request_id, r.content_id) for r in in_radius(reqs, places).collect()}
 
     def dist(a, b, c, d):
         a, b, c, d = map(math.radians, (a, b, c, d))
