@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from functools import cached_property
 
@@ -12,7 +13,7 @@ from recspark.operators import candidates as cg
 from recspark.operators import recommend as rc
 from recspark.operators.knn import nearest
 from recspark.operators.scoring import Catalogue, fuse, score_candidates
-from recspark.plans.oracle import NOW, cte
+from recspark.plans.oracle import CTES, NOW, cte
 from recspark.plans.registry import query, r6
 from recspark.plans.signal_queries import CFG, World
 
@@ -256,7 +257,56 @@ def recommendations(spark, sf_dir):
     return items.selectExpr("request_id", "rank", "content_id", "role", *r6("relevance_score"))
 
 
-@query("constrained_recommendations")
+def _again(name: str) -> str:
+    """The same hits without leaving out what the visitor has seen."""
+    return re.sub(r"NOT EXISTS \(SELECT 1 FROM seen_items s WHERE [^)]*\)", "true", CTES[name])
+
+
+def _for_bound(name: str) -> str:
+    """A step of the open requests, for the constrained ones."""
+    text = CTES[name]
+    for step in ("open_cand", "cand_scores", "fused", "mmr_walk", "mmr_list"):
+        text = re.sub(rf"\b{step}\b", f"bound_{step}", text)
+    return text
+
+
+for _name in ("filter_hits", "geo_hits", "both_hits"):
+    cte(f"again_{_name}", _again(_name))
+_ALL_HITS = """
+SELECT user_id, content_id FROM {0}filter_hits JOIN reqs USING (user_id) WHERE lat IS NULL
+UNION ALL SELECT user_id, content_id FROM {0}geo_hits JOIN reqs USING (user_id) WHERE value IS NULL
+UNION ALL SELECT user_id, content_id FROM {0}both_hits
+"""
+cte("bound_fresh", _ALL_HITS.format(""))
+cte("bound_again", _ALL_HITS.format("again_"))
+cte("bound_open_cand", """
+SELECT user_id, content_id FROM bound_fresh
+UNION ALL SELECT user_id, content_id FROM bound_again WHERE user_id NOT IN (SELECT user_id FROM bound_fresh)
+""")
+cte("bound_cand_scores", _for_bound("cand_scores"))
+cte("bound_fused", """
+SELECT s.*, CAST(0.20 AS DOUBLE) * semantic + CAST(0.10 AS DOUBLE) * affinity + CAST(0.45 AS DOUBLE) * least(tag, 1)
+        + CAST(0.05 AS DOUBLE) * recency + CAST(-0.30 AS DOUBLE) * least(aversion, 1)
+        + CASE WHEN r.lat IS NULL THEN 0 ELSE CAST(0.20 AS DOUBLE) * exp(-2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(c.lat - r.lat) / 2), 2)
+           + cos(radians(r.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - r.lon) / 2), 2)))) / 300) END AS score
+FROM bound_cand_scores s JOIN reqs r USING (user_id) JOIN cont c ON c.content_id = s.content_id
+""")
+cte("bound_mmr_walk", _for_bound("mmr_walk"))
+cte("bound_mmr_list", _for_bound("mmr_list"))
+cte("bound_distractor", """
+SELECT f.user_id, arg_min(f.content_id, (score, f.content_id)) AS content_id, min(score) AS score,
+       least(CASE WHEN CAST('0x' || substr(md5(f.user_id || ':slot:0'), 1, 6) AS INT) % 2 = 0 THEN 3 ELSE 4 END, any_value(l.n) + 1) AS slot
+FROM bound_fused f JOIN (SELECT user_id, count(*) AS n FROM bound_mmr_list GROUP BY user_id) l ON l.user_id = f.user_id
+WHERE NOT EXISTS (SELECT 1 FROM bound_mmr_list s WHERE s.user_id = f.user_id AND s.content_id = f.content_id) GROUP BY f.user_id
+""")
+
+
+@query("constrained_recommendations", """
+SELECT l.user_id AS request_id, CAST(l.rank + CASE WHEN l.rank >= d.slot THEN 1 ELSE 0 END AS INTEGER) AS rank, l.content_id, 'target' AS role, round(f.score, 6) + 0.0 AS relevance_score
+FROM bound_mmr_list l JOIN bound_fused f ON f.user_id = l.user_id AND f.content_id = l.content_id LEFT JOIN bound_distractor d ON d.user_id = l.user_id
+UNION ALL
+SELECT user_id, CAST(slot AS INTEGER), content_id, 'distractor', round(score, 6) + 0.0 FROM bound_distractor
+""")
 def constrained_recommendations(spark, sf_dir):
     w = RecWorld(spark, sf_dir, stored=True)
     items = rc.recommend(w.requests.filter(rc.CONSTRAINED), w.catalogue, w.model, CFG).items
