@@ -91,13 +91,17 @@ def _starts(points):
     return [r[0] for r in points.select("user_id").distinct().orderBy("user_id").limit(4).collect()]
 
 
-@query("personas", """
+PERSONA_SQL = """
 SELECT user_id, n AS n_views, np AS n_positive, round(breadth, 6) AS breadth,
   CASE WHEN dwell >= 0.6 AND completion >= 0.5 THEN 'deep_reader' WHEN dwell >= 0.7 AND n <= 3 AND breadth < 0.5 THEN 'contemplative' WHEN completion >= 0.7 AND n >= 4 THEN 'completionist' WHEN dwell < 0.35 AND n >= 4 THEN 'skimmer' ELSE 'sampler' END AS engagement_style,
   CASE WHEN cog >= intro THEN 'cognitive' ELSE 'introspective' END AS experience_preference,
   ['Hobbyist', 'Explorer', 'Experience-Seeker', 'Recharger', 'Facilitator'][list_position(sc, list_max(sc))] AS visitor_type, round(list_reverse_sort(sc)[1] - list_reverse_sort(sc)[2], 6) AS confidence
 FROM (SELECT *, [(1 - breadth) * reach * (0.4 + 0.6 * csh) * (0.4 + 0.6 * many), breadth * reach, breadth * (1 - least(dwell, completion)) * (0.4 + 0.6 * many), reach * (1 - breadth) * few * (0.4 + 0.6 * ish), social] AS sc FROM kinds)
-""")
+"""
+cte("persona_rows", PERSONA_SQL)
+
+
+@query("personas", PERSONA_SQL)
 def personas(spark, sf_dir):
     w = World(spark, sf_dir, stored=True)
     return pe.personas(w.model, w.content_tags).selectExpr(
@@ -125,7 +129,39 @@ def trajectory(spark, sf_dir):
     return pe.trajectory(w.model.views, w.content_tags)
 
 
-@query("persona_summaries")
+def _strongest(weights: str, items: str, n: int) -> str:
+    """Labels of the n strongest keys with the number of items behind them, as one text."""
+    return f"""
+SELECT user_id, string_agg(label || CASE WHEN found > 0 THEN ' (' || least(found, 5) || ')' ELSE '' END, ', ' ORDER BY rn) AS pull, string_agg(label, ', ' ORDER BY rn) AS plain FROM (
+  SELECT b.user_id, b.rn, substr(b.key, strpos(b.key, ':') + 1) AS label,
+    (SELECT count(DISTINCT p.content_id) FROM {items} p JOIN ctags t USING (content_id) WHERE p.user_id = b.user_id AND lower(t.facet || ':' || t.label) = b.key) AS found
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weight, 9) DESC, key) AS rn FROM {weights}) b WHERE rn <= {n}) GROUP BY user_id
+"""
+
+
+cte("pull_rows", _strongest("affinity", "pos_items", 3))
+cte("avoid_rows", _strongest("aversion", "neg_items", 2))
+cte("walk_rows", """
+SELECT user_id, string_agg(theme, ' → ' ORDER BY rn) AS walk FROM (SELECT user_id, theme, row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, content_id DESC) AS rn FROM (
+  SELECT v.user_id, v.content_id, v.last_ts, 'label_' || c.label AS theme, lead('label_' || c.label) OVER (PARTITION BY v.user_id ORDER BY v.last_ts, v.content_id) AS newer FROM views_agg v JOIN cont c USING (content_id))
+  WHERE newer IS NULL OR newer <> theme) WHERE rn <= 6 GROUP BY user_id
+""")
+
+
+@query("persona_summaries", """
+SELECT user_id, CASE WHEN coalesce(a.pull, b.plain, walk) IS NULL
+    THEN 'New visitor, no engagement yet. Recommendations start from any survey persona or demographics, then adapt as they read.' ELSE concat_ws(' ',
+  CASE WHEN n_views > 0 THEN 'Engaged with ' || n_views || CASE WHEN n_views = 1 THEN ' story' ELSE ' stories' END
+    || CASE WHEN n_positive + coalesce(n_neg, 0) > 0 THEN ': ' || concat_ws(', ', CASE WHEN n_positive > 0 THEN n_positive || ' held attention' END, CASE WHEN n_neg > 0 THEN n_neg || ' dismissed' END) ELSE '' END || '.' END,
+  CASE WHEN n_views > 0 THEN 'Reads to about ' || CAST(round_even(k.dwell * 100, 0) AS INTEGER) || '% of the estimated time, finishing ' || CAST(round_even(k.completion * 100, 0) AS INTEGER) || '%.' END,
+  'Strongest pull toward ' || a.pull || '.', 'Tends to avoid ' || b.plain || '.', 'Recent path: ' || walk || '.',
+  CASE engagement_style WHEN 'deep_reader' THEN 'Reads stories closely, finishing what they start' WHEN 'completionist' THEN 'Works through many stories to completion'
+    WHEN 'skimmer' THEN 'Skims widely, sampling many stories briefly' WHEN 'sampler' THEN 'Samples a range of stories at a moderate pace'
+    WHEN 'contemplative' THEN 'Lingers on a few stories, reading slowly and reflectively' ELSE 'Has not yet shown a clear reading style' END
+    || '; reads like ' || CASE WHEN lower(visitor_type[1]) IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || lower(visitor_type) || '.') END AS summary
+FROM persona_rows JOIN kinds k USING (user_id) LEFT JOIN pull_rows a USING (user_id) LEFT JOIN avoid_rows b USING (user_id) LEFT JOIN walk_rows USING (user_id)
+LEFT JOIN (SELECT user_id, count(*) AS n_neg FROM neg_items GROUP BY user_id) USING (user_id)
+""")
 def persona_summaries(spark, sf_dir):
     w = World(spark, sf_dir, stored=True)
     m, tags = w.model, w.content_tags
