@@ -24,10 +24,12 @@ GRAM = 64
 # Window starts that are looked at together, and at most in one run: bounds of memory that don't change a result.
 STRETCH = 1 << 20
 RUN = 4096
-# Bytes of run texts in one suffix array.
+# Bytes of run texts and windows in one suffix array, about: it ends with the anchor that reaches one of them.
 SHARD_BYTES = 1 << 20
-# Anchors with more different runs have their windows compared one by one by hash, spread over all tasks.
+SHARD_WINDOWS = 1 << 16
+# Anchors with more different runs, or more windows in them, have their windows compared one by one by hash, spread over all tasks.
 HOT_RUNS = 512
+HOT_WINDOWS = 1 << 17
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -150,23 +152,25 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray, window: int = WIND
 
 
 def _sharded(window: int, shard_bytes: int) -> Callable:
-    """Suffix arrays over batches of whole anchors; rows come sorted, and no anchor has more than HOT_RUNS different runs."""
+    """Suffix arrays over batches of whole anchors; rows come sorted, and no anchor has more than HOT_RUNS different runs
+    and HOT_WINDOWS windows, so a shard has at most SHARD_WINDOWS + HOT_WINDOWS of them."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         spans = repeated_windows([x[3] for x in held], np.array([x[2] for x in held]), window)
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array(spans, SPANS)], names=["anchor", "body", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, windows = [], 0, 0
         for batch in batches:
             for row in zip(*(batch.column(x).to_pylist() for x in ("anchor", "body", "weight", "run_text")), strict=True):
                 if held and row[:2] == held[-1][:2]:  # cut in two tasks
                     continue
-                if size >= shard_bytes and row[0] != held[-1][0]:
+                if (size >= shard_bytes or windows >= SHARD_WINDOWS) and row[0] != held[-1][0]:
                     yield solve(held)
-                    held, size = [], 0
+                    held, size, windows = [], 0, 0
                 held.append(row)
                 size += len(row[3])
+                windows += len(row[3]) - window + 1
         if held:
             yield solve(held)
 
@@ -211,12 +215,12 @@ def repeat_spans(df: DataFrame, text: str = "text", window: int = WINDOW, gram:
     places = stored(found.join(shared, "anchor").groupBy("h1", "h2", "start", "size", "anchor", "body", "twice").agg(F.count("*").alias("copies")))
     bodies = places.groupBy("anchor", "body").agg(
         F.sum("copies").alias("weight"), F.max("twice").alias("twice"), F.min(F.struct("h1", "h2", "start", "size")).alias("one"))
-    sizes = bodies.groupBy("anchor").agg(F.count("*").alias("different"))
-    bodies = stored(bodies.join(sizes, "anchor").select("anchor", "body", "weight", "twice", "different", "one.*"))
+    sizes = bodies.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("one.size").alias("windows"))
+    bodies = stored(bodies.join(sizes, "anchor").select("anchor", "body", "weight", "twice", "different", "windows", "one.*"))
     # The only run of its anchor repeats as a whole, or not at all.
     whole = bodies.where("different = 1 and not twice and weight > 1").select("anchor", "body", F.expr(f"cast(array(struct(0 as `from`, size as `to`)) as {SPANS_SQL})").alias("spans"))
     asked = bodies.where("different > 1 or twice").groupBy("h1", "h2").agg(
-        F.collect_list(F.struct("start", "size", "anchor", "body", "weight", (F.col("different") > hot_runs).alias("hot"))).alias("asked"))
+        F.collect_list(F.struct("start", "size", "anchor", "body", "weight", ((F.col("different") > hot_runs) | (F.col("windows") > HOT_WINDOWS)).alias("hot"))).alias("asked"))
     texts = stored(docs.join(asked, ["h1", "h2"]).mapInArrow(_cutter(window), "anchor long, body long, weight long, hot boolean, run_text binary"))
     mild = texts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "body").mapInArrow(_sharded(window, shard_bytes), f"anchor long, body long, spans {SPANS_SQL}")
     single = stored(texts.where("hot").repartition("anchor", "body").sortWithinPartitions("anchor", "body").mapInArrow(
