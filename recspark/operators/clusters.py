@@ -155,8 +155,8 @@ def shared_tags(points: DataFrame, labels: DataFrame, centroids: DataFrame, top:
     return top_k(ranked, ["user_id"], [F.expr("round(shared, 9)").desc(), F.col("key")], top, rank="rank").select("user_id", "cluster", "rank", "key")
 
 
-def profiles(labels: DataFrame, centroids: DataFrame, k: int, top: int = 5) -> DataFrame:
-    """One row per cluster: size, strongest tags, breadth with its reading, 50 members."""
+def profiles(labels: DataFrame, centroids: DataFrame, k: int, top: int = 5, members_shown: int = 50) -> DataFrame:
+    """One row per cluster: size, strongest tags, breadth with its reading, first members; ``labels`` has all of them."""
     cells = long_centroids(centroids)
     best = top_k(cells, ["cluster"], [F.expr("round(weight, 9)").desc(), F.col("key")], top, rank="rank")
     tags = best.groupBy("cluster").agg(F.expr("transform(array_sort(collect_list(struct(rank, key, weight))), x -> struct(x.key, x.weight)) AS top_tags"))
@@ -164,7 +164,7 @@ def profiles(labels: DataFrame, centroids: DataFrame, k: int, top: int = 5) -> D
     has_theme = centroids.agg(F.expr("coalesce(bool_or(startswith(key, 'theme_what')), false)")).scalar()
     spread = cells.groupBy("cluster").agg(F.expr(f"{entropy_sql(theme)} AS by_theme"), F.expr(f"{entropy_sql('weight')} AS by_key"))
     sizes = labels.groupBy("cluster").agg(F.expr("count(*) AS size"))
-    members = top_k(labels.select("cluster", "user_id"), ["cluster"], [F.col("user_id")], 50).groupBy("cluster").agg(
+    members = top_k(labels.select("cluster", "user_id"), ["cluster"], [F.col("user_id")], members_shown).groupBy("cluster").agg(
         F.expr("array_sort(collect_list(user_id)) AS members")
     )
     rows = spread.withColumn("has_theme", has_theme).selectExpr("cluster", "IF(has_theme, by_theme, by_key) AS breadth")

@@ -162,14 +162,15 @@ def popular_themes(affinity: DataFrame, limit: int = 40) -> DataFrame:
     return counts.orderBy(F.desc("visitors"), "key").limit(limit)
 
 
-def cluster_preferences(members: DataFrame, positives: DataFrame, affinity: DataFrame, contents: DataFrame) -> DataFrame:
-    """(cluster, kind, rank, id, amount): five most liked items and six strongest themes."""
+def cluster_preferences(members: DataFrame, positives: DataFrame, affinity: DataFrame, contents: DataFrame,
+                        top_items: int = 5, top_themes: int = 6) -> DataFrame:
+    """(cluster, kind, rank, id, amount): most liked items and strongest themes of each cluster."""
     likes = members.join(positives, "user_id").groupBy("cluster", "content_id").agg(F.expr("CAST(count(*) AS DOUBLE) AS amount"))
-    likes = top_k(likes, ["cluster"], [F.desc("amount"), F.col("content_id")], 5, rank="rank")
+    likes = top_k(likes, ["cluster"], [F.desc("amount"), F.col("content_id")], top_items, rank="rank")
     items = likes.join(contents.select("content_id", "title"), "content_id", "left").selectExpr(
         "cluster", "'content' AS kind", "rank", "content_id AS id", "coalesce(title, '') AS label", "amount")
     themes = members.join(affinity.select("user_id", "key", "weight"), "user_id").groupBy("cluster", "key").agg(F.expr("sum(weight) AS amount"))
-    themes = top_k(themes, ["cluster"], [F.expr("round(amount, 9)").desc(), F.col("key")], 6, rank="rank").selectExpr(
+    themes = top_k(themes, ["cluster"], [F.expr("round(amount, 9)").desc(), F.col("key")], top_themes, rank="rank").selectExpr(
         "cluster", "'theme' AS kind", "rank", "key AS id", "regexp_replace(key, '^[^:]*:', '') AS label", "amount")
     return items.unionByName(themes)
 

@@ -61,14 +61,14 @@ def theme_breadth(signals: DataFrame, affinity: DataFrame, tags: DataFrame) -> D
     )
 
 
-def interests(weights: DataFrame, items: DataFrame, tags: DataFrame, top: int = 5) -> DataFrame:
+def interests(weights: DataFrame, items: DataFrame, tags: DataFrame, top: int = 5, evidence: int = 5) -> DataFrame:
     """(user_id, rank, facet, label, weight, evidence): strongest keys with the items behind them."""
     best = top_k(weights.select("user_id", "key", "weight"), ["user_id"], [F.expr("round(weight, 9)").desc(), F.col("key")], top, rank="rank")
     keys = tags.selectExpr("content_id", "lower(key) AS key").distinct()
     proof = best.select("user_id", "key").join(keys, "key").join(
         items.selectExpr("user_id", "content_id", "weight AS item_weight"), ["user_id", "content_id"]
     )
-    proof = top_k(proof, ["user_id", "key"], [F.expr("round(item_weight, 9)").desc(), F.col("content_id")], 5, rank="at")
+    proof = top_k(proof, ["user_id", "key"], [F.expr("round(item_weight, 9)").desc(), F.col("content_id")], evidence, rank="at")
     lists = proof.groupBy("user_id", "key").agg(F.expr("transform(array_sort(collect_list(struct(at, content_id))), x -> x.content_id) AS evidence"))
     return best.join(lists, ["user_id", "key"], "left").selectExpr(
         "user_id", "rank", "substring_index(key, ':', 1) AS facet", "regexp_replace(key, '^[^:]*:', '') AS label", "weight",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from datetime import datetime
 from functools import cached_property
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,22 +139,21 @@ def demographic_tag_weights(demo: DataFrame) -> DataFrame:
 
 
 def vector_dim(vectors: DataFrame, column: str = "vec") -> int:
-    row = vectors.filter(f"{column} IS NOT NULL").selectExpr(f"size({column})").first()
-    return int(row[0]) if row else 0
+    """The one length of all vectors, 0 without any. Vectors of different lengths are an error, and none is cut or filled."""
+    sizes = vectors.filter(f"{column} IS NOT NULL").groupBy(F.expr(f"size({column})").alias("n")).agg(F.expr("count(*) AS rows")).orderBy(F.desc("rows")).limit(3).collect()
+    if len(sizes) > 1:
+        raise ValueError("vectors of different lengths: " + ", ".join(f"{r['rows']} of {r['n']}" for r in sizes))
+    return int(sizes[0]["n"]) if sizes else 0
 
 
 def weighted_centroid(items: DataFrame, vectors: DataFrame, keys: list[str], weight: str, out: str) -> DataFrame:
     """Normalised weighted vector sum per key; keys whose sum is all zero are dropped.
 
-    One sum per dimension, so the vectors are never exploded into rows and partial
-    aggregation works per map task.
+    One aggregate over whole vectors, whatever their length: nothing is exploded into rows,
+    partial sums are made per map task, and vectors of different lengths stop the job.
     """
-    dim = vector_dim(vectors)
-    joined = items.join(vectors.select("content_id", "vec"), "content_id").withColumn("_w", F.expr(weight))
-    sums = joined.groupBy(*keys).agg(
-        *[F.expr(f"sum(_w * get(vec, {i})) AS _d{i}") for i in range(dim)]
-    )
-    packed = sums.selectExpr(*keys, "array(" + ", ".join(f"_d{i}" for i in range(dim)) + ") AS _sum")
+    joined = items.join(vectors.filter("vec IS NOT NULL").select("content_id", array_to_vector("vec").alias("_v")), "content_id").withColumn("_w", F.expr(weight))
+    packed = joined.groupBy(*keys).agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col("_w"))).alias("_sum"))
     return packed.filter("exists(_sum, x -> x <> 0)").selectExpr(*keys, f"{unit('_sum')} AS {out}")
 
 

@@ -14,6 +14,7 @@ from recspark.plans.oracle import cte
 from recspark.plans.registry import query, r6
 from recspark.plans.signal_queries import CFG, World
 from recspark.session import run_folder
+from recspark.sources import catalogue as ct
 from recspark.sources import logs
 from recspark.sources import payloads as pl
 
@@ -146,3 +147,27 @@ def event_timeline(spark, sf_dir):
     rows = pf.event_timeline(pl.event_metadata(pl.normalize_payloads(bronze)), w.contents, 20)
     return rows.selectExpr("user_id", "place", "event_id", "unix_micros(ts) AS ts_us", "event", "title",
                            "array_join(transform(array_sort(map_entries(meta), (a, b) -> IF(a.key < b.key, -1, 1)), e -> concat(e.key, '=', e.value)), ';') AS meta")
+
+
+@query("session_view_lines", """
+SELECT user_id, content_id, round(dwell, 6) AS dwell_seconds, end_reason, 1 AS visits, epoch_us(ts) AS ts_us FROM iev WHERE event = 'CONTENT_VIEW_ENDED'
+""")
+def session_view_lines(spark, sf_dir):
+    """Views as JSON lines, one line per visitor and day, read back as rows."""
+    path = f"{_folder(spark)}/sessions"
+    views = World(spark, sf_dir).events.filter("event = 'CONTENT_VIEW_ENDED'")
+    view = "struct(content_id, dwell_seconds, end_reason, CAST(NULL AS INT) AS visits, date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS ts)"
+    views.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.expr(f"collect_list({view}) AS views")).drop("day").write.json(path)
+    return ct.read_session_views(spark, path).selectExpr("user_id", "content_id", "round(dwell_seconds, 6) AS dwell_seconds", "end_reason", "visits", "unix_micros(ts) AS ts_us")
+
+
+@query("sample_lines", """
+SELECT round(sum(list_sum(x)), 3) AS features, round(sum(reward), 4) AS reward, count(*) AS n FROM line_rewards
+""")
+def sample_lines(spark, sf_dir):
+    """Training samples as JSON lines, read back and summed."""
+    path = f"{_folder(spark)}/samples"
+    samples = bd.training_samples(b.served_items(spark, sf_dir), bd.impression_rewards(b.reward_events(spark, sf_dir), CFG))
+    samples.select("features", "reward").write.json(path)
+    return ct.read_samples(spark, path).agg(
+        F.expr("round(sum(aggregate(features, 0D, (s, x) -> s + x)), 3) AS features"), F.expr("round(sum(reward), 4) AS reward"), F.expr("count(*) AS n"))

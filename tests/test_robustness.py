@@ -42,3 +42,13 @@ def test_a_run_leaves_no_tables_behind(spark, tmp_path, monkeypatch):
     assert list((tmp_path / "recspark").iterdir())
     session.clear_run(spark)
     assert not list((tmp_path / "recspark").iterdir())
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0, 3.0]), ("c", None)], "content_id string, vec array<double>")
+    with pytest.raises(ValueError, match="1 of 3"):
+        sg.vector_dim(vectors)
+    assert sg.vector_dim(vectors.filter("content_id <> 'b'")) == 2
+    likes = spark.createDataFrame([("u", "a", 2.0), ("v", "c", 1.0)], "user_id string, content_id string, weight double")
+    got = sg.weighted_centroid(likes, vectors, ["user_id"], "weight", "taste").collect()
+    assert [(r.user_id, [round(x, 6) for x in r.taste]) for r in got] == [("u", [round(1 / 5**0.5, 6), round(2 / 5**0.5, 6)])]
