@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from recspark.config import FEATURES, RecConfig
 from recspark.functions import engagement as eng
 from recspark.functions.ordered import global_position
+from recspark.session import materialize
 
 D = len(FEATURES)
 NOMINAL_WORDS = 150  # fixed value: the logs carry no word counts
@@ -133,15 +134,13 @@ def auc(scored: DataFrame, name: str) -> DataFrame:
     """One row: chance that a positive outscores a negative, ties one half; NaN without both.
 
     Equal scores collapse first; negatives below each score are counted per score range
-    and offset by the ranges below it, so no task sorts all scores.
+    and offset by the ranges below it, so no task sorts all scores. The ranges hold about as
+    many scores each, however the scores lie, and are written before they are read twice.
     """
     by_score = scored.groupBy("score").agg(
         F.expr("count_if(label) AS pos"), F.expr("count_if(NOT label) AS neg")
     )
-    low, high = by_score.selectExpr("min(score)").scalar(), by_score.selectExpr("max(score)").scalar()
-    ranged = by_score.withColumn("lo", low).withColumn("hi", high).selectExpr(
-        "score", "pos", "neg", "CAST(IF(hi > lo, floor((score - lo) / (hi - lo) * 4095D), 0) AS INT) AS range"
-    )
+    ranged = materialize(by_score.repartitionByRange("score").withColumn("range", F.spark_partition_id()))
     below = ranged.groupBy("range").agg(F.expr("sum(neg) AS n")).selectExpr(
         "range", "coalesce(sum(n) OVER (ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below"
     )
@@ -163,12 +162,12 @@ def linear_score(theta: str) -> str:
 
 def evaluate(samples: DataFrame, cfg: RecConfig, session: str, every: int = 5) -> DataFrame:
     """Holdout AUC and correlation of the prior and of the policy trained on the rest."""
-    split = split_sessions(samples, session, every)
+    split = materialize(split_sessions(samples, session, every))
     trained = policy(train(split.filter("NOT holdout"), cfg)).select("theta").scalar()
     prior = "array(" + ", ".join(f"{cfg.fusion.of(f)}D" for f in FEATURES) + ")"
-    held = split.filter("holdout").withColumn("theta", trained).selectExpr(
+    held = materialize(split.filter("holdout").withColumn("theta", trained).selectExpr(
         "reward", "reward > 0 AS label", f"{linear_score(prior)} AS prior_score", f"{linear_score('theta')} AS trained_score"
-    )
+    ))
     summary = held.agg(
         F.expr("count(*) AS samples"), F.expr("count_if(label) AS engaged"),
         F.expr("corr(prior_score, reward) AS prior_corr"), F.expr("corr(trained_score, reward) AS trained_corr"),
