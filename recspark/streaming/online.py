@@ -13,19 +13,21 @@ from recspark.operators import bandit as bd
 TTL = "24 hours"
 
 
-def online_rewards(impressions: DataFrame, events: DataFrame, contents: DataFrame, cfg: RecConfig) -> DataFrame:
+def online_rewards(impressions: DataFrame, events: DataFrame, contents: DataFrame, cfg: RecConfig, event_time: str = "ts") -> DataFrame:
     """(request_id, content_id, features, reward): each impression pays at most one reward.
 
     impressions: request_id, content_id, served_ts, features; events: canonical events.
-    Rewards later than a day after serving are dropped by the watermark join.
+    Rewards later than a day after serving are dropped by the watermark join. ``event_time`` names the column that says
+    when an event came: with a device's clock one wrong event moves the watermark past the others, so give the
+    time of arrival where events have one.
     """
     ended = events.filter("event = 'CONTENT_VIEW_ENDED' AND request_id IS NOT NULL AND content_id IS NOT NULL")
-    first = ended.withWatermark("ts", TTL).dropDuplicatesWithinWatermark(["request_id", "content_id"]).selectExpr(
-        "request_id AS r_request", "content_id AS r_content", "ts", "dwell_seconds", "end_reason"
+    first = ended.withWatermark(event_time, TTL).dropDuplicatesWithinWatermark(["request_id", "content_id"]).selectExpr(
+        "request_id AS r_request", "content_id AS r_content", f"{event_time} AS came", "dwell_seconds", "end_reason"
     )
     shown = impressions.filter("size(features) > 0").withWatermark("served_ts", TTL)
     met = shown.join(
-        first, F.expr("request_id = r_request AND content_id = r_content AND ts >= served_ts AND ts <= served_ts + INTERVAL 24 HOURS")
+        first, F.expr("request_id = r_request AND content_id = r_content AND came >= served_ts AND came <= served_ts + INTERVAL 24 HOURS")
     )
     known = met.join(contents.select("content_id", "word_count", "has_image"), "content_id", "left")
     estimate = f"IF(word_count IS NULL, 0D, {eng.reading_time('word_count', 'coalesce(has_image, false)', cfg)})"
@@ -47,13 +49,44 @@ def start_online(rewards: DataFrame, increments: str, checkpoint: str, trigger:
     ).start()
 
 
-def current_policy(spark, increments: str, cfg: RecConfig) -> DataFrame:
-    """Policy of the prior plus all increments so far."""
-    parts = spark.read.schema("a array<double>, b array<double>, n_updates bigint, batch bigint").parquet(increments)
-    start = bd.prior_state(spark, cfg)
-    rows = parts.selectExpr("a", "b", "n_updates", "CAST(NULL AS DOUBLE) AS ridge").unionByName(start.select("a", "b", "n_updates", "ridge"))
+SUMS = "a array<double>, b array<double>, n_updates bigint"
+
+
+def _total(rows: DataFrame, *more) -> DataFrame:
     d = bd.D
     a = ", ".join(f"sum(a[{i}])" for i in range(d * d))
     b = ", ".join(f"sum(b[{i}])" for i in range(d))
-    state = rows.agg(F.expr(f"array({a}) AS a"), F.expr(f"array({b}) AS b"), F.expr("sum(n_updates) AS n_updates"), F.expr("max(ridge) AS ridge"))
-    return bd.policy(state)
+    return rows.agg(F.expr(f"array({a}) AS a"), F.expr(f"array({b}) AS b"), F.expr("sum(n_updates) AS n_updates"), *more)
+
+
+def _parts(spark, increments: str, folded: str | None) -> tuple[DataFrame, int]:
+    """Sums that are not yet added up, those added up last, and the last batch in these."""
+    parts = spark.read.schema(f"{SUMS}, batch bigint").parquet(increments)
+    upto = -1
+    if folded is not None:
+        done = spark.read.schema(f"{SUMS}, upto bigint").parquet(folded)
+        upto = done.agg(F.max("upto")).first()[0]
+        upto = -1 if upto is None else upto
+        parts = parts.filter(F.col("batch") > upto).unionByName(done.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch"))
+    return parts, upto
+
+
+def fold_increments(spark, increments: str, folder: str, folded: str | None = None) -> int:
+    """Add all increments up to the newest batch into one row of ``folder``; returns that batch.
+
+    ``folded`` is the folder of an earlier fold, whose sum is gone on from. Increments up to the returned batch may be
+    archived then. A fold that is repeated replaces its own part.
+    """
+    parts, upto = _parts(spark, increments, folded)
+    last = parts.agg(F.max("batch")).first()[0]
+    last = upto if last is None else last
+    _total(parts).write.mode("overwrite").parquet(f"{folder}/upto={last}")
+    return last
+
+
+def current_policy(spark, increments: str, cfg: RecConfig, folded: str | None = None) -> DataFrame:
+    """Policy of the prior plus all increments so far; with ``folded`` only those after the last fold are read."""
+    parts, _ = _parts(spark, increments, folded)
+    start = bd.prior_state(spark, cfg)
+    rows = parts.selectExpr("a", "b", "n_updates", "CAST(NULL AS DOUBLE) AS ridge").unionByName(start.select("a", "b", "n_updates", "ridge"))
+    return bd.policy(_total(rows, F.expr("max(ridge) AS ridge")))

@@ -85,6 +85,13 @@ def test_rewards_meet_impressions_once(spark, tmp_path):
     finish(online.start_online(rewards, str(tmp_path / "inc"), str(tmp_path / "cp"), trigger={"availableNow": True}))
     p = online.current_policy(spark, str(tmp_path / "inc"), cfg).first()
     assert p.n_updates == 1 and p.a[0] == pytest.approx(2.0) and p.theta[0] > 0.2
+    last = online.fold_increments(spark, str(tmp_path / "inc"), str(tmp_path / "fold"))
+    again = online.current_policy(spark, str(tmp_path / "inc"), cfg, str(tmp_path / "fold")).first()
+    assert (again.n_updates, again.theta) == (1, p.theta)
+    spark.createDataFrame([([0.0] * 36, [0.0] * 6, 5)], online.SUMS).write.parquet(str(tmp_path / f"inc/batch={last + 7}"))
+    assert online.current_policy(spark, str(tmp_path / "inc"), cfg, str(tmp_path / "fold")).first().n_updates == 6
+    assert online.fold_increments(spark, str(tmp_path / "inc"), str(tmp_path / "fold"), str(tmp_path / "fold")) == last + 7
+    assert online.current_policy(spark, str(tmp_path / "inc"), cfg, str(tmp_path / "fold")).first().n_updates == 6
 
 
 def test_live_windows_run_on_batches_too(spark):
