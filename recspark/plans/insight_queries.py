@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from recspark.functions.text_vectors import text_vectors
@@ -14,7 +16,7 @@ from recspark.operators import search as sr
 from recspark.operators import sessions as se
 from recspark.operators import taxonomy as tx
 from recspark.plans import bindings as b
-from recspark.plans.oracle import cte
+from recspark.plans.oracle import CTES, cte
 from recspark.plans.recommend_queries import RecWorld
 from recspark.plans.registry import query, r6
 from recspark.plans.signal_queries import CFG, World
@@ -217,6 +219,54 @@ def cluster_model(spark, sf_dir):
     return cl.profiles(labels, centroids, k).selectExpr("cluster", "size", "falk_hint", *r6("breadth"))
 
 
+ROUNDS = 3
+for _r in range(1, ROUNDS + 1):
+    _was, _now = ("4", f"4_{_r}") if _r == 1 else (f"4_{_r - 1}", f"4_{_r}")
+    cte(f"cent{_now}", f"""
+SELECT cluster, key, sum(weight) / any_value(n) AS weight FROM affinity JOIN label{_was} USING (user_id)
+JOIN (SELECT cluster, count(*) AS n FROM label{_was} GROUP BY cluster) USING (cluster) GROUP BY cluster, key
+UNION ALL SELECT cluster, key, weight FROM cent{_was} WHERE cluster NOT IN (SELECT cluster FROM label{_was})
+""")
+    cte(f"dist{_now}", re.sub(r"\bcent4\b", f"cent{_now}", CTES["dist4"]))
+    cte(f"label{_now}", CTES["label4"].replace("dist4", f"dist{_now}"))
+
+
+@query("cluster_rounds", f"SELECT user_id, CAST(cluster AS INTEGER) AS cluster FROM label4_{ROUNDS}")
+def cluster_rounds(spark, sf_dir):
+    """k-means from four given visitors, a few rounds that a twin can follow."""
+    points = InsightWorld(spark, sf_dir).points
+    centroids, k = cl.kmeans(points, 4, iters=ROUNDS, start=_starts(points))
+    return cl.assign(points, centroids, k).select("user_id", "cluster")
+
+
+cte("soft3_0", """
+SELECT user_id, cluster, r / sum(r) OVER (PARTITION BY user_id) AS u FROM (
+  SELECT user_id, j AS cluster, CAST('0x' || substr(md5(user_id || ':' || j || ':0'), 1, 8) AS BIGINT) / 4294967296 + 1e-6 AS r
+  FROM (SELECT DISTINCT user_id FROM affinity), range(0, 3) g(j))
+""")
+for _r in range(1, ROUNDS + 1):
+    cte(f"cent3_{_r}", f"""
+SELECT cluster, key, sum(u * u * weight) / any_value(den) AS weight FROM affinity JOIN soft3_{_r - 1} USING (user_id)
+JOIN (SELECT cluster, sum(u * u) AS den FROM soft3_{_r - 1} GROUP BY cluster) USING (cluster) GROUP BY cluster, key
+""")
+    cte(f"soft3_{_r}", f"""
+SELECT user_id, cluster, (1 / d2) / sum(1 / d2) OVER (PARTITION BY user_id) AS u FROM (
+  SELECT x.user_id, c.cluster, x.xx - 2 * sum(a.weight * coalesce(m.weight, 0)) + any_value(c.cc) AS d2
+  FROM (SELECT user_id, sum(weight * weight) AS xx FROM affinity GROUP BY user_id) x
+  CROSS JOIN (SELECT cluster, sum(weight * weight) AS cc FROM cent3_{_r} GROUP BY cluster) c
+  JOIN affinity a ON a.user_id = x.user_id LEFT JOIN cent3_{_r} m ON m.cluster = c.cluster AND m.key = a.key GROUP BY x.user_id, c.cluster, x.xx)
+""")
+
+
+@query("fuzzy_rounds", f"SELECT user_id, CAST(cluster AS INTEGER) AS cluster, round(u, 6) AS membership FROM soft3_{ROUNDS}")
+def fuzzy_rounds(spark, sf_dir):
+    """Fuzzy c-means from seeded memberships, a few rounds that a twin can follow."""
+    points = InsightWorld(spark, sf_dir).points
+    centroids, c = cl.fuzzy_cmeans(points, 3, iters=ROUNDS)
+    soft = cl.memberships(points, centroids, c)
+    return soft.selectExpr("user_id", "posexplode(u) AS (cluster, membership)").selectExpr("user_id", "cluster", *r6("membership"))
+
+
 @query("fuzzy_cluster_model")
 def fuzzy_cluster_model(spark, sf_dir):
     points = InsightWorld(spark, sf_dir).points
