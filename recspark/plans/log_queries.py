@@ -79,7 +79,7 @@ def model_versions(spark, sf_dir):
 
 
 @query("strongest_keys", """
-SELECT user_id, CAST(rank AS INTEGER) AS rank, kind, key, round(weight, 6) AS weight FROM (
+SELECT user_id, CAST(rank AS INTEGER) AS rank, kind, key, round(round(weight, 9), 6) AS weight FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY round(abs(weight), 9) DESC, key) AS rank FROM (
     SELECT user_id, key, weight, 'affinity' AS kind FROM affinity UNION ALL SELECT user_id, key, weight, 'aversion' FROM aversion)) WHERE rank <= 12
 """)
@@ -91,7 +91,7 @@ def strongest_keys(spark, sf_dir):
 
 
 @query("liked_contents", """
-SELECT user_id, CAST(rank AS INTEGER) AS rank, content_id, round(weight, 6) AS weight, CASE WHEN content_id IN (SELECT content_id FROM cont) THEN 'Item ' || content_id END AS title,
+SELECT user_id, CAST(rank AS INTEGER) AS rank, content_id, round(round(weight, 9), 6) AS weight, CASE WHEN content_id IN (SELECT content_id FROM cont) THEN 'Item ' || content_id END AS title,
   coalesce((SELECT string_agg(facet || ':' || label, '|' ORDER BY pos) FROM ctags t WHERE t.content_id = x.content_id), '') AS tags
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weight, 9) DESC, content_id) AS rank FROM pos_items) x WHERE rank <= 15
 """)
