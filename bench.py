@@ -17,7 +17,7 @@ from recspark.session import local_session
 HEADLINE = {
     "signals": ("item_signals", 3), "affinity": ("tag_affinity", 3), "bandit_sums": ("bandit_sums", 3), "knn": ("similar_items", 3),
     "facets": ("faceted_counts", 3), "sessions": ("cohort_sessions", 3), "recommend": ("recommendations", 3), "kmeans_step": ("cluster_step", 3),
-    "kmeans": ("cluster_model", 3),
+    "kmeans": ("cluster_rounds", 3),
 }
 
 
