@@ -104,16 +104,60 @@ def matches(data: np.ndarray, offsets: np.ndarray, templates: Templates, least:
     return tuple(np.array(c, float if i == 4 else np.int64) for i, c in enumerate(cols))
 
 
+def passages(data: np.ndarray, offsets: np.ndarray, templates: Templates, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `matches`, over all runs of words inside a text, whatever their lines; for each start the best run, if it is at `least` or more.
+
+    A best run begins and ends with a bigram of its template, so no other ends are tried. A run of w bigrams that reaches
+    the coefficient with a template of s shares least / 2 * (s + w) of them, and w is within the size bounds.
+    """
+    folded = FOLD_ASCII[data]
+    starts, ends, before = word_spans(folded, offsets, WORD_BYTES)
+    grams = _bigrams(mixed(span_hash(prefix_hash(folded), starts, ends)))
+    out = []
+    if len(grams) and len(templates.keys):
+        at = np.minimum(np.searchsorted(templates.keys, grams), len(templates.keys) - 1)
+        inside = templates.keys[at] == grams
+        edges = before[1:-1] - 1
+        inside[edges[(edges >= 0) & (edges < len(grams))]] = False
+        hit = np.flatnonzero(inside)
+        n = templates.first[at[hit] + 1] - templates.first[at[hit]]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(templates.first[at[hit]], n)
+        where, owner = np.repeat(hit, n), templates.template[place]
+        order = np.argsort(owner, kind="stable")
+        where, place, owner = where[order], place[order], owner[order]
+        row_of = np.searchsorted(before, where, "right") - 1
+        for t, size in enumerate(templates.sizes.tolist()):
+            a, b = np.searchsorted(owner, [t, t + 1])
+            own, keys, rows = where[a:b], place[a:b], row_of[a:b]
+            # Hits of one row up to the largest size; a hundredth is left for rounding.
+            to = np.searchsorted(own, np.minimum(own + int((2 - least) / least * size + 0.01), before[rows + 1]), "left")
+            short = np.ceil(least / (2 - least) * size - 0.01)
+            for i in np.flatnonzero(to - np.arange(len(own)) >= least / 2 * (size + short) - 0.01).tolist():
+                run = keys[i : to[i]]
+                by = np.argsort(run, kind="stable")
+                new = np.r_[True, run[by][1:] != run[by][:-1]]
+                seen = np.empty(len(run), np.int64)
+                seen[by] = np.arange(len(run)) - np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
+                dice = 2 * np.cumsum(seen < templates.count[run]) / (size + own[i : to[i]] - own[i] + 1)
+                j = int(np.argmax(dice))
+                if dice[j] >= least:
+                    r = int(rows[i])
+                    out.append((r, starts[own[i]] - offsets[r], ends[own[i + j] + 1] - offsets[r], t, dice[j]))
+    cols = list(zip(*out, strict=True)) or [()] * 5
+    return tuple(np.array(c, float if i == 4 else np.int64) for i, c in enumerate(cols))
+
+
 FOUND = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("from", pa.int64()), ("to", pa.int64())]))
 FOUND_SQL = "array<struct<license: string, dice: double, `from`: bigint, `to`: bigint>>"
 
 
-def _scanner(shared, text: str, least: float) -> Callable:
+def _scanner(shared, text: str, least: float, inside: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = shared.value
         for batch in slices(batches, text):
             found: list[dict[str, dict]] = [{} for _ in range(batch.num_rows)]
-            for r, a, b, t, d in sorted(zip(*(x.tolist() for x in matches(*utf8(batch.column(text)), templates, least)), strict=True), key=lambda x: (x[0], -x[4], x[1], x[2])):
+            every = [x(*utf8(batch.column(text)), templates, least) for x in ([matches, passages] if inside else [matches])]
+            for r, a, b, t, d in sorted(zip(*(np.concatenate(x).tolist() for x in zip(*every, strict=True)), strict=True), key=lambda x: (x[0], -x[4], x[1], x[2])):
                 found[r].setdefault(templates.names[t], {"license": templates.names[t], "dice": d, "from": a, "to": b})
             kept = batch.drop_columns([text])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([sorted(f.values(), key=lambda x: (-x["dice"], x["license"])) for f in found], FOUND)], names=[*kept.schema.names, "licenses"])
@@ -121,21 +165,22 @@ def _scanner(shared, text: str, least: float) -> Callable:
     return run
 
 
-def scan(df: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", least: float = LEAST) -> DataFrame:
+def scan(df: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", least: float = LEAST, inside: bool = False) -> DataFrame:
     """The columns of `df` but the text, with licenses, which replaces a column of that name.
 
     licenses: for each license with a stretch (line, block of lines, or whole text) at `least` or more, the best one's
-    coefficient and bytes (from, to); best first, ties by name. Normalised means: lower-cased words of letters and digits.
+    coefficient and bytes (from, to); best first, ties by name. With `inside`, runs of words anywhere in a text count too, so
+    that a notice of several paragraphs or a sentence is found in a longer text or line. Normalised means: lower-cased words of letters and digits.
     Null and empty texts, and texts of one word, match nothing; repeated rows stay; an empty table gives no rows. Templates are
     bounded by TEMPLATE_BYTES and broadcast. No shuffle.
     """
     shared = df.sparkSession.sparkContext.broadcast(index_templates(texts))
     rest = df.drop("licenses")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text)
-    return rest.mapInArrow(_scanner(shared, text, least), f"{kinds + ', ' if kinds else ''}licenses {FOUND_SQL}")
+    return rest.mapInArrow(_scanner(shared, text, least, inside), f"{kinds + ', ' if kinds else ''}licenses {FOUND_SQL}")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), inside=True)
     return found.selectExpr("doc_id", "get(licenses, 0).license as license", "get(licenses, 0).dice as dice",
                             "bigint(size(licenses)) as n_licenses", "array_join(transform(licenses, x -> x.license), ',') as licenses")
