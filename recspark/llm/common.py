@@ -9,7 +9,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recspark.session import run_folder
 
@@ -29,6 +30,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """`df` with `pos`, which grows with `order` over the whole table: the number of a range times 2^33 plus the place in it.
+
+    Ranges are cut by a sample of the rows, so rows that differ in `order` are spread over all tasks whatever their keys. Written once.
+    """
+    return stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each slice holds at most `limit` bytes of text, or one row."""
     for batch in batches:

@@ -1,9 +1,10 @@
-"""Registered queries of the ten operators and their DuckDB twins."""
+"""Registered queries of the operators and their DuckDB twins."""
 
 from __future__ import annotations
 
 from recspark.llm.chat_format import op1_chat_format
 from recspark.llm.decontaminate import op5_benchmark_decontamination
+from recspark.llm.importance import op13_importance_resampling
 from recspark.llm.language_id import op9_language_id
 from recspark.llm.licenses import op6_license_scan
 from recspark.llm.repeats import op2_suffix_array_dedup
@@ -12,6 +13,7 @@ from recspark.llm.simhash import op8_simhash_dedup
 from recspark.llm.token_counts import op10_token_counts
 from recspark.llm.topk import op4_exact_topk
 from recspark.llm.toxicity import op3_toxicity
+from recspark.llm.twins import RESAMPLING_SQL, WORDS
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -24,11 +26,9 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-WORDS = "regexp_extract_all(" + LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
 DECONTAMINATION_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {WORDS.format("text")} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -74,3 +74,4 @@ SELECT conv_id, speaker, part, count(*) AS n_turns,
 FROM s GROUP BY conv_id, speaker, part
 """
 ORACLES["op1_chat_format"] = CHAT_SQL
+ORACLES["op13_importance_resampling"] = RESAMPLING_SQL
