@@ -13,7 +13,8 @@ from recspark.llm.simhash import op8_simhash_dedup
 from recspark.llm.token_counts import op10_token_counts
 from recspark.llm.topk import op4_exact_topk
 from recspark.llm.toxicity import op3_toxicity
-from recspark.llm.twins import RESAMPLING_SQL, WORDS
+from recspark.llm.twins import RESAMPLING_SQL, URL_SQL, WORDS
+from recspark.llm.url_filter import op11_url_filter
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_url_filter": op11_url_filter,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -75,3 +77,4 @@ FROM s GROUP BY conv_id, speaker, part
 """
 ORACLES["op1_chat_format"] = CHAT_SQL
 ORACLES["op13_importance_resampling"] = RESAMPLING_SQL
+ORACLES["op11_url_filter"] = URL_SQL

@@ -36,3 +36,40 @@ r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_fea
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM r
 UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM x WHERE n_features < 20
 """
+
+
+def _levels(order: int) -> str:
+    """Probabilities of the last characters of all grams of 1 to order + 1 characters."""
+    out = []
+    for size in range(1, order + 2):
+        low = ("0.00390625::DOUBLE", "0.00390625::DOUBLE", "") if size == 1 else ("low.p_a", "low.p_r", f"JOIN p{size - 1} AS low ON low.g = right(m.g, {size - 1})")
+        out.append(f"""m{size} AS (SELECT right(gram, {size}) AS g, left(right(gram, {size}), {size - 1}) AS context, sum(a) AS a, sum(r) AS r FROM grams GROUP BY 1, 2),
+p{size} AS (SELECT m.g, (m.a + 2.0::DOUBLE * {low[0]}) / (c.a + 2.0::DOUBLE) AS p_a, (m.r + 2.0::DOUBLE * {low[1]}) / (c.r + 2.0::DOUBLE) AS p_r
+  FROM m{size} AS m JOIN (SELECT context, sum(a) AS a, sum(r) AS r FROM m{size} GROUP BY context) AS c USING (context) {low[2]})""")
+    return ",\n".join(out)
+
+
+URL_SQL = f"""
+WITH u AS (SELECT row_number() OVER () AS row_id, page_id, url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, {LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  coalesce(md5(url)[1] IN ('0', '1', '2'), false) AS held FROM u),
+rules AS (SELECT unnest([{{'given': 'allow', 'h': 'com', 'p': '/'}}, {{'given': 'block', 'h': 'example.com', 'p': '/en/'}}, {{'given': 'allow', 'h': 'www.example.com', 'p': '/en/'}},
+  {{'given': 'block', 'h': 'net', 'p': '/es/'}}, {{'given': 'block', 'h': 'net', 'p': '/fr/'}}], recursive := true)),
+f AS (SELECT row_id, max_by(h || p, length(h || p)) AS rule, max_by(given, length(h || p)) AS given
+  FROM h JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row_id),
+l AS (SELECT h.*, rule, given FROM h LEFT JOIN f USING (row_id)),
+spots AS (SELECT row_id, substring(repeat(chr(2), 4) || coalesce(url, '') || chr(3), i, 5) AS gram,
+  CAST(coalesce(given = 'allow' AND NOT held, false) AS INT) AS a, CAST(coalesce(given = 'block' AND NOT held, false) AS INT) AS r
+  FROM (SELECT *, unnest(range(1, length(coalesce(url, '')) + 2)) AS i FROM l)),
+grams AS (SELECT gram, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM spots GROUP BY gram),
+{_levels(4)},
+s AS (SELECT row_id, CAST(floor(CAST(sum(weight) AS DOUBLE) / count(*)) AS BIGINT) AS score
+  FROM spots JOIN (SELECT g AS gram, CAST(floor(1000 * ln(p_a / p_r)) AS BIGINT) AS weight FROM p5) USING (gram) GROUP BY row_id),
+o AS (SELECT greatest(least(score, 10000), -10000) AS v, count(*) FILTER (given = 'allow') AS a, count(*) FILTER (given = 'block') AS b
+  FROM l JOIN s USING (row_id) WHERE held AND given IS NOT NULL GROUP BY 1),
+w AS (SELECT v, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b, sum(a) OVER (ORDER BY v DESC) AS right_a, sum(b) OVER (ORDER BY v) - b AS right_b,
+  least(v, greatest(0, coalesce(lag(v) OVER (ORDER BY v) + 1, 0))) AS near FROM o),
+c AS (SELECT near AS v FROM w WHERE all_a > 0 AND all_b > 0 ORDER BY CAST(right_a AS DOUBLE) / all_a + CAST(right_b AS DOUBLE) / all_b DESC, abs(near), near DESC LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN score >= coalesce((SELECT v FROM c), 0) THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM l JOIN s USING (row_id)
+"""
