@@ -7,13 +7,14 @@ from recspark.llm.decontaminate import op5_benchmark_decontamination
 from recspark.llm.importance import op13_importance_resampling
 from recspark.llm.language_id import op9_language_id
 from recspark.llm.licenses import op6_license_scan
+from recspark.llm.repair import op12_conversation_repair
 from recspark.llm.repeats import op2_suffix_array_dedup
 from recspark.llm.sentencepiece_codec import op7_sentencepiece
 from recspark.llm.simhash import op8_simhash_dedup
 from recspark.llm.token_counts import op10_token_counts
 from recspark.llm.topk import op4_exact_topk
 from recspark.llm.toxicity import op3_toxicity
-from recspark.llm.twins import RESAMPLING_SQL, URL_SQL, WORDS
+from recspark.llm.twins import REPAIR_SQL, RESAMPLING_SQL, URL_SQL, WORDS
 from recspark.llm.url_filter import op11_url_filter
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_url_filter": op11_url_filter,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -78,3 +80,4 @@ FROM s GROUP BY conv_id, speaker, part
 ORACLES["op1_chat_format"] = CHAT_SQL
 ORACLES["op13_importance_resampling"] = RESAMPLING_SQL
 ORACLES["op11_url_filter"] = URL_SQL
+ORACLES["op12_conversation_repair"] = REPAIR_SQL

@@ -6,7 +6,7 @@ LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 WORDS = "regexp_extract_all(" + LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 # CRC-32 of the UTF-8 bytes of a string, byte by byte over a table made from the polynomial.
-CRC_TABLE = """crc(t) AS (SELECT list(v ORDER BY i) FROM (SELECT i, list_reduce(range(0, 8), lambda c, k:
+CRC_TABLE = """crc(t) AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k:
   CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS v FROM (SELECT unnest(range(0, 256)) AS i)))"""
 
 
@@ -73,3 +73,58 @@ c AS (SELECT near AS v FROM w WHERE all_a > 0 AND all_b > 0 ORDER BY CAST(right_
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN score >= coalesce((SELECT v FROM c), 0) THEN 'allow' ELSE 'block' END) AS verdict, score
 FROM l JOIN s USING (row_id)
 """
+
+
+def _more(q: str, cost: str, audit: str, said: str | None) -> str:
+    """State `q` (cost, audit, repaired turns) after one more edit; null where q is."""
+    out = f"{q}.out" if said is None else f"list_append({q}.out, {said})"
+    return f"CASE WHEN {q} IS NOT NULL THEN {{'cost': {q}.cost + {cost}, 'audit': {q}.audit || '{audit}', 'out': {out}}} END"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _unless(condition: str, state: str) -> str:
+    return f"CASE WHEN {condition} THEN {state} END"
+
+
+def _row_edits(source: str, initials: str, speaker: str, keeps: str) -> list[str]:
+    """Keep and re-role from one state."""
+    return [_unless(f"NOT void AND {keeps}", _more(source, "extra", "K", "role || ':' || text")),
+            _unless("NOT void", _more(source, "3 + extra", "R", f"'{speaker}:' || text"))]
+
+
+# Forward over the rows: of each state the cheapest way there, ties by the audit, with insertions before a row.
+_USER = [e for q in ("s0", "s1", "w3") for e in _row_edits(q, "u", "user", "initial = 'u'")]
+REPAIR_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+l AS (SELECT o.*, {crc("k", "v")} % 20 AS lot FROM o CROSS JOIN (SELECT t AS v FROM crc)),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS copy FROM l WHERE lot <> 0),
+p AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault,
+  coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial, 'ua') AS pair FROM p),
+r AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS void, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM f),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY conv_id),
+x(conv_id, i, s0, s1, w2, w3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'cost': 0, 'audit': '', 'out': CAST([] AS VARCHAR[])}}, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR, "out" VARCHAR[])),
+    {{'cost': 3, 'audit': 'I', 'out': ['user:']}}, {{'cost': 6, 'audit': 'II', 'out': ['user:', 'assistant:']}} FROM t
+  UNION ALL
+  SELECT conv_id, i, s0, s1, w2, {_least("v3", _more("w2", "3", "I", "'assistant:'"))} FROM (
+    SELECT conv_id, i, s0, s1, {_least("v2", *[_more(q, "3", "I", "'user:'") for q in ("s0", "s1", "v3")])} AS w2, v3 FROM (
+      SELECT x.conv_id, r.i, {_more("s0", "4", "D", None)} AS s0,
+        {_least(_more("s1", "4", "D", None), _unless("NOT void AND initial = 's'", _more("s0", "extra", "K", "role || ':' || text")))} AS s1,
+        {_least(_more("w2", "4", "D", None), *_USER)} AS v2,
+        {_least(_more("w3", "4", "D", None), *_row_edits("w2", "a", "assistant", "initial = 'a'"))} AS v3
+      FROM x JOIN r ON x.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = x.i + 1))),
+e AS (SELECT x.conv_id, gaps, blank, duplicate, truncated, illegal, {_least("s0", "w3")} AS best FROM x JOIN t ON x.conv_id IS NOT DISTINCT FROM t.conv_id AND i = n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(best.cost AS BIGINT), 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
