@@ -15,10 +15,11 @@ from math import ceil, log10
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recspark.config import RecConfig
+from recspark.config import FEATURES, RecConfig
 from recspark.functions import engagement as eng
 from recspark.functions.ordered import neighbour, running
 from recspark.functions.vectors import cosine
+from recspark.operators.held_likes import held_affinity
 from recspark.operators.scoring import Catalogue
 from recspark.operators.signals import AREA_FACET
 from recspark.session import materialize
@@ -42,6 +43,9 @@ def exact_type(views: DataFrame, cfg: RecConfig) -> str:
 def signal_changes(views: DataFrame, contents: DataFrame, cfg: RecConfig) -> DataFrame:
     """Views with their reward and the item's signals after (pos, neg) and before (pos0, neg0) them, and the change of likes.
 
+    `place` counts a visitor's views from 0, `next_place` is that of the item's next view, and `log_weight` is log2 of
+    pos, null if the item is not liked after the view; unlike pos it doesn't overflow, however long the history.
+
     views: user_id, event_id, content_id, ts, dwell_seconds, end_reason, visits.
     """
     info = contents.selectExpr("content_id", "word_count", "has_image", "true AS known")
@@ -49,8 +53,8 @@ def signal_changes(views: DataFrame, contents: DataFrame, cfg: RecConfig) -> Dat
     estimate = eng.reading_time("coalesce(word_count, 0)", "coalesce(has_image, false)", cfg)
     base = views.join(info, "content_id", "left").join(start, "user_id").selectExpr(
         "user_id", "event_id", "content_id", "ts", "dwell_seconds", "end_reason", "visits", "coalesce(known, false) AS known",
-        f"{estimate} AS estimate", f"pow(2D, (unix_micros(ts) - unix_micros(t0)) / 86400e6D / {cfg.half_life_days}D) AS growth",
-    )
+        f"{estimate} AS estimate", f"(unix_micros(ts) - unix_micros(t0)) / 86400e6D / {cfg.half_life_days}D AS doublings",
+    ).withColumn("growth", F.expr("pow(2D, doublings)"))
     pair = ["user_id", "content_id"]
     state = running(base, pair, "ts", "event_id", {
         "seen": "sum(1)", "longest": "max(dwell_seconds)", "first_us": "max(-unix_micros(ts))",
@@ -64,11 +68,14 @@ def signal_changes(views: DataFrame, contents: DataFrame, cfg: RecConfig) -> Dat
         "user_id", "event_id", "content_id", "ts", "known", "reward",
         "IF(outcome = 'positive', greatest(strength, 0D) * growth, 0D) AS pos",
         "IF(outcome = 'negative', abs(strength) * growth, 0D) AS neg", "IF(outcome = 'positive', 1, 0) AS liked",
+        "IF(outcome = 'positive' AND strength > 0, log2(strength) + doublings, NULL) AS log_weight",
     )
-    lagged = neighbour(known, pair, "ts", "event_id", F.struct("pos", "neg", "liked"), "before")
-    return lagged.selectExpr(
+    placed = running(known, USER, "ts", "event_id", {"views_before": "sum(1)"}).withColumn("place", F.expr("coalesce(views_before, 0L)")).drop("views_before")
+    lagged = neighbour(placed, pair, "ts", "event_id", F.struct("pos", "neg", "liked"), "before")
+    both = neighbour(lagged, pair, "ts", "event_id", F.col("place"), "next_place", forward=True)
+    return both.selectExpr(
         "user_id", "event_id", "content_id", "ts", "known", "reward", "pos", "coalesce(before.pos, 0D) AS pos0",
-        "neg", "coalesce(before.neg, 0D) AS neg0", "liked - coalesce(before.liked, 0) AS dlikes",
+        "neg", "coalesce(before.neg, 0D) AS neg0", "liked - coalesce(before.liked, 0) AS dlikes", "place", "next_place", "log_weight",
     )
 
 
@@ -118,9 +125,15 @@ def vector_features(changes: DataFrame, catalogue: Catalogue, exact: str) -> Dat
 
 
 def replay_samples(views: DataFrame, catalogue: Catalogue, cfg: RecConfig) -> DataFrame:
-    """(user_id, event_id, content_id, semantic, tag, recency, aversion, reward) per view of a known item."""
+    """(user_id, event_id, content_id, semantic, affinity, tag, recency, aversion, geo, features, reward) per view of a known item.
+
+    `features` are the scores in the order of FEATURES, as for served lists; a replayed view has no place, so geo is 0.
+    """
     exact = exact_type(views, cfg)
     changes = materialize(signal_changes(views, catalogue.contents, cfg))
     key = ["user_id", "event_id"]
     rows = changes.filter("known").select("user_id", "event_id", "content_id", "reward")
-    return rows.join(tag_features(changes, catalogue, exact), key).join(vector_features(changes, catalogue, exact), key)
+    held = held_affinity(changes.select(*key, "content_id", "place", "next_place", "log_weight"), catalogue.vectors, catalogue.dim)
+    scored = rows.join(tag_features(changes, catalogue, exact), key).join(vector_features(changes, catalogue, exact), key).join(held, key, "left")
+    return scored.withColumns({"affinity": F.expr("coalesce(affinity, 0D)"), "geo": F.lit(0.0)}).selectExpr(
+        *key, "content_id", *FEATURES, f"array({', '.join(FEATURES)}) AS features", "reward")
