@@ -74,14 +74,18 @@ def positives(signals: DataFrame) -> DataFrame:
     return signals.filter("outcome = 'positive'").select("user_id", "content_id", "weight", "last_ts")
 
 
-def soft_negatives(events: DataFrame, views: DataFrame, now: datetime, cfg: RecConfig) -> DataFrame:
-    """Items shown in an impression set and never engaged: the freshest showing counts."""
-    shown = (
+def shown_items(events: DataFrame) -> DataFrame:
+    """(user_id, content_id, ts): the latest time each item was in an impression set."""
+    return (
         events.filter("size(impressions) > 0")
         .selectExpr("user_id", "ts", "explode(impressions) AS content_id")
         .groupBy("user_id", "content_id")
         .agg(F.expr("max(ts) AS ts"))
     )
+
+
+def soft_negatives(shown: DataFrame, views: DataFrame, now: datetime, cfg: RecConfig) -> DataFrame:
+    """Items shown in an impression set and never engaged: the freshest showing counts."""
     unseen = shown.join(views.select("user_id", "content_id"), ["user_id", "content_id"], "left_anti")
     return unseen.selectExpr("user_id", "content_id", f"{cfg.soft_negative_weight}D * {eng.decay('ts', now, cfg)} AS weight")
 
@@ -117,14 +121,18 @@ def survey_tag_weights(events: DataFrame) -> DataFrame:
     )
 
 
-def demographics(events: DataFrame, provider: DataFrame | None = None) -> DataFrame:
-    """Latest answer per field; values of the external provider override them."""
+def answered_demographics(events: DataFrame) -> DataFrame:
+    """Latest answer per field."""
     answered = survey_events(events).selectExpr(
         "user_id", "struct(ts, event_id) AS at", f"{sv.demographics_of('survey_answers')} AS d"
     )
-    out = answered.groupBy("user_id").agg(
+    return answered.groupBy("user_id").agg(
         *[F.expr(f"max_by(d.{f}, IF(d.{f} IS NOT NULL, at, NULL)) AS {f}") for f in sv.DEMO_FIELDS]
     )
+
+
+def demographics(out: DataFrame, provider: DataFrame | None = None) -> DataFrame:
+    """Latest answer per field; values of the external provider override them."""
     if provider is None:
         return out
     given = [f for f in sv.DEMO_FIELDS if f in provider.columns]
@@ -202,6 +210,22 @@ class VisitorModel:
     def views(self) -> DataFrame:
         return aggregate_views(self.events)
 
+    @cached_property
+    def shown(self) -> DataFrame:
+        return shown_items(self.events)
+
+    @cached_property
+    def answer_weights(self) -> DataFrame:
+        return survey_tag_weights(self.events)
+
+    @cached_property
+    def answered_demographics(self) -> DataFrame:
+        return answered_demographics(self.events)
+
+    @cached_property
+    def visitors(self) -> DataFrame:
+        return self.events.select("user_id")
+
     @cached_property
     def signals(self) -> DataFrame:
         """user_id, content_id, visits, dwell..., strength, outcome, decay, weight"""
@@ -218,7 +242,7 @@ class VisitorModel:
     @cached_property
     def negatives(self) -> DataFrame:
         """user_id, content_id, weight; soft negatives included"""
-        return self.keep(negatives(self.explicit_negatives, soft_negatives(self.events, self.signals, self.now, self.cfg)))
+        return self.keep(negatives(self.explicit_negatives, soft_negatives(self.shown, self.signals, self.now, self.cfg)))
 
     @cached_property
     def seen(self) -> DataFrame:
@@ -230,14 +254,14 @@ class VisitorModel:
 
     @cached_property
     def demographics(self) -> DataFrame:
-        return self.keep(demographics(self.events, self.provider))
+        return self.keep(demographics(self.answered_demographics, self.provider))
 
     @cached_property
     def tag_affinity(self) -> DataFrame:
         """user_id, key, weight in [0, 1]"""
         amounts = (
             item_tag_weights(self.positives, self.content_tags)
-            .unionByName(survey_tag_weights(self.events))
+            .unionByName(self.answer_weights)
             .unionByName(demographic_tag_weights(self.demographics))
         )
         return self.keep(fold_keys(amounts))
@@ -262,7 +286,7 @@ class VisitorModel:
     @cached_property
     def users(self) -> DataFrame:
         """Every visitor with an event or an external profile."""
-        users = self.events.select("user_id")
+        users = self.visitors
         if self.provider is not None:
             users = users.unionByName(self.provider.select("user_id"))
         return users.distinct()
