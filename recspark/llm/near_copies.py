@@ -24,10 +24,13 @@ SHINGLE = 5
 SAMPLE = 2000
 FREQUENT = 4
 MOST_FREQUENT = 1 << 18
-# Shingles with more sets than this are compared with their first sets only, round by round, as long as that links most.
+# Shingles with more sets than this are compared with their first sets only, round by round, twice as many each round.
 BUCKET_LIMIT = 64
 PIVOTS = 4
+# Most rows (node, block) that are broadcast to find the texts to verify; beyond, they are joined by a shuffle.
 BROADCAST_NODES = 1 << 20
+# Shingles of the sets in a block of the verification (about; 4 MB).
+BLOCK_SHINGLES = 1 << 19
 MOST_SEEN = 1 << 20
 
 
@@ -55,18 +58,36 @@ def node_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=SLICE_BYTES):
         data, offsets = utf8(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fingerprints(data, offsets).view(np.int64)), pa.array(node_ids(*shingle_sets(data, offsets)))], names=["key", "fp", "node"])
+        nodes = node_ids(*shingle_sets(data, offsets))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("same"), pa.array(fingerprints(data, offsets).view(np.int64)), pa.array(nodes)], names=["key", "same", "fp", "node"])
+
+
+# Names a text: equal for equal texts, and made without Python.
+SAME_TEXT = "xxhash64(coalesce(text, ''))"
 
 
 def marks(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp, node): op8's fingerprint and the id of the shingle set of every row. No shuffle."""
+    """(key, same, fp, node) of every row: a hash of the text, op8's fingerprint and the id of the shingle set. No shuffle.
+
+    Null and empty texts, and those without words, have node 0; repeated rows and null keys stay; other columns are not
+    read, whatever their names; an empty table gives no rows.
+    """
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(_marker, f"key {kind}, fp long, node long").withColumnRenamed("key", key)
+    rows = df.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).withColumn("same", F.expr(SAME_TEXT))
+    return rows.mapInArrow(_marker, f"key {kind}, same long, fp long, node long").withColumnRenamed("key", key)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts, each at most once for a task (once more where it has met very many)."""
+    seen: set[int] = set()
     for batch in slices(batches, limit=SLICE_BYTES):
-        hashes, first = shingle_sets(*utf8(batch.column("text")))
+        same = batch.column("same").to_pylist()
+        fresh = [i for i, h in enumerate(same) if h not in seen and not seen.add(h)]
+        if len(seen) > MOST_SEEN:
+            seen.clear()
+        if not fresh:
+            continue
+        hashes, first = shingle_sets(*utf8(batch.column("text").take(pa.array(fresh))))
         yield pa.RecordBatch.from_arrays([pa.array(node_ids(hashes, first)), pa.LargeListArray.from_arrays(pa.array(first), pa.array(hashes.view(np.int64))).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
@@ -100,16 +121,53 @@ def _prefixes(shared) -> Callable:
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are at 4/5 or more."""
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, its sets first and then its pairs: the pairs whose sets are at 4/5 or more."""
+    block, sets = None, {}
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j")), strict=True))
+        shingles = batch.column("shingles")
+        offsets, values = shingles.offsets.to_numpy(), shingles.values.to_numpy().view(np.uint64)  # ascending as unsigned
+        found = []
+        for at, (key, a, b) in enumerate(zip(keys, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+            if key != block:
+                block, sets = key, {}
+            if b is None:
+                sets[a] = values[offsets[at] : offsets[at + 1]].copy()
+            else:
+                x, y = sorted((sets[a], sets[b]), key=len)
+                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int(np.count_nonzero(y[place] == x))
+                if 5 * both >= 4 * (len(x) + len(y) - both):
+                    found.append((a, b))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
+def _verified(texts: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, sa, sb: a < b and the sizes of their sets) whose sets are at 4/5 or more.
+
+    A set is sent once to each block that has a pair of it, never once for each pair. Pairs whose smaller end has the
+    same smallest neighbour make a cell, so a group of copies is one cell; a cell whose sets are more than a
+    block holds is cut into rows and columns of blocks. Of all texts with the same set one is read, and only those of
+    sets that stand in a pair are cut into shingles at all.
+    """
     pairs = stored(pairs)
-    nodes = stored(pairs.selectExpr("explode(array(a, b)) as node").distinct())
-    few = nodes.count() <= BROADCAST_NODES
-    sets = docs.select("text").mapInArrow(_sets, "node long, shingles array<bigint>").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    met = pairs.join(sets.selectExpr("node as a", "shingles as x"), "a").join(sets.selectExpr("node as b", "shingles as y"), "b")
-    both = met.withColumn("both", F.expr("size(array_intersect(x, y))"))
-    return stored(both.where("5L * both >= 4L * (size(x) + size(y) - both)").select("a", "b"))
+    ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = ways.groupBy("a").agg(F.min("b").alias("cell")).selectExpr("a", "least(a, cell) as cell")
+    placed = stored(pairs.join(hubs, "a"))
+    members = placed.selectExpr("cell", "inline(array(struct(a as node, sa as size), struct(b as node, sb as size)))").distinct()
+    cuts = members.groupBy("cell").agg(F.expr(f"ceil(sum(size) / {BLOCK_SHINGLES})").alias("cuts"))
+    dealt = stored(placed.join(cuts, "cell").selectExpr("cell", "pmod(xxhash64(a), cuts) as i", "pmod(xxhash64(b), cuts) as j", "a", "b"))
+    needs = stored(dealt.selectExpr("cell", "i", "j", "explode(array(a, b)) as node").distinct())
+    few = needs.count() <= BROADCAST_NODES
+    one = marked.join(needs.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("same").alias("same")).select("same")
+    read = texts.withColumn("same", F.expr(SAME_TEXT)).join(F.broadcast(one) if few else one, "same", "left_semi")
+    sets = read.mapInArrow(_sets, "node long, shingles array<bigint>").join(F.broadcast(needs) if few else needs, "node")
+    sent = sets.selectExpr("cell", "i", "j", "0 as kind", "node as a", "cast(null as bigint) as b", "shingles")
+    asked = dealt.selectExpr("cell", "i", "j", "1 as kind", "a", "b", "cast(null as array<bigint>) as shingles")
+    block = ["cell", "i", "j"]
+    return stored(sent.unionByName(asked).repartition(*block).sortWithinPartitions(*block, "kind").mapInArrow(_overlaps, "a long, b long"))
 
 
 # Sizes that can reach 4/5, and enough shingles from the first common one on.
@@ -122,13 +180,15 @@ def similar(docs: DataFrame, marked: DataFrame, bucket_limit: int = BUCKET_LIMIT
 
     Of two near copies at least one is linked to a node with a smaller id, so no two that are the smallest of their
     components are near copies. Shingles with up to `bucket_limit` sets compare all pairs. In fuller ones the sets with
-    the smallest ids are compared with all others, and what they link leaves the shingle; so a large group of near copies
-    costs a few rows a member. If a round doesn't halve what is left, all pairs of the rest are compared.
+    the smallest ids are compared with all others, and they and what they link leave the shingle; so a large group of near
+    copies costs a few rows a member. Each round takes twice as many of them, so there are few rounds even
+    where nothing links. Documents without words are one node and are not looked at; null ids come last among a node's;
+    repeated rows and copies are one node; an empty table gives no edges.
     """
     spark = docs.sparkSession
     texts = docs.select("text").where("text is not null")
     every = max(1, texts.count() // SAMPLE)
-    sample = texts.where(f"pmod(xxhash64(text, 7), {every}) = 0").limit(4 * SAMPLE).mapInArrow(_sets, "node long, shingles array<bigint>").dropDuplicates(["node"])
+    sample = texts.where(f"pmod(xxhash64(text, 7), {every}) = 0").limit(4 * SAMPLE).withColumn("same", F.expr(SAME_TEXT)).mapInArrow(_sets, "node long, shingles array<bigint>").dropDuplicates(["node"])
     top = sample.select(F.explode("shingles").alias("token")).groupBy("token").count().where(f"count >= {FREQUENT}").orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
     known = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(known)
@@ -141,18 +201,19 @@ def similar(docs: DataFrame, marked: DataFrame, bucket_limit: int = BUCKET_LIMIT
     found = []
 
     def compare(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-        return left.alias("x").join(right.alias("y"), "token").where(on).where(_POSSIBLE).selectExpr("least(x.node, y.node) as a", "greatest(x.node, y.node) as b").distinct()
+        return left.alias("x").join(right.alias("y"), "token").where(on).where(_POSSIBLE).selectExpr(
+            "least(x.node, y.node) as a", "greatest(x.node, y.node) as b", "if(x.node < y.node, x.size, y.size) as sa", "if(x.node < y.node, y.size, x.size) as sb").distinct()
 
     few, many = rows.where(F.col("n") <= bucket_limit), rows.where(F.col("n") > bucket_limit)
     found.append(compare(few, few, "x.node < y.node"))
     ids = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
     many = stored(many.drop("n").join(ids, "node"))
-    left = many.count()
     verified = []
-    while left:
+    taken = PIVOTS
+    while not many.isEmpty():
         ordered = many.withColumn("rank", F.expr("row_number() over (partition by token order by least nulls last, node)"))
-        pivots = stored(ordered.where(f"rank <= {PIVOTS}"))
-        edges = _verified(texts, compare(pivots, many, "x.node <> y.node"))
+        pivots = stored(ordered.where(f"rank <= {taken}"))
+        edges = _verified(texts, marked, compare(pivots, many, "x.node <> y.node"))
         verified.append(edges)
         ways = edges.unionByName(edges.selectExpr("b as a", "a as b"))
         gone = pivots.select("token", "node").unionByName(pivots.select("token", F.col("node").alias("a")).join(ways, "a").select("token", F.col("b").alias("node"))).distinct()
@@ -161,15 +222,11 @@ def similar(docs: DataFrame, marked: DataFrame, bucket_limit: int = BUCKET_LIMIT
         rest = stored(rest.join(n, "token"))
         small, many = rest.where(F.col("n") <= bucket_limit), stored(rest.where(F.col("n") > bucket_limit).drop("n"))
         found.append(compare(small, small, "x.node < y.node"))
-        now = many.count()
-        if 2 * now > left:
-            found.append(compare(many, many, "x.node < y.node"))
-            break
-        left = now
+        taken *= 2
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    verified.append(_verified(texts, pairs.distinct()))
+    verified.append(_verified(texts, marked, pairs.distinct()))
     out = verified[0]
     for more in verified[1:]:
         out = out.unionByName(more)
@@ -177,7 +234,10 @@ def similar(docs: DataFrame, marked: DataFrame, bucket_limit: int = BUCKET_LIMIT
 
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp, node) of every row and (node, root): rows are linked as op8 links them, and by `similar`."""
+    """(doc_id, same, fp, node) of every row and (node, root): rows are linked as op8 links them, and by `similar`.
+
+    Rows without words are one node; null ids, repeated rows, empty tables and other columns are as for `marks`.
+    """
     marked = stored(marks(docs))
     owners = stored(marked.groupBy("fp").agg(F.min("node").alias("own")))
     near = links(owners.select("fp"), radius)
