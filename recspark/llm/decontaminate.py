@@ -33,7 +33,7 @@ class BenchmarkBlock:
     ranks: np.ndarray  # words of all items, one 0 after each item
     suffixes: np.ndarray  # starts of the different windows
     lengths: np.ndarray  # words of each window
-    names: list[str]  # of the items
+    names: list[str | None]  # of the items
     first_owner: np.ndarray  # place in the next two of each window's first owner, and their number at the end
     owner: np.ndarray  # number of an item that has the window
     owner_at: np.ndarray  # where it has it first
@@ -43,9 +43,9 @@ class BenchmarkBlock:
 FILTER_BITS = 20
 
 
-def index_block(items: list[tuple[str, np.ndarray]], window: int = WINDOW) -> BenchmarkBlock:
+def index_block(items: list[tuple[str | None, np.ndarray]], window: int = WINDOW) -> BenchmarkBlock:
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w in items)]))
-    names = sorted({name for name, _ in items})
+    names = sorted({name for name, _ in items}, key=lambda name: (name is not None, name or ""))
     number = {name: i for i, name in enumerate(names)}
     ranks: list[np.ndarray] = []
     found: dict[bytes, tuple[int, dict[int, int]]] = {}
@@ -198,7 +198,7 @@ def _runs(hits: list[dict]) -> list[dict]:
 
 def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[BenchmarkBlock]:
     """The items, read in order of their ids, as blocks of a bounded number of words (one longer item is a block of its own)."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null").orderBy("item", "text").toLocalIterator()
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).orderBy("item", "text").toLocalIterator()
     held, size = [], 0
     for row in rows:
         words, _ = word_hashes(*utf8(pa.array([row["text"]], pa.string())))
@@ -215,8 +215,8 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item
     """The columns of `df` (without the text, if that isn't wanted) with n_words and hits, which replace columns of these names.
 
     hits has, for every item with an occurring window, the covered word runs (at, words) and the most words that agree
-    verbatim from a hit on (longest). An item with fewer words than a window is one window; an item without words or with
-    a null id has none. Null and empty texts have no words. Repeated items count once by id. No shuffle: each slice of
+    verbatim from a hit on (longest). An item with fewer words than a window is one window; an item without words
+    has none. Items with a null id are one owner, `item` null. Null and empty texts have no words. Repeated items count once by id. No shuffle: each slice of
     documents is a shard with its own suffix array; benchmark blocks are bounded, so they are broadcast, one after another.
     """
     rest = df.drop("n_words", "hits")
@@ -245,7 +245,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in sorted((h["at"], h["at"] + h["words"]) for h in hits):
                 covered += max(0, b - max(a, to))
                 to = max(to, b)
-            items = sorted({h["item"] for h in hits})
+            items = sorted({h["item"] for h in hits} - {None})  # a text without an id hits, but is no item
             n_hit.append(covered)
             n_items.append(len(items))
             digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())

@@ -35,14 +35,14 @@ QUERIES = {
 
 DECONTAMINATION_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {WORDS.format("text")} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, size, list_slice(w, i, i + size - 1) AS win FROM (
   SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 dw AS (SELECT row_id, i, size, list_slice(w, i, i + size - 1) AS win FROM (
   SELECT row_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)),
 h AS (SELECT row_id, i, dw.size, item FROM dw JOIN bw ON dw.win = bw.win),
 c AS (SELECT row_id, count(DISTINCT pos) AS n_hit FROM (SELECT row_id, unnest(range(i, i + size)) AS pos FROM h) GROUP BY row_id),
-t AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, item FROM h) GROUP BY row_id)
+t AS (SELECT row_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, item FROM h) GROUP BY row_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (row_id) LEFT JOIN t USING (row_id)

@@ -22,15 +22,16 @@ def brute(docs, items, window=10):
         w, hit, found = words(text), set(), set()
         for name, body in items:
             b = words(body)
-            if name is None or not b:
+            if not b:
                 continue
             size = min(window, len(b))
             wins = {tuple(b[i : i + size]) for i in range(len(b) - size + 1)}
             for i in range(len(w) - size + 1):
                 if tuple(w[i : i + size]) in wins:
                     hit |= set(range(i, i + size))
-                    found.add(str(name))
-        out.append((key, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+                    found.add(name)
+        ids = sorted(map(str, found - {None}))
+        out.append((key, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
 
@@ -71,3 +72,10 @@ def test_query_equals_sql(spark):
     want = sorted(con.execute(ORACLES["op5_benchmark_decontamination"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["op5_benchmark_decontamination"](spark, sf).collect()) == want
     assert any(r[-1] for r in want)
+
+
+def test_a_benchmark_text_without_an_id_hits(spark):
+    df = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "one two three")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "two three four five six seven eight nine ten eleven"), (4, "other words")], "item_id long, text string")
+    assert [r.doc_id for r in dc.clean(df, bench).collect()] == [2]
+    assert brute([(1, "one two")], [(None, "two")])[0][2:4] == (1, 0)
