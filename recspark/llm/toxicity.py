@@ -109,7 +109,8 @@ def train(labels: np.ndarray, per_row: list[np.ndarray], epochs: int = EPOCHS, s
     rng = np.random.RandomState(seed)
     model = FactorizationMachine(buckets, 0.0, np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), FACTORS)))
     if not len(labels) or not len(buckets):
-        return model
+        # Nothing to tell texts apart by: the share of label 1 decides, and without labels none is predicted.
+        return FactorizationMachine(buckets, float(np.log((ones + 0.5) / (n - ones + 1))), model.weights, model.factors)
     places = []
     for own in per_row:
         _, at = _known(model, np.zeros(len(own), np.int64), own.astype(np.int64))
@@ -144,7 +145,8 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     """Learn from all rows given, which `labelled_sample` bounds.
 
     Labels other than 0 and 1 and null texts teach nothing, repeated rows once. The rows are hashed in tasks, and at most
-    FIT_TERMS terms of each come to the driver. Without rows every score is that of the bias, one half.
+    FIT_TERMS terms of each come to the driver. Without rows, or without a telling term,
+    every score is that of the share of label 1 (smoothed; a third without any rows).
     """
     named = rows.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).where("text is not null and label in (0, 1)")
     drawn = named.mapInArrow(_term_rows, "id string, label int, buckets array<int>").distinct()
