@@ -24,9 +24,10 @@ SHINGLE = 5
 SAMPLE = 2000
 FREQUENT = 4
 MOST_FREQUENT = 1 << 18
-# Shingles with more sets than this are compared with their first sets only, round by round, twice as many each round.
+# Shingles with more sets than this are compared with their first sets only, round by round, and so many times more each round.
 BUCKET_LIMIT = 64
 PIVOTS = 4
+PIVOT_GROWTH = 8
 # Most rows (node, block) that are broadcast to find the texts to verify; beyond, they are joined by a shuffle.
 BROADCAST_NODES = 1 << 20
 # Shingles of the sets in a block of the verification (about; 4 MB).
@@ -181,8 +182,8 @@ def similar(docs: DataFrame, marked: DataFrame, bucket_limit: int = BUCKET_LIMIT
     Of two near copies at least one is linked to a node with a smaller id, so no two that are the smallest of their
     components are near copies. Shingles with up to `bucket_limit` sets compare all pairs. In fuller ones the sets with
     the smallest ids are compared with all others, and they and what they link leave the shingle; so a large group of near
-    copies costs a few rows a member. Each round takes twice as many of them, so there are few rounds even
-    where nothing links. Documents without words are one node and are not looked at; null ids come last among a node's;
+    copies costs a few rows a member. Each round takes PIVOT_GROWTH times as many of them, so there are few
+    rounds even where nothing links. Documents without words are one node and are not looked at; null ids come last among a node's;
     repeated rows and copies are one node; an empty table gives no edges.
     """
     spark = docs.sparkSession
@@ -222,7 +223,7 @@ def similar(docs: DataFrame, marked: DataFrame, bucket_limit: int = BUCKET_LIMIT
         rest = stored(rest.join(n, "token"))
         small, many = rest.where(F.col("n") <= bucket_limit), stored(rest.where(F.col("n") > bucket_limit).drop("n"))
         found.append(compare(small, small, "x.node < y.node"))
-        taken *= 2
+        taken *= PIVOT_GROWTH
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
