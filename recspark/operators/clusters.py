@@ -155,6 +155,46 @@ def shared_tags(points: DataFrame, labels: DataFrame, centroids: DataFrame, top:
     return top_k(ranked, ["user_id"], [F.expr("round(shared, 9)").desc(), F.col("key")], top, rank="rank").select("user_id", "cluster", "rank", "key")
 
 
+# Fixed value: a visitor whose strongest membership is below this stands between clusters.
+SPLIT_BELOW = 0.65
+
+
+def compare(hard: DataFrame, soft: DataFrame) -> DataFrame:
+    """(user_id, cluster, dominant, strongest, split): the hard cluster of each visitor beside its soft ones.
+
+    hard: user_id, cluster; soft: user_id, u, dominant as `memberships` gives them.
+    """
+    both = hard.select("user_id", "cluster").join(soft.selectExpr("user_id", "dominant", "array_max(u) AS strongest"), "user_id")
+    return both.selectExpr("user_id", "cluster", "dominant", "strongest", f"strongest < {SPLIT_BELOW}D AS split")
+
+
+def contingency(hard: DataFrame, soft: DataFrame) -> DataFrame:
+    """(cluster, soft_cluster, n, mass): visitors of a hard cluster whose dominant soft one this is, and all their membership in it.
+
+    One aggregate over the memberships; the result has a row for each pair of clusters.
+    """
+    rows = hard.select("user_id", "cluster").join(soft, "user_id").selectExpr("cluster", "dominant", "posexplode(u) AS (soft_cluster, membership)")
+    return rows.groupBy("cluster", "soft_cluster").agg(F.expr("count_if(dominant = soft_cluster) AS n"), F.expr("sum(membership) AS mass"))
+
+
+def agreement(table: DataFrame) -> DataFrame:
+    """One row from a contingency table: visitors, Rand index adjusted for chance, purity, and the same of the soft masses.
+
+    The adjusted index is 1 for equal groupings, about 0 for unrelated ones, and 1 where neither grouping separates any pair or both separate all.
+    """
+    def pairs(n: str) -> str:
+        return f"sum({n} * ({n} - 1) / 2D)"
+
+    cells = table.agg(F.expr("CAST(sum(n) AS BIGINT) AS visitors"), F.expr(f"{pairs('n')} AS together"))
+    by = [table.groupBy(c).agg(F.expr("sum(n) AS n"), F.expr("max(n) AS most"), F.expr("max(mass) AS most_mass"), F.expr("sum(mass) AS mass")).agg(
+        F.expr(f"{pairs('n')} AS pairs_{c}"), F.expr(f"sum(most) AS pure_{c}"), F.expr(f"sum(most_mass) / sum(mass) AS overlap_{c}")) for c in ("cluster", "soft_cluster")]
+    one = cells.crossJoin(F.broadcast(by[0])).crossJoin(F.broadcast(by[1]))  # one row each
+    chance = "pairs_cluster * pairs_soft_cluster / nullif(visitors * (visitors - 1) / 2D, 0D)"
+    return one.selectExpr(
+        "visitors", f"coalesce(try_divide(together - {chance}, (pairs_cluster + pairs_soft_cluster) / 2D - {chance}), 1D) AS adjusted_rand",
+        "pure_cluster / visitors AS purity", "overlap_cluster AS soft_overlap")
+
+
 def profiles(labels: DataFrame, centroids: DataFrame, k: int, top: int = 5, members_shown: int = 50) -> DataFrame:
     """One row per cluster: size, strongest tags, breadth with its reading, first members; ``labels`` has all of them."""
     cells = long_centroids(centroids)

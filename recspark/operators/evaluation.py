@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recspark.functions import survey as sv
 from recspark.functions.ordered import top_k
-from recspark.functions.vectors import unit
+from recspark.functions.vectors import dot, unit
 from recspark.operators import signals as sg
 from recspark.operators.scoring import Catalogue
 
@@ -137,16 +139,15 @@ def list_metrics(items: DataFrame, catalogue: Catalogue, key: str = "request_id"
 def diversity(items: DataFrame, catalogue: Catalogue, key: str = "request_id") -> DataFrame:
     """(key, intra_list_diversity): mean 1 - cosine over the pairs of a list, null under two.
 
-    With unit vectors the pair sum is (|sum|^2 - sum |v|^2) / 2, so no pair is formed.
+    With unit vectors the pair sum is (|sum|^2 - sum |v|^2) / 2, so no pair is formed; the sum is one vector aggregate.
     """
-    d = catalogue.dim
-    units = items.select(key, "content_id").join(catalogue.vectors, "content_id").selectExpr(key, f"{unit('vec')} AS u")
+    have = catalogue.vectors.filter("vec IS NOT NULL")
+    units = items.select(key, "content_id").join(have, "content_id").selectExpr(key, f"{unit('vec')} AS u")
     sums = units.groupBy(key).agg(
-        *[F.expr(f"sum(u[{i}]) AS s{i}") for i in range(d)],
+        vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("s"),
         F.expr("count(*) AS n"), F.expr("sum(aggregate(u, 0D, (a, x) -> a + x * x)) AS q"),
     )
-    length = " + ".join(f"s{i} * s{i}" for i in range(d))
-    return sums.selectExpr(key, f"IF(n < 2, NULL, 1D - ({length} - q) / (n * (n - 1D))) AS intra_list_diversity")
+    return sums.selectExpr(key, f"IF(n < 2, NULL, 1D - ({dot('s', 's')} - q) / (n * (n - 1D))) AS intra_list_diversity")
 
 
 def facet_spread(items: DataFrame, tags: DataFrame, key: str = "request_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +58,15 @@ def preference_search(projected: DataFrame, vectors: DataFrame, limit: int = LIM
 
     Visitors without a successful view get nothing.
     """
-    dim = vector_dim(vectors)
-    rows = projected.join(vectors.selectExpr("content_id AS item_id", "vec"), "item_id")
-    means = rows.groupBy("user_id").agg(
-        *[F.expr(f"2D * avg(IF(is_successful, vec[{i}], NULL)) - coalesce(avg(IF(is_successful, NULL, vec[{i}])), avg(IF(is_successful, vec[{i}], NULL))) AS d{i}") for i in range(dim)],
-        F.expr("count_if(is_successful) AS liked"),
-    )
+    rows = projected.join(vectors.filter("vec IS NOT NULL").selectExpr("content_id AS item_id", "vec"), "item_id").withColumn("liked", F.expr("coalesce(is_successful, false)"))
+
+    def mean(which: str, name: str) -> DataFrame:
+        return rows.filter(which).groupBy("user_id").agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias(name))
+
+    means = mean("liked", "good").join(mean("NOT liked", "bad"), "user_id", "left")
     examples = projected.selectExpr("user_id", "item_id AS content_id").distinct()
     counts = examples.groupBy("user_id").agg(F.expr("CAST(count(*) AS INT) AS extra"))
-    asked = means.filter("liked > 0").join(counts, "user_id").selectExpr("user_id AS qid", "array(" + ", ".join(f"d{i}" for i in range(dim)) + ") AS qvec", "extra")
+    asked = means.join(counts, "user_id").selectExpr("user_id AS qid", "IF(bad IS NULL, good, zip_with(good, bad, (x, y) -> 2D * x - y)) AS qvec", "extra")
     hits = nearest(asked, vectors, limit).selectExpr("qid AS user_id", "content_id", "score")
     fresh = hits.join(examples, ["user_id", "content_id"], "left_anti")
     return top_k(fresh, ["user_id"], [F.desc("score"), F.col("content_id")], limit, rank="rank")

@@ -267,6 +267,68 @@ def fuzzy_rounds(spark, sf_dir):
     return soft.selectExpr("user_id", "posexplode(u) AS (cluster, membership)").selectExpr("user_id", "cluster", *r6("membership"))
 
 
+def _both_clusterings(w):
+    """k-means and fuzzy c-means after the same fixed rounds as cluster_rounds and fuzzy_rounds."""
+    points = w.points
+    hard_centroids, k = cl.kmeans(points, 4, iters=ROUNDS, start=_starts(points))
+    soft_centroids, c = cl.fuzzy_cmeans(points, 3, iters=ROUNDS)
+    return points, cl.assign(points, hard_centroids, k), hard_centroids, cl.memberships(points, soft_centroids, c)
+
+
+cte("soft_best", f"SELECT user_id, arg_min(cluster, (-u, cluster)) AS dominant, max(u) AS strongest FROM soft3_{ROUNDS} GROUP BY user_id")
+cte("cluster_cells", f"""
+SELECT h.cluster, s.cluster AS soft_cluster, count(*) FILTER (s.cluster = dominant) AS n, sum(u) AS mass
+FROM label4_{ROUNDS} h JOIN soft3_{ROUNDS} s USING (user_id) JOIN soft_best USING (user_id) GROUP BY 1, 2
+""")
+
+
+@query("cluster_comparison", f"""
+SELECT user_id, CAST(cluster AS INTEGER) AS cluster, CAST(dominant AS INTEGER) AS dominant, round(strongest, 6) AS strongest, round(strongest, 6) < 0.65 AS split
+FROM label4_{ROUNDS} JOIN soft_best USING (user_id)
+""")
+def cluster_comparison(spark, sf_dir):
+    """Hard bucket and soft membership of every visitor side by side."""
+    _, hard, _, soft = _both_clusterings(InsightWorld(spark, sf_dir))
+    rows = cl.compare(hard, soft).withColumn("strongest", F.round("strongest", 6))
+    return rows.selectExpr("user_id", "cluster", "dominant", "strongest", f"strongest < {cl.SPLIT_BELOW}D AS split")
+
+
+cte("agree_pairs", """
+SELECT (SELECT sum(n) FROM cluster_cells) AS v, (SELECT sum(n * (n - 1) / 2.0) FROM cluster_cells) AS together,
+  (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) AS n FROM cluster_cells GROUP BY cluster)) AS a, (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) AS n FROM cluster_cells GROUP BY soft_cluster)) AS b
+""")
+
+
+@query("cluster_agreement", """
+SELECT CAST(v AS BIGINT) AS visitors, round((together - a * b / (v * (v - 1) / 2.0)) / ((a + b) / 2.0 - a * b / (v * (v - 1) / 2.0)), 6) AS adjusted_rand,
+  round((SELECT sum(m) FROM (SELECT max(n) AS m FROM cluster_cells GROUP BY cluster)) / v, 6) AS purity,
+  round((SELECT sum(m) / sum(t) FROM (SELECT max(mass) AS m, sum(mass) AS t FROM cluster_cells GROUP BY cluster)), 6) AS soft_overlap FROM agree_pairs
+""")
+def cluster_agreement(spark, sf_dir):
+    _, hard, _, soft = _both_clusterings(InsightWorld(spark, sf_dir))
+    return cl.agreement(cl.contingency(hard, soft)).selectExpr("visitors", *r6("adjusted_rand", "purity", "soft_overlap"))
+
+
+@query("cluster_shared_tags", f"""
+SELECT user_id, CAST(cluster AS INTEGER) AS cluster, CAST(rank AS INTEGER) AS rank, key FROM (
+  SELECT a.user_id, l.cluster, a.key, row_number() OVER (PARTITION BY a.user_id ORDER BY round(least(a.weight, c.weight), 9) DESC, a.key) AS rank
+  FROM affinity a JOIN label4_{ROUNDS} l USING (user_id) JOIN cent4_{ROUNDS} c ON c.cluster = l.cluster AND c.key = a.key WHERE a.weight > 0 AND c.weight > 0) WHERE rank <= 5
+""")
+def cluster_shared_tags(spark, sf_dir):
+    """Why a visitor is in its cluster: the strongest tags it shares with it."""
+    points, hard, centroids, _ = _both_clusterings(InsightWorld(spark, sf_dir))
+    return cl.shared_tags(points, hard, centroids)
+
+
+@query("cluster_features", """
+SELECT user_id, key, round(weight, 6) AS weight FROM affinity JOIN (
+  SELECT key FROM affinity GROUP BY key HAVING count(*) >= 3 ORDER BY count(*) DESC, key LIMIT 20) USING (key)
+""")
+def cluster_features(spark, sf_dir):
+    """The points that clustering sees when rare keys are left out: the 20 most carried keys of at least three visitors."""
+    return cl.feature_points(InsightWorld(spark, sf_dir).points, min_freq=3, max_features=20).selectExpr("user_id", "key", *r6("weight"))
+
+
 @query("fuzzy_cluster_model")
 def fuzzy_cluster_model(spark, sf_dir):
     points = InsightWorld(spark, sf_dir).points

@@ -121,6 +121,7 @@ def visitor_counts(spark, sf_dir):
     return counts.select("user_id", "viewed", "positives", "negatives", "is_cold", "completed_personalization")
 
 
+cte("cont_title", "SELECT *, 'Item ' || content_id AS title FROM cont")
 TIMELINE_PAYLOAD = """
 to_json(named_struct('event', event, 'userId', user_id, 'timestamp', iso, 'properties', named_struct(
   'content', content_id, 'screen', IF(event_id % 4 = 0, '', concat('s', event_id % 3)), 'visible', event_id % 2 = 0,
@@ -153,14 +154,29 @@ def event_timeline(spark, sf_dir):
 SELECT user_id, content_id, round(dwell, 6) AS dwell_seconds, end_reason, 1 AS visits, epoch_us(ts) AS ts_us FROM iev WHERE event = 'CONTENT_VIEW_ENDED'
 """)
 def session_view_lines(spark, sf_dir):
-    """Views as JSON lines, one line per visitor and day, read back as rows."""
+    """Views as JSON lines of a visitor's day, a busy day in several, read back as rows."""
     path = f"{_folder(spark)}/sessions"
-    views = World(spark, sf_dir).events.filter("event = 'CONTENT_VIEW_ENDED'")
-    view = "struct(content_id, dwell_seconds, end_reason, CAST(NULL AS INT) AS visits, date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS ts)"
-    views.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.expr(f"collect_list({view}) AS views")).drop("day").write.json(path)
+    ct.write_session_views(World(spark, sf_dir).events.filter("event = 'CONTENT_VIEW_ENDED'"), path, line_views=4)
     return ct.read_session_views(spark, path).selectExpr("user_id", "content_id", "round(dwell_seconds, 6) AS dwell_seconds", "end_reason", "visits", "unix_micros(ts) AS ts_us")
 
 
+@query("content_lines", """
+SELECT content_id, title, word_count, has_image, round(lat, 6) AS lat, round(lon, 6) AS lon,
+  (SELECT string_agg(facet || ':' || label || '=' || CAST(round(weight * 10) AS INTEGER), '|' ORDER BY pos) FROM ctags t WHERE t.content_id = c.content_id) AS tags,
+  len(v) AS dim, round(list_sum(v), 4) AS total
+FROM cont_title c JOIN vec USING (content_id)
+""")
+def content_lines(spark, sf_dir):
+    """The catalogue as JSON lines, read back."""
+    w = World(spark, sf_dir)
+    path = f"{_folder(spark)}/contents"
+    ct.write_content_lines(w.contents, w.content_tags, w.vectors, path)
+    back = ct.read_content_lines(spark, path)
+    return back.selectExpr("id AS content_id", "title", "word_count", "has_image", "round(lat, 6) AS lat", "round(lon, 6) AS lon",
+                           "array_join(transform(tags, t -> concat(t.facet, ':', t.label, '=', CAST(round(t.weight * 10) AS INT))), '|') AS tags",
+                           "size(vector) AS dim", "round(aggregate(vector, 0D, (s, x) -> s + x), 4) AS total")
+
+
 @query("sample_lines", """
 SELECT round(sum(list_sum(x)), 3) AS features, round(sum(reward), 4) AS reward, count(*) AS n FROM line_rewards
 """)

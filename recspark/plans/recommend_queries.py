@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import replace
 from functools import cached_property
 
@@ -16,6 +17,8 @@ from recspark.operators.scoring import Catalogue, fuse, score_candidates
 from recspark.plans.oracle import CTES, NOW, cte
 from recspark.plans.registry import query, r6
 from recspark.plans.signal_queries import CFG, World
+from recspark.session import run_folder
+from recspark.sources import logs
 
 
 class RecWorld(World):
@@ -257,6 +260,26 @@ def recommendations(spark, sf_dir):
     return items.selectExpr("request_id", "rank", "content_id", "role", *r6("relevance_score"))
 
 
+@query("served_lists_log", """
+SELECT i.user_id AS request_id, CAST(rank AS INTEGER) AS rank, i.content_id, role, round(i.score, 6) + 0.0 AS relevance_score, 'warm' AS strategy, false AS cold_start,
+  CASE WHEN role = 'target' THEN concat_ws(';', printf('%.4f', round(semantic, 4) + 0.0), printf('%.4f', round(affinity, 4) + 0.0), printf('%.4f', round(least(tag, 1), 4) + 0.0),
+    printf('%.4f', round(recency, 4) + 0.0), printf('%.4f', round(least(aversion, 1), 4) + 0.0), '0.0000') ELSE '' END AS features,
+  round(CASE WHEN role = 'target' THEN 0.45 * least(tag, 1) END, 6) AS tag_part
+FROM rec_items i LEFT JOIN fused f ON f.user_id = i.user_id AND f.content_id = i.content_id AND role = 'target'
+""")
+def served_lists_log(spark, sf_dir):
+    """What the recommender serves goes to the served log as it is, scores and features too, and comes back item by item."""
+    w = RecWorld(spark, sf_dir, stored=True)
+    recs = rc.recommend(w.open_requests, w.catalogue, w.model, CFG)
+    base = f"{run_folder(spark)}/served-{uuid.uuid4().hex}"
+    logs.append_served(rc.served_rows(recs, "TIMESTAMP'2024-01-31 00:00:00'"), base, batch="one")
+    served = logs.read_served(spark, base)
+    items = served.selectExpr("request_id", "strategy", "cold_start", "inline(items)")
+    features = "array_join(transform(features, x -> format_string('%.4f', round(x, 4) + 0D)), ';')"
+    return items.selectExpr("request_id", "rank", "id AS content_id", "role", "round(relevance_score, 6) + 0D AS relevance_score", "strategy", "cold_start",
+                            f"{features} AS features", "round(IF(role = 'target', breakdown['tag'], NULL), 6) AS tag_part")
+
+
 def _again(name: str) -> str:
     """The same hits without leaving out what the visitor has seen."""
     return re.sub(r"NOT EXISTS \(SELECT 1 FROM seen_items s WHERE [^)]*\)", "true", CTES[name])

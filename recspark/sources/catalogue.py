@@ -21,6 +21,29 @@ def read_content_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONTENT_LINE).json(path)
 
 
+def write_content_lines(contents: DataFrame, tags: DataFrame, vectors: DataFrame, path: str) -> None:
+    """The catalogue as JSON lines, tags in their order and the vector inside."""
+    packed = tags.groupBy("content_id").agg(F.expr("transform(array_sort(collect_list(struct(pos, facet, label, weight))), t -> struct(t.facet, t.label, t.weight)) AS tags"))
+    rows = contents.join(packed, "content_id", "left").join(vectors.select("content_id", "vec"), "content_id", "left")
+    rows.selectExpr("content_id AS id", "title", "text", "word_count", "has_image", "lat", "lon", "tags", "vec AS vector").write.json(path)
+
+
+# Views of one line, about.
+LINE_VIEWS = 1000
+
+
+def write_session_views(views: DataFrame, path: str, line_views: int = LINE_VIEWS) -> None:
+    """Views (user_id, content_id, dwell_seconds, end_reason, ts) as JSON lines of a visitor's day.
+
+    A day with more than `line_views` views is dealt to several lines by a hash, so that no line grows with a busy visitor.
+    """
+    view = "struct(content_id, dwell_seconds, end_reason, CAST(NULL AS INT) AS visits, date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS ts)"
+    rows = views.withColumn("day", F.to_date("ts"))
+    lines = rows.groupBy("user_id", "day").agg(F.expr(f"ceil(count(*) / {line_views}) AS lines"))
+    dealt = rows.join(lines, ["user_id", "day"]).withColumn("line", F.expr("pmod(xxhash64(ts, content_id, dwell_seconds), lines)"))
+    dealt.groupBy("user_id", "day", "line").agg(F.expr(f"collect_list({view}) AS views")).select("user_id", "views").write.json(path)
+
+
 def read_session_views(spark: SparkSession, path: str) -> DataFrame:
     """One row per view: user_id, content_id, dwell_seconds, end_reason, visits, ts."""
     views = spark.read.schema(SESSION_LINE).json(path).selectExpr("user_id", "explode(views) AS x")

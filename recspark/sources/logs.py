@@ -95,8 +95,10 @@ def reject_count(rows: DataFrame) -> DataFrame:
 
 
 def within_window(events: DataFrame, now: str, window_days: int = 30) -> DataFrame:
-    """Retention of the hot history: events of the last ``window_days`` before ``now``."""
-    return events.filter(f"ts > {now} - INTERVAL {int(window_days)} DAYS")
+    """Retention of the hot history: events of the last ``window_days`` before ``now``; of a log, only their days are read."""
+    since = f"{now} - INTERVAL {int(window_days)} DAYS"
+    recent = events.filter(f"ts > {since}")
+    return recent.filter(f"date >= CAST({since} AS DATE)") if "date" in events.columns else recent
 
 
 def served_long(served: DataFrame) -> DataFrame:
@@ -114,6 +116,29 @@ def served_tail(served: DataFrame, n: int, user_id: str | None = None) -> DataFr
     return rows.orderBy(F.desc("ts"), F.desc("request_id")).limit(n).withColumn("items", F.expr(light))
 
 
+def newest_served(spark: SparkSession, base: str, n: int, tenant: str | None = None, user_id: str | None = None) -> DataFrame:
+    """The newest n requests of the served log, reading its days from the newest on until they hold n.
+
+    Days are partitions by the request's time, so no older day can hold a newer request. Row counts of whole days come
+    from the files' footers; with a visitor, the days read double until enough of its rows are found.
+    """
+    log = read_served(spark, base)
+    log = log if tenant is None else log.filter(F.col("tenant") == tenant)
+    days = sorted(((r.date, r["n"]) for r in log.groupBy("date").agg(F.expr("count(*) AS n")).collect()), reverse=True)
+    taken, found, step = 0, 0, 1
+    while taken < len(days) and found < n:
+        some = days[taken : taken + step]
+        if user_id is None:
+            found += some[0][1]
+        else:
+            part = log.filter(F.col("date").between(some[-1][0], some[0][0])).filter(F.col("user_id") == user_id)
+            found += part.limit(n - found).count()
+            step *= 2
+        taken += len(some)
+    recent = log.filter(F.col("date") >= days[taken - 1][0]) if taken else log.limit(0)
+    return served_tail(recent, n, user_id)
+
+
 def snapshot(events: DataFrame, path: str) -> None:
     """The whole log in time order as gzip CSV, nested columns as JSON text, quotes doubled."""
     encode_events(events).orderBy("ts").write.option("compression", "gzip").option("header", True).option("escape", '"').mode("overwrite").csv(path)
