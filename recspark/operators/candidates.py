@@ -39,14 +39,20 @@ def top_keys(affinity: DataFrame, n: int) -> DataFrame:
     return top_k(affinity, ["user_id"], order, n).select("user_id", "nkey").distinct()
 
 
-def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig, seen: DataFrame | None = None) -> DataFrame:
+# Keys that more different tag sets carry than this are frequent: sets meet by the others, and by frequent keys only as
+# what is left of them when the others are taken away.
+FREQUENT_SETS = 1024
+
+
+def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig, seen: DataFrame | None = None, frequent: int = FREQUENT_SETS) -> DataFrame:
     """(user_id, content_id, base_score): items sharing most of the user's top keys.
 
     Overlap depends only on the user's key set and the item's tag set, so both sides are
     reduced to distinct sets first. Of one tag set only the k lowest ids can ever reach a
     top k (same overlap, ties by id); a tag carried by a third of the catalogue therefore
     costs one row per tag set, not one per item. With ``seen``, seen items leave before the
-    cut: k more rows than the most that a user of the key set has seen are then enough.
+    cut: k more rows than the most that a user of the key set has seen are then enough. What
+    frequent tags cost is bounded too (`_best_overlaps`).
     """
     k = cfg.pool_per_generator
     keyset = materialize(
@@ -59,27 +65,75 @@ def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig, seen:
         "content_id", "keys", "sha2(concat_ws('\\n', keys), 256) AS profile"
     )
     if seen is not None:
-        return _unseen_tag_recall(keyset, profile, seen, k)
-    members = top_k(profile.select("profile", "content_id"), ["profile"], [F.col("content_id")], k)
-    best = top_k(
-        _overlaps(keyset, profile).join(members, "profile").select("keyset", "content_id", "base_score"),
-        ["keyset"], [F.col("base_score").desc(), F.col("content_id")], k,
-    )
+        return _unseen_tag_recall(keyset, profile, seen, k, frequent)
+    sets = keyset.groupBy("keyset").agg(F.expr("any_value(keys) AS keys")).withColumn("need", F.lit(k))
+    best = _best_overlaps(sets, profile, frequent, k)
     return keyset.select("user_id", "keyset").join(best, "keyset").select("user_id", "content_id", "base_score")
 
 
-def _overlaps(keyset: DataFrame, profile: DataFrame) -> DataFrame:
-    """(keyset, profile, base_score): shared keys of each pair of different sets."""
-    wanted = keyset.groupBy("keyset").agg(F.expr("any_value(keys) AS keys")).selectExpr("keyset", "explode(keys) AS nkey")
-    carried = profile.groupBy("profile").agg(F.expr("any_value(keys) AS keys")).selectExpr("profile", "explode(keys) AS nkey")
-    return wanted.join(carried, "nkey").groupBy("keyset", "profile").agg(F.expr("CAST(count(*) AS DOUBLE) AS base_score"))
+def _overlaps(wanted: DataFrame, carried: DataFrame, one: str, other: str) -> DataFrame:
+    """(one, other, shared): shared keys of each pair of different sets, both given as (set, nkey)."""
+    return wanted.join(carried, "nkey").groupBy(one, other).agg(F.expr("count(*) AS shared"))
+
+
+def _ranked(found: DataFrame, group: str, most: int | None) -> DataFrame:
+    """The first `need` rows of each group, and `most` of them where that is one number: then each map task cuts its own rows."""
+    order = [F.col("base_score").desc(), F.col("content_id")]
+    if most is not None:
+        return top_k(found, [group], order, most)
+    ranked = found.withColumn("_rank", F.expr(f"row_number() OVER (PARTITION BY {group} ORDER BY base_score DESC, content_id)"))
+    return ranked.filter("_rank <= need").drop("_rank")
 
 
-def _unseen_tag_recall(keyset: DataFrame, profile: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    need = keyset.join(_known(seen), "user_id", "left").groupBy("keyset").agg(F.expr(f"{k} + coalesce(max(extra), 0) AS need"))
-    rows = profile.withColumn("place", F.expr("row_number() OVER (PARTITION BY profile ORDER BY content_id)")).select("profile", "content_id", "place")
-    found = _overlaps(keyset, profile).join(need, "keyset").join(rows, "profile").filter("place <= need")
-    best = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY keyset ORDER BY base_score DESC, content_id)")).filter("rank <= need")
+def _members(profile: DataFrame, group: str, most: int | None) -> DataFrame:
+    """(group, content_id, place): items of a set from the lowest id on."""
+    if most is not None:
+        return top_k(profile.select(group, "content_id"), [group], [F.col("content_id")], most, rank="place")
+    return profile.select(group, "content_id", F.expr(f"row_number() OVER (PARTITION BY {group} ORDER BY content_id) AS place"))
+
+
+def _best_overlaps(sets: DataFrame, profile: DataFrame, frequent: int, most: int | None = None) -> DataFrame:
+    """(keyset, content_id, base_score): the `need` items that share most keys with each set, ties by id.
+
+    sets: keyset, keys, need; profile: content_id, keys, profile. Sets that share a key carried by at most `frequent`
+    different tag sets meet by it, and their overlap is counted in full: so many rows a key at most. What shares
+    frequent keys only is found among the sets' frequent parts, of which there are few: an item that `need` others beat by
+    frequent keys alone, they beat in full too. With one tag on a third of all items that part is with it or without.
+    """
+    carried = profile.groupBy("profile").agg(F.expr("any_value(keys) AS keys")).selectExpr("profile", "explode(keys) AS nkey")
+    wanted = sets.selectExpr("keyset", "explode(keys) AS nkey")
+    often = materialize(carried.groupBy("nkey").agg(F.expr("count(*) AS n")).filter(F.col("n") > frequent).select("nkey"))
+    if often.isEmpty():
+        shared = _overlaps(wanted, carried, "keyset", "profile").withColumnRenamed("shared", "base_score")
+        found = shared.join(sets.select("keyset", "need"), "keyset").join(_members(profile, "profile", most), "profile").filter("place <= need")
+        return _ranked(found.selectExpr("keyset", "content_id", "CAST(base_score AS DOUBLE) AS base_score", "need"), "keyset", most).drop("need")
+
+    def part(rows: DataFrame, key: str, name: str) -> DataFrame:
+        """Each set with the id and the keys of its frequent part."""
+        held = rows.join(often, "nkey").groupBy(key).agg(F.expr("array_sort(collect_list(nkey)) AS keys"))
+        return materialize(held.selectExpr(key, f"keys AS {name}_keys", f"sha2(concat_ws('\\n', keys), 256) AS {name}"))
+
+    asked, offered = part(wanted, "keyset", "ask"), part(carried, "profile", "offer")
+    none = "CAST(array() AS ARRAY<STRING>)"
+    rare = _overlaps(wanted.join(often, "nkey", "left_anti"), carried.join(often, "nkey", "left_anti"), "keyset", "profile")
+    full = rare.join(asked, "keyset", "left").join(offered, "profile", "left").selectExpr(
+        "keyset", "profile", f"CAST(shared + size(array_intersect(coalesce(ask_keys, {none}), coalesce(offer_keys, {none}))) AS DOUBLE) AS base_score")
+    by_rare = full.join(sets.select("keyset", "need"), "keyset").join(_members(profile, "profile", most), "profile").filter("place <= need")
+    needs = asked.join(sets, "keyset").groupBy("ask").agg(F.expr("max(need) AS need"))
+    ask_keys = asked.groupBy("ask").agg(F.expr("any_value(ask_keys) AS keys")).selectExpr("ask", "explode(keys) AS nkey")
+    offer_keys = offered.groupBy("offer").agg(F.expr("any_value(offer_keys) AS keys")).selectExpr("offer", "explode(keys) AS nkey")
+    members = _members(profile.join(offered.select("profile", "offer"), "profile"), "offer", most)
+    met = _overlaps(ask_keys, offer_keys, "ask", "offer").join(needs, "ask").join(members, "offer").filter("place <= need")
+    common = _ranked(met.selectExpr("ask", "content_id", "CAST(shared AS DOUBLE) AS base_score", "need"), "ask", most).drop("need")
+    by_often = common.join(asked.select("keyset", "ask"), "ask").join(sets.select("keyset", "need"), "keyset")
+    columns = ["keyset", "content_id", "base_score", "need"]
+    both = by_rare.select(*columns).unionByName(by_often.select(*columns)).groupBy("keyset", "content_id", "need").agg(F.expr("max(base_score) AS base_score"))
+    return _ranked(both, "keyset", most).select("keyset", "content_id", "base_score")
+
+
+def _unseen_tag_recall(keyset: DataFrame, profile: DataFrame, seen: DataFrame, k: int, frequent: int) -> DataFrame:
+    sets = keyset.join(_known(seen), "user_id", "left").groupBy("keyset").agg(F.expr("any_value(keys) AS keys"), F.expr(f"{k} + coalesce(max(extra), 0) AS need"))
+    best = _best_overlaps(sets, profile, frequent)
     fresh = keyset.select("user_id", "keyset").join(best, "keyset").join(seen, ["user_id", "content_id"], "left_anti")
     return top_k(fresh, ["user_id"], [F.desc("base_score"), F.col("content_id")], k).select("user_id", "content_id", "base_score")
 
