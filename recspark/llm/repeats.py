@@ -27,9 +27,12 @@ RUN = 4096
 # Bytes of run texts and windows in one suffix array, about: it ends with the anchor that reaches one of them.
 SHARD_BYTES = 1 << 20
 SHARD_WINDOWS = 1 << 16
-# Anchors with more different runs, or more windows in them, have their windows compared one by one by hash, spread over all tasks.
+# Anchors with more different runs, or more windows in them, are split: their runs are cut into pieces, which meet by
+# what all windows of a piece have in common.
 HOT_RUNS = 512
 HOT_WINDOWS = 1 << 17
+# Window starts of such a piece.
+PIECE = 16
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -177,8 +180,66 @@ def _sharded(window: int, shard_bytes: int) -> Callable:
     return run
 
 
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _pieces(window: int, gram: int, piece: int) -> Callable:
+    """Pieces of the runs of hot anchors; rows come sorted.
+
+    A window's distance is that of the first anchor in it from its start, and equal windows have equal distances. A
+    piece is the windows before one anchor with distances from k * piece to less than (k + 1) * piece. What such
+    windows have in common, the core, depends on the anchor's place and k alone, so pieces that share a window have
+    equal anchors, k and cores, whichever windows their runs hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            out: list[tuple] = []
+            for anchor, body, weight, text in zip(*(batch.column(x).to_pylist() for x in ("anchor", "body", "weight", "run_text")), strict=True):
+                if (anchor, body) == last:
+                    continue
+                last = anchor, body
+                data = np.frombuffer(text, np.uint8)
+                at = np.arange(len(data) - gram + 1)
+                places = np.flatnonzero(mixed(span_hash(prefix_hash(data), at, at + gram)) == np.array([anchor], np.int64).view(np.uint64)[0])
+                start = np.arange(len(data) - window + 1)
+                place = places[np.searchsorted(places, start)]
+                k = (place - start) // piece
+                first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (k[1:] != k[:-1])])
+                for a, b in zip(first.tolist(), np.append(first[1:], len(start)).tolist(), strict=True):
+                    begin = int(place[a] - k[a] * piece)
+                    out.append((anchor, body, weight, a, b - a, int(k[a]), int(place[a] - a), _digest(text[begin : begin - piece + 1 + window]) + _digest(text[a : b + window - 1])))
+            if out:
+                *columns, digests = zip(*out, strict=True)
+                words = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [pa.array(words[:, i]) for i in range(4)],
+                                                 names=["anchor", "body", "weight", "at", "n", "k", "distance", "c1", "c2", "t1", "t2"])
+
+    return run
+
+
+def _piece_cutter(window: int) -> Callable:
+    """Texts of the pieces asked for in each run: (anchor, body) are the group and the piece from here on; rows come sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            out = []
+            for anchor, body, text, asked in zip(*(batch.column(x).to_pylist() for x in ("anchor", "body", "run_text", "asked")), strict=True):
+                if (anchor, body) != last:
+                    out += [(a["grp"], a["piece"], a["weight"], a["hot"], text[a["at"] : a["at"] + a["n"] + window - 1]) for a in asked]
+                last = anchor, body
+            if out:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["anchor", "body", "weight", "hot", "run_text"])
+
+    return run
+
+
 def _windows(window: int) -> Callable:
-    """128-bit hashes of all windows of hot runs; rows come sorted."""
+    """128-bit hashes of all windows of the texts; rows come sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -188,7 +249,7 @@ def _windows(window: int) -> Callable:
                     continue
                 last = anchor, body
                 n = len(text) - window + 1
-                digests = [hashlib.blake2b(text[i : i + window], digest_size=16).digest() for i in range(n)]
+                digests = [_digest(text[i : i + window]) for i in range(n)]
                 w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, body)), pa.array(np.full(n, weight)), pa.array(np.arange(n, dtype=np.int32)), pa.array(w[:, 0]), pa.array(w[:, 1])],
                                                  names=["anchor", "body", "weight", "at", "w1", "w2"])
@@ -202,7 +263,42 @@ def _keyed(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_text", body).withColumn("_h1", F.xxhash64("_text")).withColumn("_h2", F.hash("_text"))
 
 
-def repeat_spans(df: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
+def _split_spans(runs_of_hot: DataFrame, window: int, gram: int, shard_bytes: int, hot_runs: int, piece: int) -> DataFrame:
+    """(anchor, body, spans) of runs (anchor, body, weight, run_text) whose anchors have too many different ones for one shard.
+
+    Pieces meet by anchor, k and core; a piece alone with its core repeats as a whole, by its copies, or not at all. The
+    different pieces of one core go to a suffix array like the runs of other anchors. What is left are cores with more
+    different pieces than that: mostly the edges of a passage in very many documents, which differ in the few bytes that
+    lie outside of it. Of these pieces (at most two an edge) the single windows are compared.
+    """
+    hot_runs_sorted = stored(runs_of_hot.select("anchor", "body", "weight", "run_text"))
+    ordered = hot_runs_sorted.repartition("anchor", "body").sortWithinPartitions("anchor", "body")
+    kinds = ", ".join(f"{c} long" for c in ("anchor", "body", "weight", "at", "n", "k", "distance", "c1", "c2", "t1", "t2"))
+    pieces = stored(ordered.mapInArrow(_pieces(window, gram, piece), kinds).selectExpr(
+        "anchor", "body", "weight", "at", "n", "xxhash64(anchor, k, c1, c2) as grp", "xxhash64(distance, n, t1, t2) as piece"))
+    folded = pieces.groupBy("grp", "piece").agg(F.sum("weight").alias("weight"), F.min(F.struct("anchor", "body", "at", "n")).alias("one"))
+    folded = stored(folded.select("grp", "piece", "weight", "one.*"))
+    sized = stored(folded.join(folded.groupBy("grp").agg(F.count("*").alias("different")), "grp"))
+    alone = sized.where("different = 1 and weight > 1").selectExpr("grp", "piece", f"cast(array(struct(0 as `from`, n as `to`)) as {SPANS_SQL}) as spans")
+    asked = sized.where("different > 1").groupBy("anchor", "body").agg(F.collect_list(F.struct("grp", "piece", "weight", (F.col("different") > hot_runs).alias("hot"), "at", "n")).alias("asked"))
+    texts = hot_runs_sorted.select("anchor", "body", "run_text").join(asked, ["anchor", "body"]).repartition("anchor", "body").sortWithinPartitions("anchor", "body").mapInArrow(
+        _piece_cutter(window), "anchor long, body long, weight long, hot boolean, run_text binary")
+    texts = stored(texts)
+    few = texts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "body").mapInArrow(_sharded(window, shard_bytes), f"anchor long, body long, spans {SPANS_SQL}")
+    single = stored(texts.where("hot").repartition("anchor", "body").sortWithinPartitions("anchor", "body").mapInArrow(
+        _windows(window), "anchor long, body long, weight long, at int, w1 long, w2 long"))
+    # Stored, so that adaptive execution can split a window of very many pieces in the join.
+    again = stored(single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"))
+    many = single.join(again, ["w1", "w2"]).groupBy("anchor", "body").agg(
+        F.expr(f"cast(transform(array_sort(collect_list(at)), x -> struct(x as `from`, x + 1 as `to`)) as {SPANS_SQL})").alias("spans"))
+    marked = stored(alone.unionByName(few.unionByName(many).withColumnsRenamed({"anchor": "grp", "body": "piece"}).where("size(spans) > 0")))
+    met = pieces.select("anchor", "body", "at", "grp", "piece").join(marked, ["grp", "piece"])
+    return met.groupBy("anchor", "body").agg(F.expr(
+        f"cast(flatten(collect_list(transform(spans, s -> struct(int(at + s.`from`) as `from`, int(at + s.`to`) as `to`)))) as {SPANS_SQL})").alias("spans"))
+
+
+def repeat_spans(df: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS,
+                 piece: int = PIECE) -> DataFrame:
     """(h1, h2, spans): for each different text with repeats, the stretches of window starts (from, to) that occur again.
 
     h1 and h2 are xxhash64 and hash of the text (null as empty). Counts are over all rows, the same text in two rows included.
@@ -223,12 +319,7 @@ def repeat_spans(df: DataFrame, text: str = "text", window: int = WINDOW, gram:
         F.collect_list(F.struct("start", "size", "anchor", "body", "weight", ((F.col("different") > hot_runs) | (F.col("windows") > HOT_WINDOWS)).alias("hot"))).alias("asked"))
     texts = stored(docs.join(asked, ["h1", "h2"]).mapInArrow(_cutter(window), "anchor long, body long, weight long, hot boolean, run_text binary"))
     mild = texts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "body").mapInArrow(_sharded(window, shard_bytes), f"anchor long, body long, spans {SPANS_SQL}")
-    single = stored(texts.where("hot").repartition("anchor", "body").sortWithinPartitions("anchor", "body").mapInArrow(
-        _windows(window), "anchor long, body long, weight long, at int, w1 long, w2 long"))
-    # Stored, so that adaptive execution can split a window of very many runs in the join.
-    again = stored(single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"))
-    hot = single.join(again, ["w1", "w2"]).groupBy("anchor", "body").agg(
-        F.expr(f"cast(transform(array_sort(collect_list(at)), x -> struct(x as `from`, x + 1 as `to`)) as {SPANS_SQL})").alias("spans"))
+    hot = _split_spans(texts.where("hot"), window, gram, shard_bytes, hot_runs, piece)
     marked = whole.unionByName(mild).unionByName(hot).where("size(spans) > 0")
     starts = places.select("h1", "h2", "start", "anchor", "body").join(marked, ["anchor", "body"])
     return starts.select("h1", "h2", F.expr("transform(spans, s -> struct(start + s.`from` as `from`, start + s.`to` as `to`))").alias("spans")).groupBy("h1", "h2").agg(

@@ -58,11 +58,11 @@ def test_two_stage_order_equals_plain_sort():
             assert shared[i] == next((j for j in range(depth) if keys[i - 1][j] != keys[i][j]), depth)
 
 
-@pytest.mark.parametrize(("seed", "hot", "shard"), [(0, 512, 1 << 20), (1, 2, 300)])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, seed, hot, shard):
+@pytest.mark.parametrize(("seed", "hot", "shard", "piece"), [(0, 512, 1 << 20, 16), (1, 2, 300, 5), (2, 0, 300, 16), (3, 1, 1 << 20, 33)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, seed, hot, shard, piece):
     rows = made(random.Random(seed))
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_spans int").repartition(5)
-    out = rp.remove_repeats(df, window=40, gram=8, digest=True, hot_runs=hot, shard_bytes=shard)
+    out = rp.remove_repeats(df, window=40, gram=8, digest=True, hot_runs=hot, shard_bytes=shard, piece=piece)
     assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     got = sorted((tuple(r) for r in out.collect()), key=str)
     assert got == brute(rows, 40)
@@ -92,3 +92,18 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in QUERIES["op2_suffix_array_dedup"](spark, sf).collect()), key=str)
     assert got == brute(rows, 400)
+
+
+def test_a_passage_in_very_many_documents_makes_few_windows(spark, monkeypatch):
+    """All documents share a passage between different texts: its inner pieces fold, only its edges are looked at by windows."""
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(150)
+    rows = [(i, prose(60) + passage + prose(60)) for i in range(60)]
+    made_windows = []
+    stored = rp.stored
+    monkeypatch.setattr(rp, "stored", lambda df: made_windows.append(out := stored(df)) or out)
+    out = rp.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=40, gram=8, digest=True, hot_runs=4)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows, 40)
+    windows = [df.count() for df in made_windows if "w1" in df.columns and "at" in df.columns]
+    assert len(windows) == 1 and windows[0] <= 60 * 2 * 16  # of 60 * 71 that lie in the passage or cross an edge
