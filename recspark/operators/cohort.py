@@ -198,6 +198,12 @@ def vocabulary(tags: DataFrame) -> DataFrame:
     )
 
 
+def facet_labels(content_tags: DataFrame) -> DataFrame:
+    """(facet, place, label): the sorted labels of each facet. A window reads one facet's labels, never its items."""
+    labels = content_tags.select("facet", "label").distinct()
+    return labels.withColumn("place", F.expr("row_number() OVER (PARTITION BY facet ORDER BY label)")).select("facet", "place", "label")
+
+
 def serving_metrics(served: DataFrame, items: DataFrame, events: DataFrame) -> DataFrame:
     """One row of serving counters from the durable logs."""
     totals = served.agg(F.expr("count(*) AS recommends"), F.expr("count_if(strategy = 'cold') AS cold"))

@@ -213,6 +213,11 @@ def tag_vocabulary(spark, sf_dir):
     return co.vocabulary(World(spark, sf_dir).content_tags)
 
 
+@query("facet_labels", "SELECT facet, CAST(row_number() OVER (PARTITION BY facet ORDER BY label) AS INTEGER) AS place, label FROM (SELECT DISTINCT facet, label FROM ctags)")
+def facet_labels(spark, sf_dir):
+    return co.facet_labels(World(spark, sf_dir).content_tags)
+
+
 @query("serving_metrics", """
 SELECT recommends, cold, recommends - cold AS warm, (SELECT count(*) FROM served_lines) AS items_total, (SELECT count(DISTINCT request_id) FROM served_lines WHERE rank = 3) AS distractor_placed,
   (SELECT count(*) FROM events) AS ingests, round(cold / recommends, 6) AS cold_rate, round((SELECT count(*) FROM served_lines) / recommends, 6) AS avg_items,

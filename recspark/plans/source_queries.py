@@ -94,10 +94,11 @@ def catalogue_normalized(spark, sf_dir):
 
 
 @query("curated_items", """
-SELECT doc_id AS id, length(source || chr(10) || text) AS char_count, len(list_filter(string_split_regex(source || chr(10) || text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS word_count, CASE WHEN lang = 'de' THEN '' ELSE lang END AS creator
+SELECT doc_id AS id, length(source || chr(10) || text) AS char_count, len(list_filter(string_split_regex(source || chr(10) || text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS word_count, CASE WHEN doc_id % 3 = 0 THEN 'f' || doc_id END AS image_url, CASE WHEN lang = 'de' THEN '' ELSE lang END AS creator
 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND len(list_filter(string_split_regex(source || chr(10) || text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) >= 5
 """)
 def curated_items(spark, sf_dir):
-    items = b.table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "source AS title", "text", "IF(lang = 'de', 'unbekannt', lang) AS creator")
+    items = b.table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "source AS title", "text", "IF(lang = 'de', 'unbekannt', lang) AS creator",
+                                                             "IF(doc_id % 3 = 0, array(concat('f', doc_id), 'other'), array()) AS files_url")
     dropped = b.table(spark, sf_dir, "labels").filter("toxic = 1").selectExpr("doc_id AS id")
-    return ct.curate(items, dropped).selectExpr("id", "CAST(char_count AS BIGINT) AS char_count", "CAST(word_count AS BIGINT) AS word_count", "creator")
+    return ct.curate(items, dropped).selectExpr("id", "CAST(char_count AS BIGINT) AS char_count", "CAST(word_count AS BIGINT) AS word_count", "creator", "image_url")

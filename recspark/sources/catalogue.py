@@ -104,8 +104,11 @@ def exploded_tags(contents: DataFrame) -> DataFrame:
 
 
 def item_text_columns(items: DataFrame) -> DataFrame:
-    """Adds text_all (title, newline, text), char_count and word_count (whitespace split)."""
+    """Adds text_all (title, newline, text), char_count, word_count (whitespace split) and, with a files_url, its first as image_url."""
     both = items.selectExpr("*", r"IF(text IS NULL, title, concat(title, '\n', text)) AS text_all")
+    if "files_url" in items.columns:
+        several = items.schema["files_url"].dataType.typeName() == "array"
+        both = both.withColumn("image_url", F.expr("get(files_url, 0)" if several else "files_url"))
     return both.selectExpr(
         "*", "CAST(length(text_all) AS INT) AS char_count",
         r"size(filter(split(text_all, '(?U)\\s+'), w -> w <> '')) AS word_count",

@@ -54,9 +54,17 @@ def append_served(served: DataFrame, base: str, tenant: str = "default", batch:
 
 
 def distinct_events(log: DataFrame) -> DataFrame:
-    """One row of each delivery, however often it came; rows of old logs without a key all stay."""
-    keyed = log.filter("event_key IS NOT NULL").dropDuplicates(["tenant", "event_key"])
-    return keyed.unionByName(log.filter("event_key IS NULL"))
+    """One row of each delivery, however often it came; rows of old logs without a key all stay.
+
+    Only a 64-bit hash of each key is shuffled. Rows whose hash occurs once are not repeated; the others, repeated or met by
+    chance, are the few that are compared by their keys. Where there are few of them, no other row is shuffled.
+    """
+    marked = log.withColumn("_mark", F.expr("xxhash64(tenant, event_key)"))
+    keyed = marked.filter("event_key IS NOT NULL")
+    suspects = keyed.groupBy("_mark").agg(F.count("*").alias("n")).filter("n > 1").select("_mark")
+    once = marked.join(suspects, "_mark", "left_anti").unionByName(marked.filter("event_key IS NULL").join(suspects, "_mark", "left_semi"))
+    again = keyed.join(suspects, "_mark", "left_semi").dropDuplicates(["tenant", "event_key"])
+    return once.unionByName(again).select(*log.columns)
 
 
 def read_events(spark: SparkSession, base: str, distinct: bool = True) -> DataFrame:

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from recspark.sources import catalogue as ct
 from recspark.sources import logs
 
@@ -56,3 +58,21 @@ def test_a_busy_day_is_several_lines(spark, tmp_path):
     assert max(line.n for line in lines) < 150 and sum(line.user_id == "busy" for line in lines) >= 5
     back = ct.read_session_views(spark, str(tmp_path / "lines"))
     assert sorted((r.user_id, r.content_id, r.dwell_seconds, r.end_reason or "", r.ts) for r in back.collect()) == sorted((u, c, d, e or "", t) for u, c, d, e, t in rows)
+
+
+def test_repeated_deliveries_go_and_only_they_are_shuffled(spark, tmp_path):
+    rows = [(f"u{i % 5}", f"e{i}", datetime(2026, 6, 1) + timedelta(hours=i), f"raw {i}") for i in range(60)]
+    events = spark.createDataFrame(rows, "user_id string, event string, ts timestamp, raw string").selectExpr(
+        "*", "CAST(array() AS ARRAY<STRING>) AS impressions", "CAST(map() AS MAP<STRING, ARRAY<STRING>>) AS survey_answers")
+    logs.append_events(events, str(tmp_path), batch="one")
+    logs.append_events(events.filter("raw IN ('raw 3', 'raw 4')"), str(tmp_path), batch="two")
+    logs.append_events(events.filter("raw = 'raw 3'"), str(tmp_path), "town", batch="two")
+    log = logs.read_events(spark, str(tmp_path))
+    assert log.count() == 61 and log.filter("raw = 'raw 3'").count() == 2
+    # old rows have no key and all stay
+    old = log.withColumn("event_key", F.expr("IF(raw = 'raw 9', NULL, event_key)")).unionByName(log.filter("raw = 'raw 9'").withColumn("event_key", F.lit(None).cast("string")))
+    assert logs.distinct_events(old).filter("raw = 'raw 9'").count() == 2
+    log.collect()
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert wide and any("_mark" in line for line in wide)
