@@ -13,7 +13,9 @@ from recspark.functions import survey as sv
 from recspark.functions.ordered import top_k
 from recspark.functions.vectors import dot, unit
 from recspark.operators import signals as sg
+from recspark.config import RecConfig
 from recspark.operators.scoring import Catalogue
+from recspark.session import materialize
 
 # Built-in personas as (key, seeds, answers).
 BUILTIN_PERSONAS = [
@@ -121,6 +123,32 @@ def scenario_requests(users: DataFrame, scenarios: list[dict]) -> DataFrame:
     )
 
 
+def persona_model(personas: DataFrame, catalogue: Catalogue, likes: DataFrame, top: int = 12) -> PreviewModel:
+    """The preview model of described visitors (persona, text, answers): tags that the text names, the answers given and inferred, and likes.
+
+    A visitor's own answers win over those its text suggests.
+    """
+    vocabulary = catalogue.tags.select("key").distinct()
+    tags = match_tags(personas.select("persona", "text"), vocabulary, key="persona", top=top).selectExpr("persona AS user_id", "tag AS key", "weight AS amount")
+    answers = f"map_concat(map_filter({inferred_answers('text')}, (k, v) -> NOT map_contains_key(coalesce(answers, map()), k)), coalesce(answers, map()))"
+    return PreviewModel(personas.selectExpr("persona AS user_id", f"{answers} AS answers"), tags, likes, catalogue.vectors)
+
+
+def evaluate_personas(personas: DataFrame, scenarios: list[dict], catalogue: Catalogue, likes: DataFrame, cfg: RecConfig) -> DataFrame:
+    """(request_id, persona, scenario and the list metrics): what every persona would be shown in every scenario.
+
+    Personas without a tag, an answer or a like get the cold lists, like new visitors.
+    """
+    from recspark.operators.recommend import recommend
+
+    model = persona_model(personas, catalogue, likes)
+    requests = materialize(scenario_requests(personas.selectExpr("persona AS user_id"), scenarios))
+    recs = recommend(requests, catalogue, model, cfg)
+    shown = recs.items.selectExpr("request_id", "content_id", "role", "relevance_score")
+    told = requests.selectExpr("request_id", "user_id AS persona", "substring(request_id, length(user_id) + 2) AS scenario")
+    return told.join(recs.diagnostics.select("request_id", "strategy", "cold_start_fallback"), "request_id").join(list_metrics(shown, catalogue), "request_id", "left")
+
+
 def list_metrics(items: DataFrame, catalogue: Catalogue, key: str = "request_id") -> DataFrame:
     """Per list: size, targets, mean target score, distinct tags, distractor flag, diversity."""
     base = items.groupBy(key).agg(

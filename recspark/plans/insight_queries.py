@@ -14,6 +14,7 @@ from recspark.operators import evaluation as ev
 from recspark.operators import persona as pe
 from recspark.operators import search as sr
 from recspark.operators import sessions as se
+from recspark.operators import signals as sg
 from recspark.operators import taxonomy as tx
 from recspark.plans import bindings as b
 from recspark.plans.oracle import CTES, cte
@@ -329,6 +330,35 @@ def cluster_features(spark, sf_dir):
     return cl.feature_points(InsightWorld(spark, sf_dir).points, min_freq=3, max_features=20).selectExpr("user_id", "key", *r6("weight"))
 
 
+@query("preview_models", """
+SELECT 'affinity' AS kind, user_id, key, round(total / max(total) OVER (PARTITION BY user_id), 6) AS weight FROM (
+  SELECT user_id, lower(key) AS key, sum(CAST(amount AS DOUBLE)) AS total FROM (
+    SELECT * FROM survey_tags UNION ALL SELECT DISTINCT user_id, 'theme_what:label_' || (uid % 10), 2.0 FROM iev) GROUP BY 1, 2)
+UNION ALL SELECT 'taste', user_id, CAST(i AS VARCHAR), round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id)), 6) + 0.0 FROM (
+  SELECT user_id, i, sum(x) AS x FROM (SELECT user_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pos_items JOIN vec USING (content_id)) GROUP BY 1, 2)
+UNION ALL SELECT 'seen', user_id, content_id, 1.0 FROM pos_items
+""")
+def preview_models(spark, sf_dir):
+    """Models of described instead of observed visitors: answers, named tags and liked items."""
+    w = InsightWorld(spark, sf_dir)
+    given = sg.survey_events(w.events).selectExpr("user_id", "survey_answers AS answers")
+    tags = w.events.select("user_id").distinct().selectExpr("user_id", "concat('theme_what:label_', CAST(user_id AS BIGINT) % 10) AS key", "2D AS amount")
+    model = ev.PreviewModel(given, tags, w.model.positives.select("user_id", "content_id"), w.vectors)
+    taste = model.taste.selectExpr("'taste' AS kind", "user_id", "posexplode(taste) AS (i, weight)").selectExpr("kind", "user_id", "CAST(i + 1 AS STRING) AS key", "weight")
+    rows = model.tag_affinity.selectExpr("'affinity' AS kind", "user_id", "key", "weight").unionByName(taste).unionByName(model.seen.selectExpr("'seen' AS kind", "user_id", "content_id AS key", "1D AS weight"))
+    return rows.selectExpr("kind", "user_id", "key", *r6("weight"))
+
+
+@query("persona_evaluation")
+def persona_evaluation(spark, sf_dir):
+    """What described visitors are shown over the catalogue: openly, near a place and at a location tag."""
+    w = InsightWorld(spark, sf_dir)
+    scenarios = [{"name": "open"}, {"name": "near", "near_lat": 52.7505, "near_lon": 9.9, "geo_radius_m": 400}, {"name": "barrack", "filter": "AiARLocationBarrack0"}]
+    likes = w.contents.limit(0).selectExpr("'x' AS user_id", "content_id")
+    found = ev.evaluate_personas(ev.builtin_personas(spark), scenarios, w.catalogue, likes, CFG)
+    return found.selectExpr("persona", "scenario", "strategy", "n_items", "n_targets", "distinct_tags", "distractor_present", *r6("avg_target_score", "intra_list_diversity"))
+
+
 @query("fuzzy_cluster_model")
 def fuzzy_cluster_model(spark, sf_dir):
     points = InsightWorld(spark, sf_dir).points
