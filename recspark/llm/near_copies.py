@@ -30,6 +30,9 @@ PIVOTS = 4
 PIVOT_GROWTH = 8
 # Most rows (node, block) that are broadcast to find the texts to verify; beyond, they are joined by a shuffle.
 BROADCAST_NODES = 1 << 20
+# Bytes of a batch of sets on their way to Python.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = str(4 << 20)
 # Shingles of the sets in a block of the verification (about; 4 MB).
 BLOCK_SHINGLES = 1 << 19
 MOST_SEEN = 1 << 20
@@ -168,7 +171,15 @@ def _verified(texts: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFram
     sent = sets.selectExpr("cell", "i", "j", "0 as kind", "node as a", "cast(null as bigint) as b", "shingles")
     asked = dealt.selectExpr("cell", "i", "j", "1 as kind", "a", "b", "cast(null as array<bigint>) as shingles")
     block = ["cell", "i", "j"]
-    return stored(sent.unionByName(asked).repartition(*block).sortWithinPartitions(*block, "kind").mapInArrow(_overlaps, "a long, b long"))
+    checked = sent.unionByName(asked).repartition(*block).sortWithinPartitions(*block, "kind").mapInArrow(_overlaps, "a long, b long")
+    # Rows here are whole sets; small batches keep two copies of one, in the JVM and in Python, small.
+    conf = texts.sparkSession.conf
+    usual = conf.get(BATCH_SETTING)
+    conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        return stored(checked)
+    finally:
+        conf.set(BATCH_SETTING, usual)
 
 
 # Sizes that can reach 4/5, and enough shingles from the first common one on.
