@@ -19,7 +19,7 @@ from recspark.operators import taxonomy as tx
 from recspark.plans import bindings as b
 from recspark.plans.oracle import CTES, cte
 from recspark.plans.recommend_queries import RecWorld
-from recspark.plans.registry import query, r6
+from recspark.plans.registry import ORACLES, query, r6
 from recspark.plans.signal_queries import CFG, World
 from recspark.session import materialize
 
@@ -436,6 +436,12 @@ def facet_assignment(spark, sf_dir):
     return tx.assign_facets(tags, tx.tag_index(mains.unionByName(subs))).select("tag", "facet", "source", "rollup", "n")
 
 
+@query("taxonomy_audit", f"SELECT source, facet, count(*) AS tags FROM ({ORACLES['facet_assignment']}) GROUP BY source, facet")
+def taxonomy_audit(spark, sf_dir):
+    """How much of the tag vocabulary each rule classified."""
+    return tx.audit(facet_assignment(spark, sf_dir))
+
+
 @query("matched_tags", r"""
 WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
 cnt AS (SELECT doc_id, t, count(*) AS n FROM toks WHERE length(t) > 2 GROUP BY 1, 2),

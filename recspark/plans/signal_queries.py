@@ -12,6 +12,7 @@ from recspark.config import RecConfig
 from recspark.functions import survey as sv
 from recspark.operators import signals as sg
 from recspark.plans import bindings as b
+from recspark.plans.oracle import cte
 from recspark.plans.registry import query, r6
 
 CFG = RecConfig()
@@ -197,7 +198,7 @@ def survey_profile(spark, sf_dir):
                            "concat_ws('|', labels) AS label", "score")
 
 
-@query("canonical_demographics", """
+cte("canon_demo", """
 SELECT field, value, count(*) AS visitors FROM (
   SELECT 'age' AS field, age AS value FROM demo WHERE age IS NOT NULL
   UNION ALL SELECT 'gender', CASE gender WHEN 'Nonbinary' THEN 'non_binary' WHEN 'Vrouw.' THEN 'female' ELSE gender END FROM demo WHERE gender IS NOT NULL
@@ -206,6 +207,19 @@ SELECT field, value, count(*) AS visitors FROM (
   UNION ALL SELECT 'personal_connection', CASE personal_connection WHEN 'nee' THEN 'no' WHEN 'Ik weet het niet' THEN 'unknown' ELSE personal_connection END FROM demo WHERE personal_connection IS NOT NULL
   UNION ALL SELECT 'email_shared', email_shared FROM demo WHERE email_shared IS NOT NULL) GROUP BY field, value
 """)
+
+
+@query("canonical_demographics", "SELECT field, value, visitors FROM canon_demo")
 def canonical_demographics(spark, sf_dir):
     long = sg.demographic_values(World(spark, sf_dir).model.demographics)
     return long.groupBy("field", "value").agg(F.count("*").alias("visitors"))
+
+
+@query("demographic_labels", """
+SELECT field, value, visitors, CASE WHEN field = 'age' AND starts_with(value, 'under_') THEN '<' || regexp_replace(value, '[^0-9]', '', 'g')
+  WHEN field = 'age' THEN replace(replace(value, '_plus', '+'), '_', '–')
+  ELSE array_to_string(list_transform(string_split(trim(replace(value, '_', ' ')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS label FROM canon_demo
+""")
+def demographic_labels(spark, sf_dir):
+    """The canonical demographic values as they are shown."""
+    return canonical_demographics(spark, sf_dir).withColumn("label", F.expr(sv.demo_label("field", "value")))
