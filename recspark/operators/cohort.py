@@ -228,6 +228,24 @@ def served_counts(served: DataFrame) -> DataFrame:
     )
 
 
+def _as_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(user_id, name): a map of each visitor's few keys; rows have one value for a key."""
+    return rows.groupBy("user_id").agg(F.expr(f"map_from_entries(array_sort(collect_list(struct({key}, {value})))) AS {name}"))
+
+
+def visitor_profiles(model, served: DataFrame, segments: DataFrame, scores: DataFrame, values: DataFrame) -> DataFrame:
+    """`visitors_table` with its segment, feedback (question -> score) and demographics (field -> canonical value).
+
+    scores: user_id, question, score; values: user_id, field, value. Questions and fields are a fixed few, so the maps are
+    small. A visitor known from a segment, an answer or the external provider only has a row too.
+    """
+    rows = visitors_table(model, served, segments)
+    rows = rows.join(_as_map(scores, "question", "score", "feedback"), "user_id", "left")
+    return rows.join(_as_map(values, "field", "value", "demographics"), "user_id", "full_outer").withColumns({
+        "cold": F.expr("coalesce(cold, true)"), "anonymous": F.expr("coalesce(anonymous, true)"),
+        **{c: F.expr(f"coalesce({c}, 0)") for c in ("n_views", "n_interactions", "n_served", "n_liked", "n_seen")}})
+
+
 def visitors_table(model, served: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """One row per known visitor: activity, likes, serves, segment, anonymity."""
     activity = model.events.groupBy("user_id").agg(

@@ -229,13 +229,16 @@ def serving_metrics(spark, sf_dir):
     return m.selectExpr("recommends", "cold", "warm", "items_total", "distractor_placed", "ingests", *r6("cold_rate", "avg_items", "distractor_rate"))
 
 
-@query("visitors_table", """
+cte("visitor_rows", """
 SELECT coalesce(a.user_id, s.user_id) AS user_id, NOT coalesce(answered, false) AS anonymous, coalesce(n_views, 0) AS n_views, coalesce(n_interactions, 0) AS n_interactions,
   coalesce(n_served, 0) AS n_served, epoch_us(coalesce(last_ts, served_last)) AS last_us, coalesce(n_liked, 0) AS n_liked, coalesce(n_seen, 0) AS n_seen, coalesce(n_liked, 0) = 0 AS cold
 FROM (SELECT user_id, count(*) AS n_interactions, max(ts) AS last_ts, bool_or(event IN ('IDENTIFY', 'SURVEY_SUBMITTED') OR rating IS NOT NULL) AS answered FROM iev GROUP BY user_id) a
 LEFT JOIN (SELECT user_id, CAST(sum(visits) AS BIGINT) AS n_views, count(*) AS n_seen, count(*) FILTER (outcome = 'positive') AS n_liked FROM scored_views GROUP BY user_id) v ON v.user_id = a.user_id
 FULL OUTER JOIN (SELECT CAST(o_custkey AS VARCHAR) AS user_id, count(*) AS n_served, max(o_orderdate) AS served_last FROM orders GROUP BY 1) s ON s.user_id = a.user_id
 """)
+
+
+@query("visitors_table", "SELECT * FROM visitor_rows")
 def visitors_table(spark, sf_dir):
     w = World(spark, sf_dir)
     rows = co.visitors_table(w.model, b.served(spark, sf_dir))

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from recspark.functions import survey as sv
 from recspark.functions.text_vectors import text_vectors
 from recspark.functions.vectors import cosine
 from recspark.operators import clusters as cl
@@ -17,6 +18,7 @@ from recspark.operators import sessions as se
 from recspark.operators import signals as sg
 from recspark.operators import taxonomy as tx
 from recspark.plans import bindings as b
+from recspark.plans import cohort_queries  # noqa: F401  twins here use its sub-queries
 from recspark.plans.oracle import CTES, cte
 from recspark.plans.recommend_queries import RecWorld
 from recspark.plans.registry import ORACLES, query, r6
@@ -212,6 +214,23 @@ def cluster_preferences(spark, sf_dir):
     return rows.selectExpr("cluster", "kind", "rank", "id", "label", *r6("amount"))
 
 
+@query("visitor_profiles", """
+SELECT coalesce(v.user_id, d.user_id) AS user_id, coalesce(anonymous, true) AS anonymous, coalesce(n_views, 0) AS n_views, coalesce(n_served, 0) AS n_served, coalesce(n_liked, 0) AS n_liked, coalesce(cold, true) AS cold, segment, feedback, demographics
+FROM (SELECT coalesce(t.user_id, g.user_id) AS user_id, anonymous, n_views, n_served, n_liked, cold, segment FROM visitor_rows t
+  FULL OUTER JOIN (SELECT user_id, 'Cluster ' || cluster AS segment FROM label4) g ON g.user_id = t.user_id) v
+LEFT JOIN (SELECT user_id, string_agg(question || '=' || score, ';' ORDER BY question) AS feedback FROM fb GROUP BY user_id) f ON f.user_id = v.user_id
+FULL OUTER JOIN (SELECT user_id, string_agg(field || '=' || value, ';' ORDER BY field) AS demographics FROM canon_rows GROUP BY user_id) d ON d.user_id = v.user_id
+""")
+def visitor_profiles(spark, sf_dir):
+    """Every known visitor with cluster, feedback and demographics."""
+    w = InsightWorld(spark, sf_dir, stored=True)
+    points = w.points
+    segments = cl.assign(points, cl.centroids_of_users(points, _starts(points)), 4).selectExpr("user_id", "concat('Cluster ', cluster) AS segment")
+    rows = co.visitor_profiles(w.model, b.served(spark, sf_dir), segments, sv.feedback_scores(w.events), sg.demographic_values(w.model.demographics))
+    text = "array_join(transform(map_entries({0}), e -> concat(e.key, '=', e.value)), ';') AS {0}"
+    return rows.selectExpr("user_id", "anonymous", "n_views", "n_served", "n_liked", "cold", "segment", text.format("feedback"), text.format("demographics"))
+
+
 @query("cluster_model")
 def cluster_model(spark, sf_dir):
     points = InsightWorld(spark, sf_dir).points

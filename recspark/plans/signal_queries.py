@@ -198,15 +198,15 @@ def survey_profile(spark, sf_dir):
                            "concat_ws('|', labels) AS label", "score")
 
 
-cte("canon_demo", """
-SELECT field, value, count(*) AS visitors FROM (
-  SELECT 'age' AS field, age AS value FROM demo WHERE age IS NOT NULL
-  UNION ALL SELECT 'gender', CASE gender WHEN 'Nonbinary' THEN 'non_binary' WHEN 'Vrouw.' THEN 'female' ELSE gender END FROM demo WHERE gender IS NOT NULL
-  UNION ALL SELECT 'nationality', CASE nationality WHEN 'germany' THEN 'german' WHEN 'Poolse' THEN 'polish' WHEN 'new zealand' THEN 'new_zealander' ELSE lower(nationality) END FROM demo WHERE nationality IS NOT NULL
-  UNION ALL SELECT 'province', lower(replace(province, '-', '_')) FROM demo WHERE province IS NOT NULL
-  UNION ALL SELECT 'personal_connection', CASE personal_connection WHEN 'nee' THEN 'no' WHEN 'Ik weet het niet' THEN 'unknown' ELSE personal_connection END FROM demo WHERE personal_connection IS NOT NULL
-  UNION ALL SELECT 'email_shared', email_shared FROM demo WHERE email_shared IS NOT NULL) GROUP BY field, value
+cte("canon_rows", """
+SELECT user_id, 'age' AS field, age AS value FROM demo WHERE age IS NOT NULL
+  UNION ALL SELECT user_id, 'gender', CASE gender WHEN 'Nonbinary' THEN 'non_binary' WHEN 'Vrouw.' THEN 'female' ELSE gender END FROM demo WHERE gender IS NOT NULL
+  UNION ALL SELECT user_id, 'nationality', CASE nationality WHEN 'germany' THEN 'german' WHEN 'Poolse' THEN 'polish' WHEN 'new zealand' THEN 'new_zealander' ELSE lower(nationality) END FROM demo WHERE nationality IS NOT NULL
+  UNION ALL SELECT user_id, 'province', lower(replace(province, '-', '_')) FROM demo WHERE province IS NOT NULL
+  UNION ALL SELECT user_id, 'personal_connection', CASE personal_connection WHEN 'nee' THEN 'no' WHEN 'Ik weet het niet' THEN 'unknown' ELSE personal_connection END FROM demo WHERE personal_connection IS NOT NULL
+  UNION ALL SELECT user_id, 'email_shared', email_shared FROM demo WHERE email_shared IS NOT NULL
 """)
+cte("canon_demo", "SELECT field, value, count(*) AS visitors FROM canon_rows GROUP BY field, value")
 
 
 @query("canonical_demographics", "SELECT field, value, visitors FROM canon_demo")
