@@ -102,11 +102,13 @@ def _best_overlaps(sets: DataFrame, profile: DataFrame, frequent: int, most: int
     """
     carried = profile.groupBy("profile").agg(F.expr("any_value(keys) AS keys")).selectExpr("profile", "explode(keys) AS nkey")
     wanted = sets.selectExpr("keyset", "explode(keys) AS nkey")
-    often = materialize(carried.groupBy("nkey").agg(F.expr("count(*) AS n")).filter(F.col("n") > frequent).select("nkey"))
+    often = carried.groupBy("nkey").agg(F.expr("count(*) AS n")).filter(F.col("n") > frequent).select("nkey")
     if often.isEmpty():
-        shared = _overlaps(wanted, carried, "keyset", "profile").withColumnRenamed("shared", "base_score")
-        found = shared.join(sets.select("keyset", "need"), "keyset").join(_members(profile, "profile", most), "profile").filter("place <= need")
-        return _ranked(found.selectExpr("keyset", "content_id", "CAST(base_score AS DOUBLE) AS base_score", "need"), "keyset", most).drop("need")
+        found = _overlaps(wanted, carried, "keyset", "profile").join(_members(profile, "profile", most), "profile").withColumn("base_score", F.expr("CAST(shared AS DOUBLE)"))
+        if most is None:
+            found = found.join(sets.select("keyset", "need"), "keyset").filter("place <= need")
+        return _ranked(found, "keyset", most).select("keyset", "content_id", "base_score")
+    often = materialize(often)
 
     def part(rows: DataFrame, key: str, name: str) -> DataFrame:
         """Each set with the id and the keys of its frequent part."""
