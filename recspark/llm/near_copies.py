@@ -151,18 +151,25 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(texts: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b, sa, sb: a < b and the sizes of their sets) whose sets are at 4/5 or more.
 
-    A set is sent once to each block that has a pair of it, never once for each pair. Pairs whose smaller end has the
-    same smallest neighbour make a cell, so a group of copies is one cell; a cell whose sets are more than a
-    block holds is cut into rows and columns of blocks. Of all texts with the same set one is read, and only those of
+    A set is sent once to each block that has a pair of it, never once for each pair. Pairs whose end with more partners
+    has the same smallest neighbour make a cell, so a group of copies is one cell. A cell is cut into rows by the sets on that
+    side and into columns by those on the other, as many as blocks of bounded size need: sets compared with a few go to one. Of all texts with the same set one is read, and only those of
     sets that stand in a pair are cut into shingles at all.
     """
     pairs = stored(pairs)
     ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = ways.groupBy("a").agg(F.min("b").alias("cell")).selectExpr("a", "least(a, cell) as cell")
-    placed = stored(pairs.join(hubs, "a"))
-    members = placed.selectExpr("cell", "inline(array(struct(a as node, sa as size), struct(b as node, sb as size)))").distinct()
-    cuts = members.groupBy("cell").agg(F.expr(f"ceil(sum(size) / {BLOCK_SHINGLES})").alias("cuts"))
-    dealt = stored(placed.join(cuts, "cell").selectExpr("cell", "pmod(xxhash64(a), cuts) as i", "pmod(xxhash64(b), cuts) as j", "a", "b"))
+    hubs = stored(ways.groupBy("a").agg(F.min("b").alias("cell"), F.count("*").alias("degree")).selectExpr("a as node", "least(a, cell) as cell", "degree"))
+    met = pairs.join(hubs.selectExpr("node as a", "cell as cell_a", "degree as degree_a"), "a").join(hubs.selectExpr("node as b", "cell as cell_b", "degree as degree_b"), "b")
+    # x is the end with more partners: the few sets that many are compared with stand on one side.
+    first = "degree_a >= degree_b"
+    placed = stored(met.selectExpr("a", "b", f"if({first}, a, b) as x", f"if({first}, b, a) as y", f"if({first}, sa, sb) as sx", f"if({first}, sb, sa) as sy", f"if({first}, cell_a, cell_b) as cell"))
+
+    def cuts(end: str, name: str) -> DataFrame:
+        sides = placed.selectExpr("cell", f"{end} as node", f"s{end} as size").distinct()
+        return sides.groupBy("cell").agg(F.expr(f"ceil(sum(size) / {BLOCK_SHINGLES})").alias(name))
+
+    sized = placed.join(cuts("x", "rows"), "cell").join(cuts("y", "columns"), "cell")
+    dealt = stored(sized.selectExpr("cell", "pmod(xxhash64(x), rows) as i", "pmod(xxhash64(y), columns) as j", "a", "b"))
     needs = stored(dealt.selectExpr("cell", "i", "j", "explode(array(a, b)) as node").distinct())
     few = needs.count() <= BROADCAST_NODES
     one = marked.join(needs.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("same").alias("same")).select("same")
