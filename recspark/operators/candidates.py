@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recspark.config import RecConfig
@@ -52,18 +52,19 @@ def tag_recall(affinity: DataFrame, tags_nkey: DataFrame, cfg: RecConfig, seen:
     top k (same overlap, ties by id); a tag carried by a third of the catalogue therefore
     costs one row per tag set, not one per item. With ``seen``, seen items leave before the
     cut: k more rows than the most that a user of the key set has seen are then enough. What
-    frequent tags cost is bounded too (`_best_overlaps`).
+    frequent tags cost is bounded too (`_best_overlaps`), and tag sets give only the items that can be
+    among those rows (`_reach`).
     """
     k = cfg.pool_per_generator
     keyset = materialize(
         top_keys(affinity, cfg.tag_keys_per_user)
         .groupBy("user_id")
         .agg(F.expr("array_sort(collect_list(nkey)) AS keys"))
-        .selectExpr("user_id", "keys", "sha2(concat_ws('\\n', keys), 256) AS keyset")
-    )
-    profile = tags_nkey.groupBy("content_id").agg(F.expr("array_sort(collect_set(nkey)) AS keys")).selectExpr(
-        "content_id", "keys", "sha2(concat_ws('\\n', keys), 256) AS profile"
+        .selectExpr("user_id", "keys", "unhex(md5(concat_ws('\\n', keys))) AS keyset")
     )
+    profile = materialize(tags_nkey.groupBy("content_id").agg(F.expr("array_sort(collect_set(nkey)) AS keys")).selectExpr(
+        "content_id", "keys", "unhex(md5(concat_ws('\\n', keys))) AS profile"
+    ))
     if seen is not None:
         return _unseen_tag_recall(keyset, profile, seen, k, frequent)
     sets = keyset.groupBy("keyset").agg(F.expr("any_value(keys) AS keys")).withColumn("need", F.lit(k))
@@ -85,6 +86,28 @@ def _ranked(found: DataFrame, group: str, most: int | None) -> DataFrame:
     return ranked.filter("_rank <= need").drop("_rank")
 
 
+def _reach(met: DataFrame, profile: DataFrame, one: str, group: str, most: int | None) -> DataFrame:
+    """(one, content_id, base_score, need): the items of the sets met that can be among the `need` first of `one`.
+
+    met: one, group, base_score (whole numbers), need; profile: group, content_id. Sets are taken by their score, then their
+    lowest id. All items of sets with a higher score come before an item, and the lowest ids of the sets before its own with the
+    same score, and the items of its own set with lower ids; where these are `need` already, it is not read.
+    """
+    heads = profile.groupBy(group).agg(F.expr("min(struct(content_id)) AS head"), F.expr("count(*) AS n_items"))
+    order = [F.col("base_score").desc(), F.col("head")]
+    sets = met.join(heads, group)
+    if most is not None:
+        sets = top_k(sets, [one], order, most)
+    else:
+        sets = sets.withColumn("_rank", F.row_number().over(Window.partitionBy(one).orderBy(*order))).filter("_rank <= need").drop("_rank")
+    sets = sets.selectExpr(
+        one, group, "base_score", "need",
+        f"coalesce(sum(n_items) OVER (PARTITION BY {one} ORDER BY CAST(-base_score AS BIGINT) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS above",
+        f"row_number() OVER (PARTITION BY {one}, base_score ORDER BY head) AS turn",
+    ).selectExpr(one, group, "base_score", "need", "need - above - turn + 1 AS slots").filter("slots > 0")
+    return sets.join(_members(profile, group, most), group).filter("place <= slots").select(one, "content_id", "base_score", "need")
+
+
 def _members(profile: DataFrame, group: str, most: int | None) -> DataFrame:
     """(group, content_id, place): items of a set from the lowest id on."""
     if most is not None:
@@ -104,29 +127,28 @@ def _best_overlaps(sets: DataFrame, profile: DataFrame, frequent: int, most: int
     wanted = sets.selectExpr("keyset", "explode(keys) AS nkey")
     often = carried.groupBy("nkey").agg(F.expr("count(*) AS n")).filter(F.col("n") > frequent).select("nkey")
     if often.isEmpty():
-        found = _overlaps(wanted, carried, "keyset", "profile").join(_members(profile, "profile", most), "profile").withColumn("base_score", F.expr("CAST(shared AS DOUBLE)"))
-        if most is None:
-            found = found.join(sets.select("keyset", "need"), "keyset").filter("place <= need")
+        met = _overlaps(wanted, carried, "keyset", "profile").selectExpr("keyset", "profile", "CAST(shared AS DOUBLE) AS base_score")
+        found = _reach(met.join(sets.select("keyset", "need"), "keyset"), profile, "keyset", "profile", most)
         return _ranked(found, "keyset", most).select("keyset", "content_id", "base_score")
     often = materialize(often)
 
     def part(rows: DataFrame, key: str, name: str) -> DataFrame:
         """Each set with the id and the keys of its frequent part."""
         held = rows.join(often, "nkey").groupBy(key).agg(F.expr("array_sort(collect_list(nkey)) AS keys"))
-        return materialize(held.selectExpr(key, f"keys AS {name}_keys", f"sha2(concat_ws('\\n', keys), 256) AS {name}"))
+        return materialize(held.selectExpr(key, f"keys AS {name}_keys", f"unhex(md5(concat_ws('\\n', keys))) AS {name}"))
 
     asked, offered = part(wanted, "keyset", "ask"), part(carried, "profile", "offer")
     none = "CAST(array() AS ARRAY<STRING>)"
     rare = _overlaps(wanted.join(often, "nkey", "left_anti"), carried.join(often, "nkey", "left_anti"), "keyset", "profile")
     full = rare.join(asked, "keyset", "left").join(offered, "profile", "left").selectExpr(
         "keyset", "profile", f"CAST(shared + size(array_intersect(coalesce(ask_keys, {none}), coalesce(offer_keys, {none}))) AS DOUBLE) AS base_score")
-    by_rare = full.join(sets.select("keyset", "need"), "keyset").join(_members(profile, "profile", most), "profile").filter("place <= need")
+    by_rare = _reach(full.join(sets.select("keyset", "need"), "keyset"), profile, "keyset", "profile", most)
     needs = asked.join(sets, "keyset").groupBy("ask").agg(F.expr("max(need) AS need"))
     ask_keys = asked.groupBy("ask").agg(F.expr("any_value(ask_keys) AS keys")).selectExpr("ask", "explode(keys) AS nkey")
     offer_keys = offered.groupBy("offer").agg(F.expr("any_value(offer_keys) AS keys")).selectExpr("offer", "explode(keys) AS nkey")
-    members = _members(profile.join(offered.select("profile", "offer"), "profile"), "offer", most)
-    met = _overlaps(ask_keys, offer_keys, "ask", "offer").join(needs, "ask").join(members, "offer").filter("place <= need")
-    common = _ranked(met.selectExpr("ask", "content_id", "CAST(shared AS DOUBLE) AS base_score", "need"), "ask", most).drop("need")
+    members = profile.join(offered.select("profile", "offer"), "profile").select("offer", "content_id")
+    met = _overlaps(ask_keys, offer_keys, "ask", "offer").join(needs, "ask").selectExpr("ask", "offer", "CAST(shared AS DOUBLE) AS base_score", "need")
+    common = _ranked(_reach(met, members, "ask", "offer", most), "ask", most).drop("need")
     by_often = common.join(asked.select("keyset", "ask"), "ask").join(sets.select("keyset", "need"), "keyset")
     columns = ["keyset", "content_id", "base_score", "need"]
     both = by_rare.select(*columns).unionByName(by_often.select(*columns)).groupBy("keyset", "content_id", "need").agg(F.expr("max(base_score) AS base_score"))
