@@ -65,8 +65,9 @@ def interests(weights: DataFrame, items: DataFrame, tags: DataFrame, top: int =
     """(user_id, rank, facet, label, weight, evidence): strongest keys with the items behind them."""
     best = top_k(weights.select("user_id", "key", "weight"), ["user_id"], [F.expr("round(weight, 9)").desc(), F.col("key")], top, rank="rank")
     keys = tags.selectExpr("content_id", "lower(key) AS key").distinct()
-    proof = best.select("user_id", "key").join(keys, "key").join(
-        items.selectExpr("user_id", "content_id", "weight AS item_weight"), ["user_id", "content_id"]
+    # From the visitor's items to their keys: a key alone leads to every item that carries it.
+    proof = items.selectExpr("user_id", "content_id", "weight AS item_weight").join(keys, "content_id").join(
+        best.select("user_id", "key"), ["user_id", "key"]
     )
     proof = top_k(proof, ["user_id", "key"], [F.expr("round(item_weight, 9)").desc(), F.col("content_id")], evidence, rank="at")
     lists = proof.groupBy("user_id", "key").agg(F.expr("transform(array_sort(collect_list(struct(at, content_id))), x -> x.content_id) AS evidence"))
