@@ -76,3 +76,24 @@ def test_one_id_with_two_texts_and_repeated_rows(spark):
     got = sorted((tuple(r) for r in out.collect()), key=str)
     assert got == sorted([rows[0], rows[1], rows[5], rows[7], rows[8]], key=str)
     assert sorted(r.score for r in cp.language(spark, docs, "").collect())[:2] == [0.25, 0.5]
+
+
+def test_a_copy_that_left_with_its_pivot_still_links_others(spark):
+    """y is near the first texts and z is near y only, but all their common shingles are full and y leaves them first."""
+    base = [f"w{i}" for i in range(120)]
+    first = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(6)]
+    y, z = (" ".join(base[:n] + [f"{n}x{i}" for i in range(7)]) for n in (106, 99))
+    rows = [*first, (50, y), (51, z)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    marked = nc.stored(nc.marks(docs))
+    node = {r.doc_id: r.node for r in marked.collect()}
+    sets = {node[k]: shingles(t) for k, t in rows}
+    pairs = {(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])}
+    assert [p for p in pairs if node[51] in p] == [tuple(sorted((node[50], node[51])))]
+    got = {(r.a, r.b) for r in nc.similar(docs, marked, 3).collect()}
+    assert got <= pairs
+    root = {a: a for a in sets}
+    for _ in sets:
+        for a, b in got:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(set(root.values())) == 1
