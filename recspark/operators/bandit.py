@@ -162,7 +162,8 @@ def linear_score(theta: str) -> str:
 
 def evaluate(samples: DataFrame, cfg: RecConfig, session: str, every: int = 5) -> DataFrame:
     """Holdout AUC and correlation of the prior and of the policy trained on the rest."""
-    split = materialize(split_sessions(samples, session, every))
+    # What a sample is judged by, and nothing else, goes through the shuffles and to the folder.
+    split = materialize(split_sessions(samples.select(session, "features", "reward"), session, every).select("features", "reward", "holdout"))
     trained = policy(train(split.filter("NOT holdout"), cfg)).select("theta").scalar()
     prior = "array(" + ", ".join(f"{cfg.fusion.of(f)}D" for f in FEATURES) + ")"
     held = materialize(split.filter("holdout").withColumn("theta", trained).selectExpr(

@@ -114,3 +114,12 @@ def test_survey_merge_prefers_plain_keys(spark):
     got = {r.base: (r.section, r.labels, r.score) for r in survey.split_answers(df).collect()}
     assert got == {"interest": ("feedback", ["Agree"], 4), "memorable": ("feedback", ["the end"], None)}
     assert F is not None
+
+
+def test_evaluation_stores_no_columns_it_does_not_read(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(bd, "materialize", lambda df: kept.append(set(df.columns)) or df)
+    rows = [(f"s{i}", f"wide {i}", [float(i % 5 == j) for j in range(6)], i % 3 - 1.0) for i in range(40)]
+    samples = spark.createDataFrame(rows, "session string, request_id string, features array<double>, reward double")
+    assert bd.evaluate(samples, RecConfig(), "session").first().samples == 8
+    assert kept[0] == {"features", "reward", "holdout"}
