@@ -40,10 +40,10 @@ def _carry(df: DataFrame, keys: list[str], summary: Column, forward: bool) -> Da
 
 
 def neighbour(df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, name: str,
-              forward: bool = False, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """``lag`` (or ``lead`` when forward) of ``value`` in (ts, tie) order per key."""
+              forward: bool = False, block_seconds: int = BLOCK_SECONDS, block: str | None = None) -> DataFrame:
+    """``lag`` (or ``lead`` when forward) of ``value`` in (ts, tie) order per key; ``block`` as for `running`."""
     order = [F.col(ts), F.col(tie)]
-    marked = df.withColumn("_block", _block(ts, block_seconds)).withColumn("_value", F.struct(value.alias("v")))
+    marked = df.withColumn("_block", _block(ts, block_seconds) if block is None else F.col(block)).withColumn("_value", F.struct(value.alias("v")))
     picker = F.min_by if forward else F.max_by
     carry = _carry(marked, keys, picker("_value", F.struct(*order)), forward=not forward)
     w = Window.partitionBy(*keys, "_block").orderBy(*order)
@@ -160,15 +160,16 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], ts: str,
 
 
 def running(df: DataFrame, keys: list[str], ts: str, tie: str, aggs: dict[str, str], inclusive: bool = False,
-            block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+            block_seconds: int = BLOCK_SECONDS, block: str | None = None) -> DataFrame:
     """Several running aggregates at once: ``aggs`` maps an output name to ``sum(expr)`` or
     ``max(expr)``, taken over the rows before (and with ``inclusive`` up to) each row per key.
-    Null where no row counts. Block-wise like the functions above."""
+    Null where no row counts. Block-wise like the functions above; ``block`` names a column of blocks that grow with
+    (ts, tie), for keys whose rows lie so far apart that blocks of time would hold one row each."""
     columns = df.columns
     merge = {n: a[:3].lower() for n, a in aggs.items()}
     over_blocks = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     inside = f"OVER (PARTITION BY {', '.join([*keys, '_block'])} ORDER BY {ts}, {tie} ROWS BETWEEN UNBOUNDED PRECEDING AND {'CURRENT ROW' if inclusive else '1 PRECEDING'})"
-    marked = df.withColumn("_block", _block(ts, block_seconds))
+    marked = df.withColumn("_block", _block(ts, block_seconds) if block is None else F.col(block))
     carry = marked.groupBy(*keys, "_block").agg(*[F.expr(f"{a} AS _s_{n}") for n, a in aggs.items()])
     carry = carry.selectExpr(*keys, "_block", *[f"{m}(_s_{n}) {over_blocks} AS _c_{n}" for n, m in merge.items()])
     local = marked.selectExpr(*columns, "_block", *[f"{a} {inside} AS _i_{n}" for n, a in aggs.items()])

@@ -59,7 +59,7 @@ def held_affinity(states: DataFrame, vectors: DataFrame, dim: int, leaf: int = L
     not. The affinity is the largest of weight * (cosine + 1) / 2 over the likes held before the view, divided by the
     largest weight among them; a like without a vector counts for that largest weight only.
 
-    A visitor with up to `leaf` views is one block; the views of others go to one node on each level. The likes of a
+    A visitor with up to `leaf` views is one block; the views of others go to one node on each level on which nodes can lie between two leaves. The likes of a
     node are held at one time or meet the same leaf, so there are at most as many as the catalogue has items, plus a leaf.
     """
     kind = states.schema["event_id"].dataType.simpleString()
@@ -70,7 +70,7 @@ def held_affinity(states: DataFrame, vectors: DataFrame, dim: int, leaf: int = L
     asked = states.join(have, "content_id").selectExpr("user_id", f"place div {leaf} AS leaf", "struct(place, event_id, vec) AS v")
     packs = asked.groupBy("user_id", "leaf").agg(F.expr("array_sort(collect_list(v), (a, b) -> CAST(sign(a.place - b.place) AS INT)) AS v")).join(last, "user_id")
     packs = packs.selectExpr("user_id", "leaf", "v.event_id AS ids", "v.place AS places", "flatten(v.vec) AS q",
-                             f"explode(sequence(0, length(bin(last div {leaf})))) AS level").withColumn("node", F.expr("shiftright(leaf, level)"))
+                             f"explode(sequence(0, length(bin(greatest(last div {leaf} - 1, 1))) - 1)) AS level").withColumn("node", F.expr("shiftright(leaf, level)"))
     liked = states.filter("log_weight IS NOT NULL").join(last, "user_id").selectExpr(
         "user_id", "content_id", "log_weight", "place + 1 AS start", "coalesce(next_place, last) AS end").filter("start <= end")
     spans = liked.join(have, "content_id", "left").selectExpr(

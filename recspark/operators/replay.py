@@ -25,6 +25,9 @@ from recspark.operators.signals import AREA_FACET
 from recspark.session import materialize
 
 USER = ["user_id"]
+# Views of a block of a visitor's places: most visitors are one block, and what is carried from block to block is small.
+PLACES = 256
+SPAN = f"IF(ts IS NULL, NULL, place div {PLACES}) AS span"
 # Digits of the exact sums, those before the point beside the growth, and the fewest after it.
 DIGITS = 37
 BEFORE_POINT = 6
@@ -88,15 +91,15 @@ def tag_features(changes: DataFrame, catalogue: Catalogue, exact: str) -> DataFr
     """(user_id, event_id, tag, aversion) from the running key sums before each view."""
     summed = catalogue.keyed_tags.filter(f"facet <> '{AREA_FACET}'").groupBy("content_id", "nkey").agg(F.expr("sum(weight) AS w_sum"))
     keyed = summed.join(catalogue.tags_nkey.selectExpr("content_id", "nkey", "weight AS w_last"), ["content_id", "nkey"])
-    rows = changes.join(keyed, "content_id").select("user_id", "event_id", "ts", "nkey", "w_sum", "w_last", "pos", "pos0", "neg", "neg0")
-    held = running(rows, ["user_id", "nkey"], "ts", "event_id", {"likes": _change("pos", "pos0", "w_sum", exact), "dislikes": _change("neg", "neg0", "w_sum", exact)})
+    rows = changes.join(keyed, "content_id").select("user_id", "event_id", "ts", F.expr(SPAN), "nkey", "w_sum", "w_last", "pos", "pos0", "neg", "neg0")
+    held = running(rows, ["user_id", "nkey"], "ts", "event_id", {"likes": _change("pos", "pos0", "w_sum", exact), "dislikes": _change("neg", "neg0", "w_sum", exact)}, block="span")
     matched = held.groupBy("user_id", "event_id").agg(
         F.expr("sum(CAST(likes AS DOUBLE) * w_last) AS likes"), F.expr("sum(CAST(dislikes AS DOUBLE) * w_last) AS dislikes")
     )
     mass = summed.groupBy("content_id").agg(F.expr("sum(w_sum) AS mass"))
     totals = running(
-        changes.join(mass, "content_id", "left").selectExpr("user_id", "event_id", "ts", "coalesce(mass, 0D) AS mass", "pos", "pos0", "neg", "neg0"),
-        USER, "ts", "event_id", {"all_likes": _change("pos", "pos0", "mass", exact), "all_dislikes": _change("neg", "neg0", "mass", exact)},
+        changes.join(mass, "content_id", "left").selectExpr("user_id", "event_id", "ts", SPAN, "coalesce(mass, 0D) AS mass", "pos", "pos0", "neg", "neg0"),
+        USER, "ts", "event_id", {"all_likes": _change("pos", "pos0", "mass", exact), "all_dislikes": _change("neg", "neg0", "mass", exact)}, block="span",
     )
 
     def share(part: str, whole: str, name: str) -> str:
@@ -112,12 +115,12 @@ def vector_features(changes: DataFrame, catalogue: Catalogue, exact: str) -> Dat
     d = catalogue.dim
     zero = f"array_repeat(0D, {d})"
     held = changes.join(catalogue.vectors.select("content_id", "vec"), "content_id", "left").selectExpr(
-        "user_id", "event_id", "ts", "vec", f"coalesce(vec, {zero}) AS v", "pos", "pos0", "IF(vec IS NULL, 0, dlikes) AS dlikes"
+        "user_id", "event_id", "ts", SPAN, "vec", "pos", "pos0", "IF(vec IS NULL, 0, dlikes) AS dlikes"
     )
-    sums = {f"s{i}": _change("pos", "pos0", f"v[{i}]", exact) for i in range(d)}
-    taste = running(held, USER, "ts", "event_id", {**sums, "likes": "sum(dlikes)"})
-    taste = taste.selectExpr("user_id", "event_id", "ts", "vec", "likes", "array(" + ", ".join(f"CAST(s{i} AS DOUBLE)" for i in range(d)) + ") AS taste")
-    last = neighbour(taste, USER, "ts", "event_id", F.col("vec"), "prev_vec")
+    sums = {f"s{i}": _change("pos", "pos0", f"coalesce(vec, {zero})[{i}]", exact) for i in range(d)}
+    taste = running(held, USER, "ts", "event_id", {**sums, "likes": "sum(dlikes)"}, block="span")
+    taste = taste.selectExpr("user_id", "event_id", "ts", "span", "vec", "likes", "array(" + ", ".join(f"CAST(s{i} AS DOUBLE)" for i in range(d)) + ") AS taste")
+    last = neighbour(taste, USER, "ts", "event_id", F.col("vec"), "prev_vec", block="span")
     return last.selectExpr(
         "user_id", "event_id", f"IF(likes > 0 AND vec IS NOT NULL, ({cosine('taste', 'vec')} + 1D) / 2D, 0D) AS semantic",
         f"IF(prev_vec IS NOT NULL AND vec IS NOT NULL, ({cosine('prev_vec', 'vec')} + 1D) / 2D, 0D) AS recency",

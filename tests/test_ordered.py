@@ -69,3 +69,16 @@ def test_interval_join_counts_inclusive_ends(spark):
     got = od.interval_join(points, spans, ["user_id"], "ts", "start", "end").groupBy("start").count().collect()
     assert sorted(r["count"] for r in got) == [2, 3]
     assert od.interval_join(points, spans, ["user_id"], "ts", "start", "end", how="left_anti").count() == 1
+
+
+def test_blocks_of_places_match_plain_order(spark, rows):
+    """Blocks by the number of rows instead of time: the same prefix sums and neighbours."""
+    groups = by_user(rows)
+    placed = [(*r, n // 7) for g in groups.values() for n, r in enumerate(g)]
+    frame = spark.createDataFrame(placed, "event_id int, user_id string, ts timestamp, x double, span long").repartition(3)
+    sums = {r.event_id: r.s for r in od.running(frame, ["user_id"], "ts", "event_id", {"s": "sum(event_id)"}, block="span").collect()}
+    lag = {r.event_id: r.p for r in od.neighbour(frame, ["user_id"], "ts", "event_id", F.col("event_id"), "p", block="span").collect()}
+    for g in groups.values():
+        for n, r in enumerate(g):
+            assert sums[r[0]] == (sum(x[0] for x in g[:n]) if n else None)
+            assert lag[r[0]] == (g[n - 1][0] if n else None)
