@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +25,19 @@ def cosine(a: str, b: str) -> str:
 
 
 def unit(a: str) -> str:
-    """L2-normalised copy; a zero vector is returned unchanged."""
-    return f"IF({norm(a)} > 0, transform({a}, unit_x -> unit_x / {norm(a)}), {a})"
+    """L2-normalised copy; a zero vector is returned unchanged. The length is taken once, not once for each component."""
+    return f"transform(array({norm(a)}), unit_n -> IF(unit_n > 0, transform({a}, unit_x -> unit_x / unit_n), {a}))[0]"
+
+
+def vector_sums(vec: str, dim: int, weight: str = "1D") -> list[Column]:
+    """Aggregates s0, s1, ... that add up vectors of `dim` components, null ones as 0: plain numbers, so hash aggregates hold them."""
+    terms = [f"coalesce(IF({weight} <> 0D, {weight} * {vec}[{i}], 0D), 0D)" for i in range(dim)]
+    return [F.expr(f"sum({t}) AS s{i}") for i, t in enumerate(terms)] or [F.expr("count(*) AS s0")]
+
+
+def summed(dim: int) -> str:
+    """The vector of the sums that `vector_sums` made."""
+    return f"CAST(array({', '.join(f's{i}' for i in range(dim))}) AS ARRAY<DOUBLE>)"
 
 
 def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

@@ -10,8 +10,6 @@ from __future__ import annotations
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from recspark.functions import engagement as eng
 from recspark.functions import survey as sv
 from recspark.functions.labels import with_nkey
 from recspark.functions.ordered import top_k
-from recspark.functions.vectors import unit
+from recspark.functions.vectors import summed, unit, vector_sums
 from recspark.session import materialize
 
 VIEW_START = "CONTENT_VIEW_STARTED"
@@ -157,11 +155,12 @@ def vector_dim(vectors: DataFrame, column: str = "vec") -> int:
 def weighted_centroid(items: DataFrame, vectors: DataFrame, keys: list[str], weight: str, out: str) -> DataFrame:
     """Normalised weighted vector sum per key; keys whose sum is all zero are dropped.
 
-    One aggregate over whole vectors, whatever their length: nothing is exploded into rows,
-    partial sums are made per map task, and vectors of different lengths stop the job.
+    One sum a component, combined in each map task; vectors of different lengths stop the job.
     """
-    joined = items.join(vectors.filter("vec IS NOT NULL").select("content_id", array_to_vector("vec").alias("_v")), "content_id").withColumn("_w", F.expr(weight))
-    packed = joined.groupBy(*keys).agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col("_w"))).alias("_sum"))
+    have = vectors.filter("vec IS NOT NULL")
+    dim = vector_dim(have)
+    joined = items.join(have.select("content_id", F.col("vec").alias("_v")), "content_id").withColumn("_w", F.expr(weight))
+    packed = joined.groupBy(*keys).agg(*vector_sums("_v", dim, "_w")).selectExpr(*keys, f"{summed(dim)} AS _sum")
     return packed.filter("exists(_sum, x -> x <> 0)").selectExpr(*keys, f"{unit('_sum')} AS {out}")
 
 
