@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recspark.functions import survey as sv
 from recspark.functions.ordered import top_k
-from recspark.functions.vectors import dot, unit
+from recspark.functions.vectors import dot, summed, unit, vector_sums
 from recspark.operators import signals as sg
 from recspark.config import RecConfig
 from recspark.operators.scoring import Catalogue
@@ -150,7 +148,8 @@ def evaluate_personas(personas: DataFrame, scenarios: list[dict], catalogue: Cat
 
 
 def list_metrics(items: DataFrame, catalogue: Catalogue, key: str = "request_id") -> DataFrame:
-    """Per list: size, targets, mean target score, distinct tags, distractor flag, diversity."""
+    """Per list: size, targets, mean target score, distinct tags, distractor flag, diversity. The items are made once."""
+    items = materialize(items.select(key, "content_id", "role", "relevance_score"))
     base = items.groupBy(key).agg(
         F.expr("count(*) AS n_items"), F.expr("count_if(role <> 'distractor') AS n_targets"),
         F.expr("avg(IF(role <> 'distractor', coalesce(relevance_score, 0D), NULL)) AS avg_target_score"),
@@ -168,13 +167,12 @@ def diversity(items: DataFrame, catalogue: Catalogue, key: str = "request_id") -
     """(key, intra_list_diversity): mean 1 - cosine over the pairs of a list, null under two.
 
     With unit vectors the pair sum is (|sum|^2 - sum |v|^2) / 2, so no pair is formed; the sum is one vector aggregate.
+    Each vector is brought to unit length once, not once for each list.
     """
-    have = catalogue.vectors.filter("vec IS NOT NULL")
-    units = items.select(key, "content_id").join(have, "content_id").selectExpr(key, f"{unit('vec')} AS u")
-    sums = units.groupBy(key).agg(
-        vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("s"),
-        F.expr("count(*) AS n"), F.expr("sum(aggregate(u, 0D, (a, x) -> a + x * x)) AS q"),
-    )
+    have = catalogue.vectors.filter("vec IS NOT NULL").selectExpr("content_id", f"{unit('vec')} AS u")
+    units = items.select(key, "content_id").join(materialize(have.selectExpr("*", "aggregate(u, 0D, (a, x) -> a + x * x) AS q")), "content_id")
+    sums = units.groupBy(key).agg(*vector_sums("u", catalogue.dim), F.expr("count(*) AS n"), F.expr("sum(q) AS q"))
+    sums = sums.selectExpr(key, "n", "q", f"{summed(catalogue.dim)} AS s")
     return sums.selectExpr(key, f"IF(n < 2, NULL, 1D - ({dot('s', 's')} - q) / (n * (n - 1D))) AS intra_list_diversity")
 
 

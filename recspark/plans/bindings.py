@@ -125,14 +125,18 @@ FEATURES_SQL = (
 )
 
 
-def served_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as served items: one row per (request, item), lowest position wins."""
+SERVED_LINE = {
+    "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "role": "IF(l_linenumber = 3, 'distractor', 'target')", "features": FEATURES_SQL,
+}
+
+
+def served_items(spark: SparkSession, sf_dir: str, line: dict[str, str] = SERVED_LINE) -> DataFrame:
+    """``lineitem`` as served items: one row per (request, item), lowest position wins; ``line`` has the columns beside its order."""
+    fields = ", ".join(f"'{name}', {value}" for name, value in line.items())
     rows = table(spark, sf_dir, "lineitem").selectExpr(
         "CAST(l_orderkey AS STRING) AS request_id",
         "CAST(l_partkey AS STRING) AS content_id",
-        f"""named_struct('rank', l_linenumber, 'l_quantity', l_quantity, 'l_returnflag', l_returnflag,
-             'l_linestatus', l_linestatus, 'role', IF(l_linenumber = 3, 'distractor', 'target'),
-             'features', {FEATURES_SQL}) AS line""",
+        f"named_struct('rank', l_linenumber, 'l_quantity', l_quantity, {fields}) AS line",
     )
     first = rows.groupBy("request_id", "content_id").agg(F.expr("min_by(line, struct(line.rank, line.l_quantity)) AS line"))
     return first.select("request_id", "content_id", "line.*")
