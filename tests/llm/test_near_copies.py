@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from test_simhash import classes, fingerprint
 
@@ -97,3 +98,12 @@ def test_a_copy_that_left_with_its_pivot_still_links_others(spark):
         for a, b in got:
             root[a] = root[b] = min(root[a], root[b])
     assert len(set(root.values())) == 1
+
+
+def test_blocks_get_texts_and_cut_them():
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (24, 20)] + ["", None, None]
+    columns = {"cell": [1] * 5, "i": [0] * 5, "j": [0] * 5, "a": [7, 8, 9, 7, 7], "b": [None, None, None, 8, 9], "text": texts}
+    kinds = {c: pa.int64() for c in columns} | {"text": pa.string()}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in columns.items()], names=list(columns))
+    for fifths, pairs in ((4, [(7, 8, 0.8)]), (0, [(7, 8, 0.8), (7, 9, 0.0)])):
+        assert [tuple(r.values()) for out in nc._overlaps(fifths)([batch]) for r in out.to_pylist()] == pairs
