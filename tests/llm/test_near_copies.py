@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from test_simhash import classes, fingerprint
@@ -107,3 +108,46 @@ def test_blocks_get_texts_and_cut_them():
     batch = pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in columns.items()], names=list(columns))
     for fifths, pairs in ((4, [(7, 8, 0.8)]), (0, [(7, 8, 0.8), (7, 9, 0.0)])):
         assert [tuple(r.values()) for out in nc._overlaps(fifths)([batch]) for r in out.to_pylist()] == pairs
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 40, 51, 52, 300, 330, 409, 410, 5000, 6000]
+    pool = np.unique(rng.integers(0, 1 << 63, 7000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    pool ^= rng.integers(0, 2, len(pool)).astype(np.uint64)
+    sets = [np.sort(rng.permutation(pool[: 2 * n + 1])[:n]) for n in sizes]
+    first = np.append(0, np.cumsum(sizes))
+    words, starts = nc.sketches(np.concatenate(sets), first)
+    own = [words[a:b].view(np.uint64) for a, b in zip(starts, starts[1:])]
+    assert [len(w) for w in own] == [1, 1, 1, 1, 2, 8, 8, 8, 16, 64, 64]
+    for x, s in zip(sets, own):
+        for y, t in zip(sets, own):
+            n = min(len(s), len(t))
+            s_, t_ = (np.bitwise_xor.reduce(w.reshape(-1, n), axis=0) for w in (s, t))
+            assert int(np.bitwise_count(s_ ^ t_).sum()) <= len(np.setxor1d(x, y))
+
+
+def test_sets_that_share_a_passage_only_are_not_sent_to_be_verified(spark, monkeypatch):
+    """Pairs of one shingle whose sketches are too far apart never reach a block; the similar ones all do."""
+    monkeypatch.setattr(nc, "SAMPLE", 1)
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for i in range(40):
+        words = shared + [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(len(rows) + j, " ".join(words[: 90 - j])) for j in range(2 if i % 4 == 0 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked = nc.stored(nc.marks(docs))
+    node = {r.doc_id: r.node for r in marked.collect()}
+    sets = {node[k]: shingles(t) for k, t in rows}
+    pairs = {(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])}
+    verify, sent = nc._verified, []
+
+    def counted(texts, marked, pairs, fifths=nc.LINKED):
+        if fifths == nc.LINKED:
+            sent.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+        return verify(texts, marked, pairs, fifths)
+
+    monkeypatch.setattr(nc, "_verified", counted)
+    assert {(r.a, r.b) for r in nc.similar(docs, marked, 5).collect()} == pairs and len(pairs) == 10
+    assert pairs <= set(sent) and len(set(sent)) < 20
