@@ -155,10 +155,14 @@ def vector_dim(vectors: DataFrame, column: str = "vec") -> int:
 def weighted_centroid(items: DataFrame, vectors: DataFrame, keys: list[str], weight: str, out: str) -> DataFrame:
     """Normalised weighted vector sum per key; keys whose sum is all zero are dropped.
 
-    One sum a component, combined in each map task; vectors of different lengths stop the job.
+    One sum a component, combined in each map task; vectors of different lengths stop the job if they are summed.
     """
     have = vectors.filter("vec IS NOT NULL")
-    dim = vector_dim(have)
+    try:
+        dim = vector_dim(have)
+    except ValueError:
+        have = have.join(items.select("content_id"), "content_id", "left_semi")
+        dim = vector_dim(have)
     joined = items.join(have.select("content_id", F.col("vec").alias("_v")), "content_id").withColumn("_w", F.expr(weight))
     packed = joined.groupBy(*keys).agg(*vector_sums("_v", dim, "_w")).selectExpr(*keys, f"{summed(dim)} AS _sum")
     return packed.filter("exists(_sum, x -> x <> 0)").selectExpr(*keys, f"{unit('_sum')} AS {out}")
