@@ -1,12 +1,10 @@
-"""Vector expressions as Spark SQL text, and small numpy helpers over packed rows."""
+"""Vector expressions as Spark SQL text, and small numpy helpers over rows of vectors."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EARTH_RADIUS_M = 6371000.0
 
@@ -48,61 +46,36 @@ def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"(2D * {EARTH_RADIUS_M}D * asin(least(1D, sqrt({h}))))"
 
 
-def _unit_rows(flat, n: int) -> np.ndarray | None:
-    m = np.asarray(flat, dtype=np.float64).reshape(n, -1)
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """The rows at length 1; zeros for a row whose length is 0 or no number."""
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def packed_cosine(flat: pd.Series, n: pd.Series, target: pd.Series) -> pd.Series:
-    """Cosine of each of ``n`` packed vectors with one target vector (0 if no target)."""
-    out = []
-    for f, k, t in zip(flat, n, target):
-        rows = _unit_rows(f, k)
-        if t is None or len(t) != rows.shape[1]:
-            out.append(np.zeros(k))
-        else:
-            out.append(rows @ _unit_rows(t, 1)[0])
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def packed_best_match(flat: pd.Series, n: pd.Series, liked: pd.Series, weights: pd.Series) -> pd.Series:
-    """Per packed vector: max over liked vectors of weight x (cosine + 1) / 2, at least 0."""
-    out = []
-    for f, k, lf, w in zip(flat, n, liked, weights):
-        if w is None or len(w) == 0:
-            out.append(np.zeros(k))
-            continue
-        sim = (_unit_rows(f, k) @ _unit_rows(lf, len(w)).T + 1.0) / 2.0
-        out.append(np.maximum((sim * np.asarray(w)).max(axis=1), 0.0))
-    return pd.Series(out)
-
-
-def mmr_udf(lambda_: float, limit: int):
-    """Greedy maximal-marginal-relevance order of one bounded candidate list.
-
-    Input rows are sorted by (score desc, id); the result holds 1-based positions.
-    """
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def pick(scores: pd.Series, flat: pd.Series) -> pd.Series:
-        out = []
-        for s, f in zip(scores, flat):
-            s = np.asarray(s, dtype=np.float64)
-            n = len(s)
-            rows = _unit_rows(f, n)
-            closest = np.full(n, -np.inf)
-            free = np.ones(n, dtype=bool)
-            order = []
-            while len(order) < min(limit, n):
-                value = s if not order else lambda_ * s - (1.0 - lambda_) * closest
-                best = int(np.argmax(np.where(free, value, -np.inf)))
-                order.append(best + 1)
-                free[best] = False
-                closest = np.maximum(closest, rows @ rows[best])
-            out.append(np.asarray(order, dtype=np.int32))
-        return pd.Series(out)
-
-    return pick
+def cosines(rows: np.ndarray, target) -> np.ndarray:
+    """Cosine of each unit row with one target vector (0 if it has another length)."""
+    if len(target) != rows.shape[1]:
+        return np.zeros(len(rows))
+    return rows @ unit_rows(np.asarray(target, dtype=np.float64).reshape(1, -1))[0]
+
+
+def best_match(rows: np.ndarray, liked: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per unit row: max over liked unit rows of weight x (cosine + 1) / 2, at least 0."""
+    if not len(weights):
+        return np.zeros(len(rows))
+    return np.maximum((((rows @ liked.T + 1.0) / 2.0) * weights).max(axis=1), 0.0)
+
+
+def mmr_order(scores: np.ndarray, rows: np.ndarray, lambda_: float, limit: int) -> np.ndarray:
+    """Greedy maximal-marginal-relevance order of one bounded list of unit rows, sorted by (score desc, id), as positions from 0."""
+    n = len(scores)
+    closest = np.full(n, -np.inf)
+    free = np.ones(n, dtype=bool)
+    order = []
+    while len(order) < min(limit, n):
+        value = scores if not order else lambda_ * scores - (1.0 - lambda_) * closest
+        best = int(np.argmax(np.where(free, value, -np.inf)))
+        order.append(best)
+        free[best] = False
+        closest = np.maximum(closest, rows @ rows[best])
+    return np.asarray(order, dtype=np.int64)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recspark.config import FEATURES, RecConfig
 from recspark.functions.labels import with_nkey
 from recspark.operators.candidates import filter_values
-from recspark.functions.vectors import haversine_m, mmr_udf, packed_best_match, packed_cosine
+from recspark.functions.vectors import best_match, cosines, haversine_m, mmr_order
+from recspark.operators.item_lists import Vectors, bounds, dealt, flat_values, list_sizes, typed
 from recspark.operators.signals import vector_dim
 from recspark.session import materialize
 
@@ -43,57 +47,83 @@ class Catalogue:
     def dim(self) -> int:
         return vector_dim(self.vectors)
 
+    @cached_property
+    def n_vectors(self) -> int:
+        return self.vectors.count()
+
+    @cached_property
+    def vectors_by_id(self) -> DataFrame:
+        """(content_id, flat, known): the vectors of an id one after another, zeros for one that is null."""
+        one = f"struct(coalesce(vec, array_repeat(0D, {self.dim})) AS vec, vec IS NOT NULL AS known)"
+        rows = self.vectors.filter("content_id IS NOT NULL").groupBy("content_id").agg(F.expr(f"array_sort(collect_list({one})) AS c"))
+        return rows.selectExpr("content_id", "flatten(c.vec) AS flat", "c.known AS known")
+
+
+def _score_block(lists: pa.Table, items: pa.Table) -> pa.Table:
+    """Semantic, recency and affinity of the lists of one block."""
+    vectors = Vectors(items)
+    ends, place, row = vectors.of(lists["ids"])
+    liked_ends, liked_place, liked_row = vectors.of(lists["liked"])
+    weights = flat_values(lists["weights"])
+    semantic, recency, affinity = np.zeros((3, len(row)))
+    profile = {}
+    for name in ("taste", "recency"):
+        column = lists[name].combine_chunks()
+        profile[name] = column.is_valid().to_numpy(zero_copy_only=False), bounds(list_sizes(column)), flat_values(column)
+    for i in range(len(lists)):
+        one = slice(ends[i], ends[i + 1])
+        rows, known = vectors.rows[row[one]], vectors.known[row[one]]
+        for name, out in (("taste", semantic), ("recency", recency)):
+            there, cut, flat = profile[name]
+            if there[i]:
+                out[one] = np.where(known, (cosines(rows, flat[cut[i]:cut[i + 1]]) + 1.0) / 2.0, 0.0)
+        mine = slice(liked_ends[i], liked_ends[i + 1])
+        held = vectors.known[liked_row[mine]]
+        liked = liked_row[mine][held]
+        affinity[one] = np.where(known, best_match(rows, vectors.rows[liked], weights[liked_place[mine][held]]), 0.0)
+    if len(row):  # of an id with several vectors the best counts
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        affinity = np.maximum.reduceat(affinity, first)[place]
+    of = pa.array(np.repeat(np.arange(len(lists)), np.diff(ends)))
+    return pa.Table.from_arrays([
+        lists["request_id"].combine_chunks().take(of), lists["user_id"].combine_chunks().take(of),
+        pc.list_flatten(lists["ids"]).combine_chunks().take(pa.array(place)), pa.array(semantic), pa.array(affinity), pa.array(recency),
+    ], names=["request_id", "user_id", "content_id", "semantic", "affinity", "recency"])
+
 
 def vector_scores(candidates: DataFrame, catalogue: Catalogue, taste: DataFrame, recency: DataFrame,
                   positives: DataFrame) -> DataFrame:
     """Adds semantic, affinity and recency to (request_id, user_id, content_id).
 
-    A request's candidates are bounded, so they travel as one packed row; a visitor's
-    liked items are cut into chunks whose best matches are merged afterwards.
+    A request's candidates are bounded, so they travel as one list of ids, and vectors go to blocks of lists (`item_lists`);
+    a visitor's liked items are cut into chunks whose best matches are merged afterwards.
     """
-    zero = f"array_repeat(0D, {catalogue.dim})"
-    packed = (
-        candidates.select("request_id", "user_id", "content_id")
-        .join(catalogue.vectors.select("content_id", "vec"), "content_id", "left")
-        .selectExpr("request_id", "user_id", "struct(content_id, coalesce(vec, %s) AS vec, vec IS NOT NULL AS known) AS c" % zero)
-        .groupBy("request_id", "user_id")
-        .agg(F.expr("array_sort(collect_list(c)) AS c"))
-        .selectExpr("request_id", "user_id", "c.content_id AS ids", "c.known AS known", "flatten(c.vec) AS flat", "size(c) AS n")
-    )
-    profile = packed.join(taste, "user_id", "left").join(recency, "user_id", "left")
-    cosines = profile.select(
-        "request_id", "user_id", "ids", "known",
-        F.expr("taste IS NOT NULL").alias("has_taste"), F.expr("recency IS NOT NULL").alias("has_recency"),
-        packed_cosine("flat", "n", "taste").alias("sem"), packed_cosine("flat", "n", "recency").alias("rec"),
-    )
-    rows = cosines.selectExpr(
-        "request_id", "user_id", "has_taste", "has_recency", "inline(arrays_zip(ids, known, sem, rec))"
-    ).selectExpr(
-        "request_id", "user_id", "ids AS content_id",
-        "IF(known AND has_taste, (sem + 1D) / 2D, 0D) AS semantic",
-        "IF(known AND has_recency, (rec + 1D) / 2D, 0D) AS recency",
-    )
+    key = ["request_id", "user_id"]
+    packed = candidates.groupBy(*key).agg(F.expr("array_sort(collect_list(struct(content_id))).content_id AS ids"))
     # The largest like counts whether or not its item has a vector.
     likes = positives.filter("weight > 0")
     scale = likes.groupBy("user_id").agg(F.expr("max(weight) AS top"), F.expr(f"ceil(count(*) / {LIKED_CHUNK}) AS chunks"))
     liked = (
-        likes.join(catalogue.vectors.select("content_id", "vec"), "content_id")
-        .join(scale, "user_id")
-        .selectExpr("user_id", "content_id", "vec", "weight / top AS w", "chunks")
-        .selectExpr("user_id", "pmod(xxhash64(content_id), chunks) AS chunk", "struct(w, vec) AS l")
+        likes.join(scale, "user_id")
+        .selectExpr("user_id", "pmod(xxhash64(content_id), chunks) AS chunk", "struct(content_id, weight / top AS w) AS l")
         .groupBy("user_id", "chunk")
         .agg(F.expr("collect_list(l) AS l"))
-        .selectExpr("user_id", "flatten(l.vec) AS liked", "l.w AS weights")
-    )
-    best = (
-        packed.join(liked, "user_id")
-        .select("request_id", "ids", "known", packed_best_match("flat", "n", "liked", "weights").alias("best"))
-        .selectExpr("request_id", "inline(arrays_zip(ids, known, best))")
-        .groupBy("request_id", F.col("ids").alias("content_id"))
-        .agg(F.expr("max(IF(known, best, 0D)) AS affinity"))
+        .selectExpr("user_id", "chunk", "l.content_id AS liked", "l.w AS weights")
     )
+    first = materialize(packed.join(liked.filter("chunk = 0").drop("chunk"), "user_id", "left"))
+    lists, items = dealt(first, key, ["ids", "liked"], catalogue)
+    profile = lists.join(taste.select("user_id", "taste"), "user_id", "left").join(recency.select("user_id", "recency"), "user_id", "left")
+    schema = typed(candidates, [*key, "content_id"], "semantic double, affinity double, recency double")
+    rows = profile.groupBy("block").cogroup(items.groupBy("block")).applyInArrow(_score_block, schema)
+    if scale.filter("chunks > 1").isEmpty():
+        return rows
+    rest = materialize(packed.join(liked.filter("chunk > 0"), "user_id"))
+    lists, items = dealt(rest, [*key, "chunk"], ["ids", "liked"], catalogue)
+    nothing = lists.selectExpr("*", "CAST(NULL AS ARRAY<DOUBLE>) AS taste", "CAST(NULL AS ARRAY<DOUBLE>) AS recency")
+    more = nothing.groupBy("block").cogroup(items.groupBy("block")).applyInArrow(_score_block, schema)
+    best = more.groupBy("request_id", "content_id").agg(F.expr("max(affinity) AS other"))
     return rows.join(best, ["request_id", "content_id"], "left").selectExpr(
-        "request_id", "user_id", "content_id", "semantic", "coalesce(affinity, 0D) AS affinity", "recency"
+        "request_id", "user_id", "content_id", "semantic", "greatest(affinity, coalesce(other, 0D)) AS affinity", "recency"
     )
 
 
@@ -162,21 +192,38 @@ def apply_policy(fused: DataFrame, policy: DataFrame, cfg: RecConfig) -> DataFra
     )
 
 
+def _mmr_block(lambda_: float, limit: int):
+    def run(lists: pa.Table, items: pa.Table) -> pa.Table:
+        vectors = Vectors(items)
+        ends, place, row = vectors.of(lists["ids"])
+        ids, scores = pc.list_flatten(lists["ids"]).combine_chunks(), flat_values(lists["scores"])
+        # Candidates of one list with the same score and id are taken by their vectors.
+        first = np.ones(len(ids), dtype=bool)
+        first[1:] = (scores[1:] != scores[:-1]) | pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)
+        first[bounds(list_sizes(lists["ids"]))[:-1]] = True
+        by = np.lexsort((row, np.cumsum(first)[place]))
+        place, row = place[by], row[by]
+        picks = [ends[i] + mmr_order(scores[place[a:b]], vectors.rows[row[a:b]], lambda_, limit) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+        sizes = [len(p) for p in picks]
+        picked = np.concatenate([*picks, np.zeros(0, dtype=np.int64)])
+        rank = np.arange(len(picked)) - np.repeat(bounds(sizes)[:-1], sizes) + 1
+        return pa.Table.from_arrays([
+            lists["request_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(lists)), sizes))),
+            ids.take(pa.array(place[picked])), pa.array(rank.astype(np.int32)),
+        ], names=["request_id", "content_id", "rank"])
+
+    return run
+
+
 def mmr(scored: DataFrame, catalogue: Catalogue, cfg: RecConfig) -> DataFrame:
     """(request_id, content_id, rank): greedy relevance/diversity order, cfg.final_limit long.
 
-    The candidates of one request are bounded by the pool size, so a request is one row.
+    The candidates of one request are bounded by the pool size, so a request is one list of ids.
     """
-    zero = f"array_repeat(0D, {catalogue.dim})"
-    packed = (
-        scored.select("request_id", "content_id", "final_score")
-        .join(catalogue.vectors.select("content_id", "vec"), "content_id", "left")
-        .selectExpr("request_id", f"struct(-final_score AS s, content_id, coalesce(vec, {zero}) AS vec) AS c")
-        .groupBy("request_id")
-        .agg(F.expr("array_sort(collect_list(c)) AS c"))
-        .selectExpr("request_id", "c.content_id AS ids", "transform(c.s, s -> -s) AS scores", "flatten(c.vec) AS flat")
+    packed = materialize(
+        scored.groupBy("request_id").agg(F.expr("array_sort(collect_list(struct(-final_score AS s, content_id))) AS c"))
+        .selectExpr("request_id", "c.content_id AS ids", "transform(c.s, s -> -s) AS scores")
     )
-    order = mmr_udf(cfg.mmr_lambda, cfg.final_limit)("scores", "flat")
-    return packed.select("request_id", "ids", order.alias("picks")).selectExpr(
-        "request_id", "ids", "posexplode(picks) AS (at, pick)"
-    ).selectExpr("request_id", "element_at(ids, pick) AS content_id", "at + 1 AS rank")
+    lists, items = dealt(packed, ["request_id"], ["ids"], catalogue)
+    return lists.groupBy("block").cogroup(items.groupBy("block")).applyInArrow(
+        _mmr_block(cfg.mmr_lambda, cfg.final_limit), typed(scored, ["request_id", "content_id"], "rank int"))

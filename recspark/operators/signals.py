@@ -155,7 +155,9 @@ def vector_dim(vectors: DataFrame, column: str = "vec") -> int:
 def weighted_centroid(items: DataFrame, vectors: DataFrame, keys: list[str], weight: str, out: str) -> DataFrame:
     """Normalised weighted vector sum per key; keys whose sum is all zero are dropped.
 
-    One sum a component, combined in each map task; vectors of different lengths stop the job if they are summed.
+    One sum a component, combined in each map task; vectors of different lengths stop the job if they are summed. The items
+    of a key are brought to one task first, narrow as they are, so that few partial sums a key are sent. By a hash that
+    the sums are not grouped by, a task with too many rows can be split: one key may hold a large share of them.
     """
     have = vectors.filter("vec IS NOT NULL")
     try:
@@ -163,7 +165,8 @@ def weighted_centroid(items: DataFrame, vectors: DataFrame, keys: list[str], wei
     except ValueError:
         have = have.join(items.select("content_id"), "content_id", "left_semi")
         dim = vector_dim(have)
-    joined = items.join(have.select("content_id", F.col("vec").alias("_v")), "content_id").withColumn("_w", F.expr(weight))
+    near = items.select(*keys, "content_id", F.expr(weight).alias("_w"), F.xxhash64(*keys).alias("_near")).hint("rebalance", "_near").drop("_near")
+    joined = near.join(have.select("content_id", F.col("vec").alias("_v")), "content_id")
     packed = joined.groupBy(*keys).agg(*vector_sums("_v", dim, "_w")).selectExpr(*keys, f"{summed(dim)} AS _sum")
     return packed.filter("exists(_sum, x -> x <> 0)").selectExpr(*keys, f"{unit('_sum')} AS {out}")
 
