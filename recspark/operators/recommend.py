@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recspark.config import RecConfig
+from recspark.config import FEATURES, RecConfig
 from recspark.operators import candidates as cg
 from recspark.operators.knn import nearest
-from recspark.operators.scoring import Catalogue, apply_policy, fuse, mmr, score_candidates, tag_score
+from recspark.operators.scoring import Catalogue, apply_policy, explained, fuse, mmr, score_candidates, tag_score
 from recspark.session import materialize
 
 # requests: request_id, user_id, filter (nullable), lat, lon, radius_m (nullable)
@@ -162,7 +162,7 @@ def recommend(requests: DataFrame, catalogue: Catalogue, model, cfg: RecConfig,
     learned = cfg.ranking_mode == "bandit" and policy is not None
     if learned:
         scored = apply_policy(scored, policy, cfg)
-    scored = materialize(scored)
+    scored = materialize(scored.drop("breakdown", "features"))
     gate = distractor_gate(cfg)
     longest = f"IF({gate}, {max(cfg.final_limit - 1, 1)}, {max(cfg.final_limit, 1)})"
     ordered = materialize(mmr(scored, catalogue, cfg).filter(f"rank <= {longest}"))
@@ -172,8 +172,9 @@ def recommend(requests: DataFrame, catalogue: Catalogue, model, cfg: RecConfig,
     bound = asked.filter(CONSTRAINED)
     leftovers = scored.join(bound.select("request_id"), "request_id", "left_semi").join(ordered, ["request_id", "content_id"], "left_anti")
     least = leftovers.groupBy("request_id", "user_id").agg(
-        F.expr("min_by(struct(content_id, final_score, breakdown, features), struct(final_score, content_id)) AS d")
+        F.expr(f"min_by(struct(content_id, final_score, {', '.join(FEATURES)}), struct(final_score, content_id)) AS d")
     ).select("request_id", "user_id", "d.*")
+    least = explained(least, cfg).select("request_id", "user_id", "content_id", "final_score", "breakdown", "features")
     free = asked.filter(f"NOT {CONSTRAINED}")
     off = score_distractors(open_distractors(free, ordered, catalogue, model, cfg), catalogue, model, cfg)
     distractors = least.unionByName(off).join(lengths, "request_id").selectExpr(
@@ -183,7 +184,7 @@ def recommend(requests: DataFrame, catalogue: Catalogue, model, cfg: RecConfig,
 
     distractors = materialize(distractors)
     shift = distractors.selectExpr("request_id", "rank AS slot")
-    targets = ordered.join(scored, ["request_id", "content_id"]).join(shift, "request_id", "left").selectExpr(
+    targets = explained(ordered.join(scored, ["request_id", "content_id"]), cfg).join(shift, "request_id", "left").selectExpr(
         "request_id", "user_id", "CAST(rank + IF(rank >= slot, 1, 0) AS INT) AS rank", "content_id",
         "'target' AS role", "final_score AS relevance_score", "breakdown", "features",
     )

@@ -169,10 +169,14 @@ def score_candidates(candidates: DataFrame, catalogue: Catalogue, model, cfg: Re
 def fuse(scored: DataFrame, cfg: RecConfig, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """Weighted sum, its breakdown map and the ordered feature vector (missing scores 0)."""
     terms = [f"coalesce({cfg.fusion.of(f)}D * {f}, 0D)" for f in features]
+    return explained(scored.selectExpr("*", f"{' + '.join(terms)} AS final_score"), cfg, features)
+
+
+def explained(scored: DataFrame, cfg: RecConfig, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Adds the breakdown map and the feature vector to rows with their scores. They follow from the scores, so they need not be stored."""
     entries = ", ".join(f"'{f}', {cfg.fusion.of(f)}D * {f}" for f in features)
     return scored.selectExpr(
         "*",
-        f"{' + '.join(terms)} AS final_score",
         f"map_filter(map({entries}), (k, v) -> v IS NOT NULL) AS breakdown",
         f"array({', '.join(f'coalesce({f}, 0D)' for f in features)}) AS features",
     )
